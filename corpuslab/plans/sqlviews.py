@@ -36,34 +36,40 @@ _SIZES = {"l1": "(SELECT count(*) FROM region)", "l2": "(SELECT count(*) FROM na
           "l3": "(SELECT count(*) FROM supplier)"}
 
 
-def predictions_wide(name: str = "pw", salt: str = "") -> str:
+def predictions_wide(name: str = "pw", salt: str = "", salts: list[str] | None = None) -> str:
+    multi = salts is not None
+    salt_list = salts if multi else [salt]
+    vals = ", ".join(f"('{x}')" for x in salt_list)
     preds = ",\n    ".join(
-        f"CASE WHEN {h32_sql(repr(salt + lv) + ' || id')} % 10 >= 8 "
-        f"THEN {h32_sql(repr('alt' + salt + lv) + ' || id')} % {_SIZES[lv]} ELSE true_{lv} END AS pred_{lv}"
+        f"CASE WHEN {h32_sql(f'salt || {lv!r} || id')} % 10 >= 8 "
+        f"THEN {h32_sql(f'{chr(39)}alt{chr(39)} || salt || {lv!r} || id')} % {_SIZES[lv]} ELSE true_{lv} END AS pred_{lv}"
         for lv in ("l1", "l2", "l3"))
     confs = ",\n    ".join(
-        f"0.5 + CAST({h32_sql(repr('conf' + salt + lv) + ' || id')} % 500 AS DOUBLE) / 1000.0 AS conf_{lv}"
+        f"0.5 + CAST({h32_sql(f'{chr(39)}conf{chr(39)} || salt || {lv!r} || id')} % 500 AS DOUBLE) / 1000.0 AS conf_{lv}"
         for lv in ("l1", "l2", "l3"))
+    salt_out = "salt, " if multi else ""
     return f"""{name} AS (
-  SELECT id, l_orderkey, l_linenumber, true_l1, true_l2, true_l3,
+  SELECT id, l_orderkey, l_linenumber, l_returnflag, true_l1, true_l2, true_l3, {salt_out}
     {preds},
     {confs}
   FROM (
-    SELECT {LINE_ID} AS id, l.l_orderkey, l.l_linenumber,
+    SELECT {LINE_ID} AS id, l.l_orderkey, l.l_linenumber, l.l_returnflag,
       CAST(n.n_regionkey AS BIGINT) AS true_l1, CAST(s.s_nationkey AS BIGINT) AS true_l2,
       CAST(l.l_suppkey AS BIGINT) AS true_l3
     FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
-    JOIN nation n ON s.s_nationkey = n.n_nationkey) b)"""
+    JOIN nation n ON s.s_nationkey = n.n_nationkey) b, (VALUES {vals}) sv(salt))"""
 
 
-def predictions(name: str = "p", salt: str = "", wide: str | None = None) -> str:
+def predictions(name: str = "p", salt: str = "", wide: str | None = None,
+                salts: list[str] | None = None) -> str:
     """Long form; defines the wide CTE too unless ``wide`` names an existing one."""
     pre = ""
     if wide is None:
         wide = name + "_w"
-        pre = predictions_wide(wide, salt) + ",\n"
+        pre = predictions_wide(wide, salt, salts) + ",\n"
+    sc = "salt, " if salts is not None else ""
     sel = "\n  UNION ALL ".join(
-        f"SELECT id, '{lv}' AS task, true_{lv} AS true_id, pred_{lv} AS pred_id, conf_{lv} AS confidence FROM {wide}"
+        f"SELECT {sc}id, '{lv}' AS task, true_{lv} AS true_id, pred_{lv} AS pred_id, conf_{lv} AS confidence FROM {wide}"
         for lv in ("l1", "l2", "l3"))
     return pre + f"{name} AS (\n  {sel})"
 

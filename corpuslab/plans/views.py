@@ -65,40 +65,55 @@ def line_id(li: DataFrame):
     return F.concat_ws("-", *[p.cast("string") for p in parts])
 
 
-def predictions_wide(spark: SparkSession, sf_dir: str, salt: str = "") -> DataFrame:
+def predictions_wide(spark: SparkSession, sf_dir: str, salt: str = "",
+                     salts: list[str] | None = None) -> DataFrame:
     """One row per lineitem: true path from its supplier, a noisy predicted
-    path (20 % of each level replaced by a hashed node) and confidences."""
+    path (20 % of each level replaced by a hashed node) and confidences.
+
+    With ``salts`` the table is scanned once and each row is scored once per
+    salt (a ``salt`` column tells the runs apart)."""
     li = table(spark, sf_dir, "lineitem")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     sizes = {"l1": table(spark, sf_dir, "region").select(F.count("*")).scalar(),
              "l2": table(spark, sf_dir, "nation").select(F.count("*")).scalar(),
              "l3": table(spark, sf_dir, "supplier").select(F.count("*")).scalar()}
-    base = (li.select(line_id(li).alias("id"), "l_suppkey", "l_orderkey", "l_linenumber")
+    base = (li.select(line_id(li).alias("id"), "l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag")
             .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
             .join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-            .select("id", "l_orderkey", "l_linenumber",
+            .select("id", "l_orderkey", "l_linenumber", "l_returnflag",
                     F.col("n_regionkey").cast("bigint").alias("true_l1"),
                     F.col("s_nationkey").cast("bigint").alias("true_l2"),
                     F.col("l_suppkey").cast("bigint").alias("true_l3")))
+    if salts is None:
+        salt_col = F.lit(salt)
+    else:
+        base = base.withColumn("salt", F.explode(F.array(*[F.lit(x) for x in salts])))
+        salt_col = F.col("salt")
     cols = [F.col(c) for c in base.columns]
     for lv in TASK_LEVELS:
-        cols.append(F.when(h32(F.lit(salt + lv), F.col("id")) % 10 >= 8,
-                           h32(F.lit("alt" + salt + lv), F.col("id")) % sizes[lv])
+        cols.append(F.when(h32(salt_col, F.lit(lv), F.col("id")) % 10 >= 8,
+                           h32(F.lit("alt"), salt_col, F.lit(lv), F.col("id")) % sizes[lv])
                     .otherwise(F.col("true_" + lv)).alias("pred_" + lv))
     for lv in TASK_LEVELS:
-        cols.append((F.lit(0.5) + (h32(F.lit("conf" + salt + lv), F.col("id")) % 500)
+        cols.append((F.lit(0.5) + (h32(F.lit("conf"), salt_col, F.lit(lv), F.col("id")) % 500)
                      .cast("double") / 1000.0).alias("conf_" + lv))
     return base.select(*cols)
 
 
-def predictions(spark: SparkSession, sf_dir: str, salt: str = "") -> DataFrame:
-    """Long form P = (id, task, true_id, pred_id, confidence)."""
-    w = predictions_wide(spark, sf_dir, salt)
-    return w.select("id", F.explode(F.array(*[
+def to_long(w: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Wide predictions → P = (..., id, task, true_id, pred_id, confidence)."""
+    keep = keep if keep is not None else [c for c in ("salt",) if c in w.columns]
+    return w.select(*keep, "id", F.explode(F.array(*[
         F.struct(F.lit(lv).alias("task"), F.col("true_" + lv).alias("true_id"),
                  F.col("pred_" + lv).alias("pred_id"), F.col("conf_" + lv).alias("confidence"))
-        for lv in TASK_LEVELS])).alias("r")).select("id", "r.*")
+        for lv in TASK_LEVELS])).alias("r")).select(*keep, "id", "r.*")
+
+
+def predictions(spark: SparkSession, sf_dir: str, salt: str = "",
+                salts: list[str] | None = None) -> DataFrame:
+    """Long form P = (id, task, true_id, pred_id, confidence)."""
+    return to_long(predictions_wide(spark, sf_dir, salt, salts))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
