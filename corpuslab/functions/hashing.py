@@ -40,17 +40,17 @@ def poisson1_cdf(kmax: int = 12) -> list[float]:
 
 
 def poisson1(u: Column) -> Column:
-    """Inverse CDF of Poisson(1) at u (number of thresholds below u)."""
-    expr = None
-    for k, c in enumerate(poisson1_cdf()):
-        step = F.when(u >= F.lit(float(repr(c))), 1).otherwise(0)
-        expr = step if expr is None else expr + step
-    return expr
+    """Inverse CDF of Poisson(1) at u: one CASE chain (small generated code)."""
+    cdf = poisson1_cdf()
+    expr = F.when(u < F.lit(cdf[0]), F.lit(0))
+    for k, c in enumerate(cdf[1:], start=1):
+        expr = expr.when(u < F.lit(c), F.lit(k))
+    return expr.otherwise(F.lit(len(cdf)))
 
 
 def poisson1_sql(u: str) -> str:
-    return "(" + " + ".join(f"(CASE WHEN {u} >= {repr(c)} THEN 1 ELSE 0 END)"
-                            for c in poisson1_cdf()) + ")"
+    cdf = poisson1_cdf()
+    return "(CASE " + " ".join(f"WHEN {u} < {repr(c)} THEN {k}" for k, c in enumerate(cdf)) + f" ELSE {len(cdf)} END)"
 
 
 def h32_sql(expr: str) -> str:
