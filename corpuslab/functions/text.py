@@ -114,11 +114,13 @@ def word_ngrams(tokens: Column, lo: int = 1, hi: int = 2) -> Column:
     """All n-grams lo..hi of a token array, joined by a space (array<string>)."""
     parts = []
     n_tok = F.size(tokens)
+
+    def gram(n):  # binds n; a lambda with a defaulted 2nd arg would be read as (x, index)
+        return lambda i: F.array_join(F.slice(tokens, i + 1, n), " ")
+
     for n in range(lo, hi + 1):
-        parts.append(F.when(n_tok >= n, F.transform(
-            F.sequence(F.lit(0), n_tok - n),
-            lambda i, n=n: F.array_join(F.slice(tokens, i + 1, n), " ")))
-            .otherwise(F.array().cast("array<string>")))
+        parts.append(F.when(n_tok >= n, F.transform(F.sequence(F.lit(0), n_tok - n), gram(n)))
+                     .otherwise(F.array().cast("array<string>")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
@@ -132,13 +134,15 @@ def char_wb_ngrams(c: Column, lo: int, hi: int) -> Column:
     ``lo`` is one gram. Input is lower-cased first (array<string>)."""
     words = F.transform(ws_words(F.lower(c)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def sub(w, n):
+        return lambda i: F.substring(w, i, n)
+
     def grams(w):
         L = F.length(w)
         per_n = []
         for n in range(lo, hi + 1):
-            per_n.append(F.when(L >= n, F.transform(
-                F.sequence(F.lit(1), L - n + 1), lambda i, n=n: F.substring(w, i, n)))
-                .otherwise(F.array().cast("array<string>")))
+            per_n.append(F.when(L >= n, F.transform(F.sequence(F.lit(1), L - n + 1), sub(w, n)))
+                         .otherwise(F.array().cast("array<string>")))
         short = F.when(L < lo, F.array(w)).otherwise(F.array().cast("array<string>"))
         return F.concat(short, *per_n)
 
