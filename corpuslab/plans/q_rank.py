@@ -142,20 +142,20 @@ _gpsql = ", ".join(["n_parent_correct"] + [x for k in TOPK for x in (
     _rate(f"top_{k}_with_correct_parent_count", "n_parent_correct", 6) + f" AS top_{k}_given_parent_correct_rate",
     _rate(f"top_{k}_with_correct_parent_count", "n_parent_correct", 2, True) + f" AS top_{k}_given_parent_correct_pct")])
 
-SPLIT_SQL = f"""x AS (SELECT ticket_id, category_level_1 AS label, {h32_sql("'42|' || CAST(ticket_id AS VARCHAR)")} AS key FROM tickets),
-c AS (SELECT label, count(*) AS n FROM x GROUP BY label),
-t AS (SELECT sum(n) AS tot, CAST(ceil(sum(n) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS n_temp FROM c),
-q1 AS (SELECT c.label, c.n, t.n_temp, (c.n * t.n_temp) // t.tot AS base, (c.n * t.n_temp) % t.tot AS rem FROM c, t),
-q1b AS (SELECT *, n_temp - sum(base) OVER () AS left_, row_number() OVER (ORDER BY rem DESC, label) AS ord FROM q1),
-q1c AS (SELECT label, n, n_temp, base + CASE WHEN ord <= left_ THEN 1 ELSE 0 END AS tmp,
-  CAST(ceil(n_temp * CAST(0.5 AS DOUBLE)) AS BIGINT) AS n_test FROM q1b),
-q2 AS (SELECT *, (tmp * n_test) // n_temp AS base, (tmp * n_test) % n_temp AS rem FROM q1c),
-q2b AS (SELECT *, n_test - sum(base) OVER () AS left_, row_number() OVER (ORDER BY rem DESC, label) AS ord FROM q2),
-q AS (SELECT label, n - tmp AS tr, tmp - (base + CASE WHEN ord <= left_ THEN 1 ELSE 0 END) AS va FROM q2b),
-rr AS (SELECT x.*, row_number() OVER (PARTITION BY label ORDER BY key, ticket_id) AS r FROM x),
-splits AS (SELECT rr.ticket_id, rr.label AS category_level_1,
-  CASE WHEN rr.r <= q.tr THEN 'train' WHEN rr.r <= q.tr + q.va THEN 'val' ELSE 'test' END AS split
-  FROM rr JOIN q USING (label))"""
+SPLIT_SQL = f"""sp_x AS (SELECT ticket_id, category_level_1 AS label, {h32_sql("'42|' || CAST(ticket_id AS VARCHAR)")} AS key FROM tickets),
+sp_c AS (SELECT label, count(*) AS n FROM sp_x GROUP BY label),
+sp_t AS (SELECT sum(n) AS tot, CAST(ceil(sum(n) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS n_temp FROM sp_c),
+sp_q1 AS (SELECT sp_c.label, sp_c.n, sp_t.n_temp, (sp_c.n * sp_t.n_temp) // sp_t.tot AS base, (sp_c.n * sp_t.n_temp) % sp_t.tot AS rem FROM sp_c, sp_t),
+sp_q1b AS (SELECT *, n_temp - sum(base) OVER () AS left_, row_number() OVER (ORDER BY rem DESC, label) AS ord FROM sp_q1),
+sp_q1c AS (SELECT label, n, n_temp, base + CASE WHEN ord <= left_ THEN 1 ELSE 0 END AS tmp,
+  CAST(ceil(n_temp * CAST(0.5 AS DOUBLE)) AS BIGINT) AS n_test FROM sp_q1b),
+sp_q2 AS (SELECT *, (tmp * n_test) // n_temp AS base, (tmp * n_test) % n_temp AS rem FROM sp_q1c),
+sp_q2b AS (SELECT *, n_test - sum(base) OVER () AS left_, row_number() OVER (ORDER BY rem DESC, label) AS ord FROM sp_q2),
+sp_q AS (SELECT label, n - tmp AS tr, tmp - (base + CASE WHEN ord <= left_ THEN 1 ELSE 0 END) AS va FROM sp_q2b),
+sp_rr AS (SELECT sp_x.*, row_number() OVER (PARTITION BY label ORDER BY key, ticket_id) AS r FROM sp_x),
+splits AS (SELECT sp_rr.ticket_id, sp_rr.label AS category_level_1,
+  CASE WHEN sp_rr.r <= sp_q.tr THEN 'train' WHEN sp_rr.r <= sp_q.tr + sp_q.va THEN 'val' ELSE 'test' END AS split
+  FROM sp_rr JOIN sp_q USING (label))"""
 
 FLAGS = """fl AS (SELECT *, metric > greatest(coalesce(max(metric) OVER (PARTITION BY run ORDER BY epoch
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS improved FROM history)"""
