@@ -170,7 +170,7 @@ KEYS = f"""k AS (SELECT DISTINCT event_type AS model,
 SQL = {
     "src_csv": V.with_(V.TICKETS) + f"SELECT {_TK} FROM tickets",
     "src_jsonl": V.with_(V.TICKETS) + f"SELECT {_TK} FROM tickets",
-    "src_json_report": """SELECT CAST(d.doc_id AS BIGINT) AS test_idx, 0.9 AS threshold,
+    "src_json_report": """SELECT CAST(d.doc_id AS BIGINT) AS test_idx, CAST(0.9 AS DOUBLE) AS threshold,
   count(*) OVER () AS n_flagged_above_threshold FROM documents d
 WHERE d.doc_id % 2 = 1 AND EXISTS (SELECT 1 FROM documents e WHERE e.text = d.text AND e.doc_id % 2 = 0)""",
     "src_metrics_glob": V.with_(V.predictions("p", salts=SEEDS), SM.metrics("p", ["salt", "task"])) + """SELECT
