@@ -87,8 +87,7 @@ def _ml_data(s, d, label="category_level_1"):
     c = corpus(s, d)
     train = c.filter("split = 'train'")
     voc = TR.fit_vectorizer(train, "doc", WORDS, NB_MAX, NB_MIN_DF)
-    size = voc.select(F.count(F.lit(1))).scalar()
-    n_voc = voc.count()
+    n_voc = voc.count()  # vector size (a scalar; the vocabulary itself stays distributed)
     labels = train.select(label).distinct().orderBy(label).withColumn("label_idx", F.monotonically_increasing_id())
     lab = c.select("doc", label, "split").join(labels, label)
 
@@ -97,7 +96,6 @@ def _ml_data(s, d, label="category_level_1"):
     def vecs(part):
         x = TR.transform(c.filter(F.col("split") == part), "doc", WORDS, voc)
         return TR.to_sparse_vectors(x, n_voc).join(lab, "doc").checkpoint()
-    del size
     return vecs, labels
 
 
