@@ -133,3 +133,17 @@ def model_compare(metrics: DataFrame, model: str = "model", score: str = "macro_
     best = metrics.select(F.max(score)).scalar()
     return metrics.select(model, score, "accuracy", (F.col(score) == best).alias("is_best"),
                           F.round(F.col(score) - best, 6).alias("delta_to_best"))
+
+
+def confusion_matrix(P: DataFrame, labels, task: str | None = None) -> DataFrame:
+    """Zero-filled matrix for one task: a row per true label, a column per
+    label of the known domain ``labels`` (the union of true and predicted
+    labels). Built by pivoting the sparse cells, so no label × label spine is
+    joined; the column count is the label domain's size."""
+    cells = confusion(P.filter(F.col("task") == task) if task else P, ())
+    labels = list(labels)
+    wide = cells.groupBy(TRUE).pivot(PRED, labels).agg(F.first("n"))
+    spine = cells.sparkSession.createDataFrame([(lb,) for lb in labels], [TRUE]) \
+        .withColumn(TRUE, F.col(TRUE).cast(cells.schema[TRUE].dataType))
+    rows = spine.join(wide, TRUE, "left")
+    return rows.select(TRUE, *[F.coalesce(F.col(f"`{lb}`"), F.lit(0)).cast("bigint").alias(f"pred_{lb}") for lb in labels])

@@ -65,3 +65,13 @@ def test_topk_rises_with_k(spark):
     import __spark_entry__ as E
     r = E.queries()["topk_global"](spark, "/root/testdata/sf0.001").first()
     assert r["global_top_3_count"] <= r["global_top_5_count"] <= r["n_eval"]
+
+
+def test_confusion_matrix_zero_filled(spark):
+    from corpuslab.operators.metrics import confusion_matrix
+    P = spark.createDataFrame([("a", "l1", 1, 1), ("b", "l1", 1, 2), ("c", "l1", 2, 2), ("d", "l1", 3, 2)],
+                              "id string, task string, true_id long, pred_id long")
+    m = {r["true_id"]: r for r in confusion_matrix(P, [1, 2, 3], "l1").collect()}
+    assert set(m) == {1, 2, 3}                       # label only predicted or only true still gets a row
+    assert (m[1]["pred_1"], m[1]["pred_2"], m[1]["pred_3"]) == (1, 1, 0)
+    assert (m[3]["pred_1"], m[3]["pred_2"], m[3]["pred_3"]) == (0, 1, 0)
