@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslab.llm import license_scan, quality, secret_scan, sharding
+from corpuslab.llm import decontaminate, license_scan, packing, quality, secret_scan, sharding
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.find(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.assess(_docs(spark, sf_dir)).drop("lang", "text_key")
 
@@ -20,6 +24,10 @@ def op7_sharding(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_packing(spark, sf_dir):
+    return packing.pack(_docs(spark, sf_dir))
+
+
 def op9_secret_scan(spark, sf_dir):
     return secret_scan.digest(_docs(spark, sf_dir))
 
@@ -28,5 +36,5 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op7_sharding, op9_secret_scan, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op6_quality_rules, op7_sharding, op8_packing, op9_secret_scan, op10_license_scan)}
 SQL: dict[str, str] = {}

@@ -186,3 +186,29 @@ def strip_columns(df, *names: str):
     have = set(df.columns)
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast("string" if n != "doc_id" else "bigint").alias(n)
                        for n in names])
+
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_TOKEN = np.zeros(256, bool)
+_TOKEN[48:58] = _TOKEN[97:123] = True
+_TOKEN[128:] = True
+
+
+class Tokens:
+    """Folded tokens of a chunk: maximal runs of letters, digits and bytes
+    beyond ASCII, ASCII capitals lowered. ``h`` their fingerprints, ``doc``
+    their document, ``off`` the tokens of each document, ``s``/``e`` bounds."""
+
+    def __init__(self, c: Chunk):
+        low = _FOLD[c.data]
+        n = len(low)
+        is_t = np.zeros(n + 2, bool)
+        is_t[1:-1] = _TOKEN[low]
+        cut = np.zeros(n + 1, bool)
+        cut[c.off] = True
+        self.s = np.flatnonzero(is_t[1:] & (~is_t[:-1] | cut))
+        self.e = np.flatnonzero(is_t[:-1] & (~is_t[1:] | cut))
+        self.h = Rolling(_TABLE[low]).spans(self.s, self.e)
+        self.off = np.searchsorted(self.s, c.off)
+        self.doc = np.repeat(np.arange(c.n), np.diff(self.off))
