@@ -33,6 +33,7 @@ from corpuslab.session import materialize
 COMMON = 1 / 200
 MIN_CHARS, MIN_WORDS, MIN_LANG_WORDS = 300, 50, 2000
 MAX_CHAR_JS, MAX_WORD_JS = 0.32, 0.45
+MAX_BROADCAST_LANGS = 1000
 MIN_BASE_WORDS, MAX_REPEAT_PCT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "blank", "newline", "punctuation", "symbol", "other ascii", "beyond ascii")
@@ -187,10 +188,11 @@ def assess(docs: DataFrame) -> DataFrame:
         return m.select("lang", F.posexplode(col).alias("i", "n")).groupBy("lang", "i").agg(F.sum("n").alias("n")) \
             .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias("z")) \
             .select("lang", F.transform("z", lambda e: e["n"]).alias(f"ref_{col}"))
-    words = m.groupBy("lang").agg(F.sum("n_words").alias("ref_words"))
+    words = m.filter(F.col("lang").isin(sorted(cand))).groupBy("lang").agg(F.sum("n_words").alias("ref_words"))
     refs = words.join(total("classes"), "lang", "left").join(total("common"), "lang", "left")
     refs = refs.select("lang", "ref_words", "ref_classes", "ref_common")
-    j = m.join(refs, "lang", "left")
+    # one row for each language with a reference, counted above
+    j = m.join(F.broadcast(refs) if len(cand) <= MAX_BROADCAST_LANGS else refs, "lang", "left")
     # exactly the common words; everything else is one class of its own
     def pick(col):
         z = F.zip_with(col, "ref_common", lambda a, r: F.struct(a.alias("a"), r.alias("r")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontaminate, license_scan, packing, quality, secret_scan, sharding
+from corpuslab.llm import decontaminate, license_scan, packing, quality, secret_scan, sharding, substring_dedup
 
 
 def _docs(spark, sf_dir):
@@ -15,6 +15,10 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.find(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(_docs(spark, sf_dir))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.assess(_docs(spark, sf_dir)).drop("lang", "text_key")
 
@@ -36,5 +40,5 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op6_quality_rules, op7_sharding, op8_packing, op9_secret_scan, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_substring_dedup, op6_quality_rules, op7_sharding, op8_packing, op9_secret_scan, op10_license_scan)}
 SQL: dict[str, str] = {}
