@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontaminate, license_scan, packing, quality, secret_scan, sharding, substring_dedup
+from corpuslab.llm import decontaminate, license_scan, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup
 
 
 def _docs(spark, sf_dir):
@@ -19,6 +19,10 @@ def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(_docs(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(_docs(spark, sf_dir))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.assess(_docs(spark, sf_dir)).drop("lang", "text_key")
 
@@ -40,5 +44,5 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_substring_dedup, op6_quality_rules, op7_sharding, op8_packing, op9_secret_scan, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_substring_dedup, op5_suffix_dedup, op6_quality_rules, op7_sharding, op8_packing, op9_secret_scan, op10_license_scan)}
 SQL: dict[str, str] = {}
