@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontaminate, license_scan, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup
+from corpuslab.llm import decontaminate, jaccard_join, license_scan, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(_docs(spark, sf_dir))
+
+
 def op2_decontaminate(spark, sf_dir):
     return decontaminate.find(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
@@ -44,5 +48,5 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_substring_dedup, op5_suffix_dedup, op6_quality_rules, op7_sharding, op8_packing, op9_secret_scan, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_decontaminate, op3_substring_dedup, op5_suffix_dedup, op6_quality_rules, op7_sharding, op8_packing, op9_secret_scan, op10_license_scan)}
 SQL: dict[str, str] = {}
