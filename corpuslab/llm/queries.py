@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontaminate, jaccard_join, license_scan, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup
+from corpuslab.llm import decontaminate, jaccard_join, license_scan, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -23,6 +23,11 @@ def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(_docs(spark, sf_dir))
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return toxicity.classify(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digest(_docs(spark, sf_dir))
 
@@ -48,5 +53,5 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_decontaminate, op3_substring_dedup, op5_suffix_dedup, op6_quality_rules, op7_sharding, op8_packing, op9_secret_scan, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_decontaminate, op3_substring_dedup, op4_toxicity, op5_suffix_dedup, op6_quality_rules, op7_sharding, op8_packing, op9_secret_scan, op10_license_scan)}
 SQL: dict[str, str] = {}

@@ -64,7 +64,8 @@ def shard(docs: DataFrame, shards: int = 16, ranges: int = RANGES, sample: int =
     k = k.withColumn("range", _find(F.col("h"), cuts, ranges))
     sums = k.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     parts = F.ceil(F.greatest(F.col("bytes") * ranges / (TWICE * total["bytes"]), F.col("rows") * ranges / (TWICE * total["rows"]))).cast("int")
-    k = k.join(sums.select("range", F.greatest(F.lit(1), parts).alias("parts")), "range")
+    # at most ``ranges`` rows
+    k = k.join(F.broadcast(sums.select("range", F.greatest(F.lit(1), parts).alias("parts"))), "range")
     # the part: an equal interval of the second fingerprint
     place = F.pmod(F.shiftrightunsigned("t", 11), F.lit(1 << 53)) / F.lit(float(1 << 53))
     k = k.withColumn("part", F.floor(place * F.col("parts")).cast("int")).drop("parts")
@@ -77,5 +78,5 @@ def shard(docs: DataFrame, shards: int = 16, ranges: int = RANGES, sample: int =
     ws = Window.partitionBy("shard").orderBy("range", "part")
     units = units.withColumn("first", F.sum("rows").over(ws) - F.col("rows")).select("range", "part", "shard", "first")
     wr = Window.partitionBy("range", "part").orderBy("h", "t", "doc_id", "size", "text_crc32")
-    out = k.withColumn("place", F.row_number().over(wr) - 1).join(units, ["range", "part"])
+    out = k.withColumn("place", F.row_number().over(wr) - 1).join(F.broadcast(units), ["range", "part"])
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("place")).alias("slot"))
