@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpuslab.llm import decontaminate, jaccard_join, license_scan, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup, toxicity
 
 
@@ -54,4 +55,7 @@ def op10_license_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_decontaminate, op3_substring_dedup, op4_toxicity, op5_suffix_dedup, op6_quality_rules, op7_sharding, op8_packing, op9_secret_scan, op10_license_scan)}
+QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
