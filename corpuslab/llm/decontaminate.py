@@ -9,9 +9,10 @@ the overlap with the item's question and answer.
 * Passages: 2 S tokens every S tokens, S the longest item of the block; every
   occurrence of an item lies whole in some passage.
 * Skipping: in each chunk an item's terms are taken from the rarest there until
-  the others together stay under the threshold. A passage without enough of
-  these cannot reach the threshold with the item, so it is left out before the
-  index is walked; that bound is exact and drops no hit. The passages left walk
+  the others together weigh less than ``REST``. What a passage holds of these,
+  plus REST at most, bounds its score with the item; passages that reach the
+  threshold with no item are left out before the index is walked. The bound is
+  exact and drops no hit. The passages left walk
   the postings with block-max WAND and get *all* items above the threshold.
 * Verification: 5-token shingles. A hit is an item of which the passage holds
   at least ``OVERLAP`` of the question and of the answer (the last sentence), or of
@@ -36,7 +37,7 @@ from corpuslab.llm import textarrays as T
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.8, 5
-BLOCK_ITEMS, POSTING_BLOCK = 20000, 64
+BLOCK_ITEMS, POSTING_BLOCK, REST = 2000, 64, 0.1
 
 
 def _tokens(text: str) -> np.ndarray:
@@ -94,14 +95,14 @@ class Index:
 
     def essential(self, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flag of each posting, mass of each item outside its flagged ones):
-        per item the rarest terms until the rest is under the threshold."""
+        per item the rarest terms until the rest weighs less than ``REST``."""
         order = np.lexsort((freq[self.term], self.item))
         w, item = self.w[order], self.item[order]
         run = np.cumsum(w)
         start = np.searchsorted(item, np.arange(self.size))
         before = run - w - (run - w)[start][item]
         flag = np.zeros(len(w), bool)
-        flag[order] = before <= 1 - THRESHOLD + 1e-9
+        flag[order] = before <= 1 - REST + 1e-9
         rest = 1 - np.bincount(self.item[flag], weights=self.w[flag], minlength=self.size)
         return flag, rest
 
@@ -190,10 +191,10 @@ class Index:
         pas, t = pt // len(self.vocab), pt % len(self.vocab)
         rep = deg[t]
         base = np.repeat(ffirst[t] - np.concatenate([[0], np.cumsum(rep)[:-1]]), rep) + np.arange(rep.sum())
-        key, inv = np.unique(np.repeat(pas, rep) * self.size + fi[base], return_inverse=True)
-        bound = np.bincount(inv, weights=fw[base]) + rest[key % self.size]
+        bound = np.bincount(np.repeat(pas, rep) * self.size + fi[base], weights=fw[base], minlength=int(pas_off[-1]) * self.size)
+        key = np.flatnonzero(bound.reshape(-1, self.size) + rest >= THRESHOLD - 1e-9)
         found: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-        for q in np.unique(key[bound >= THRESHOLD - 1e-9] // self.size).tolist():
+        for q in np.unique(key // self.size).tolist():
             d = int(np.searchsorted(pas_off, q, side="right")) - 1
             a = int(tok.off[d]) + (q - int(pas_off[d])) * self.width
             b = min(a + 2 * self.width, int(tok.off[d + 1]))
@@ -243,8 +244,7 @@ def indexes(items: DataFrame, block: int = BLOCK_ITEMS):
     """The items' indexes, block by block (items come to the driver one block
     at a time, longest last so that a block's passages fit its items)."""
     rows: list[tuple[int, str]] = []
-    d = T.strip_columns(items, "item_id", "text") if "item_id" in items.columns else items
-    for r in d.toLocalIterator():
+    for r in T.strip_columns(items, "item_id", "text").toLocalIterator():
         rows.append((r[0], r[1]))
         if len(rows) == block:
             yield Index(rows)
