@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslab.llm import decontaminate, jaccard_join, license_scan, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup, toxicity
+from corpuslab.llm import decontaminate, jaccard_join, license_scan, packing, quality, secret_scan, sharding, sql, substring_dedup, suffix_dedup, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -34,7 +34,8 @@ def op5_suffix_dedup(spark, sf_dir):
 
 
 def op6_quality_rules(spark, sf_dir):
-    return quality.assess(_docs(spark, sf_dir)).drop("lang", "text_key")
+    out = quality.assess(_docs(spark, sf_dir)).drop("lang", "text_key")
+    return out.withColumn("char_js", F.round("char_js", 9)).withColumn("word_js", F.round("word_js", 9))
 
 
 def op7_sharding(spark, sf_dir):
@@ -56,6 +57,6 @@ def op10_license_scan(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_decontaminate, op3_substring_dedup, op4_toxicity, op5_suffix_dedup, op6_quality_rules, op7_sharding, op8_packing, op9_secret_scan, op10_license_scan)}
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.SQL)
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

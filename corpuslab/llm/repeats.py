@@ -1,7 +1,7 @@
 """What the two exact-repeat operators share: document keys, exact copies and
 the bookkeeping of positions.
 
-Documents are known by ``d`` (doc_id; null counts as the smallest) and ``k`` (a
+Documents are known by ``d`` (doc_id; null counts as the largest) and ``k`` (a
 32-bit tag of the text, so rows that share a doc_id but not a text stay apart).
 Positions travel as ``kp``: the tag in the upper half, the place in the lower.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import textarrays as T
 
-NULL_ID = -(1 << 63)
+NULL_ID = (1 << 63) - 1
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -181,11 +181,12 @@ def minimizers(h: np.ndarray, group: np.ndarray, w: int) -> tuple[np.ndarray, np
 
 
 def strip_columns(df, *names: str):
-    """The named columns only; ones that the input lacks become null."""
+    """The named columns only, ids as bigint and the rest as strings; a column
+    that the input lacks becomes null."""
     from pyspark.sql import functions as F
     have = set(df.columns)
-    return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast("string" if n != "doc_id" else "bigint").alias(n)
-                       for n in names])
+    kind = {n: "bigint" if n.endswith("_id") else "string" for n in names}
+    return df.select(*[(F.col(f"`{n}`") if n in have else F.lit(None)).cast(kind[n]).alias(n) for n in names])
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
