@@ -167,9 +167,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = text.join(later, ["d", "k"], "left_anti").mapInArrow(_level_first(length, first), R.ROWS)
     rows = text.join(R.positions(_survivors(rows)), ["d", "k"]).mapInArrow(_level_double(length, first), R.ROWS)
     rows = text.join(R.positions(_survivors(rows)), ["d", "k"]).mapInArrow(_level_last(length, first), R.ROWS + ", g2 int")
+    # repeats known within their batch need no shuffle by fingerprint
     place = F.struct("d", F.col("kp").bitwiseAND(0xFFFFFFFF).alias("s"))
-    firsts_at = F.min(place).over(Window.partitionBy("g", "g2", "known"))
-    gone = rows.withColumn("at", firsts_at).filter(F.col("known") | (place > F.col("at")))
+    first_at = F.min(place).over(Window.partitionBy("g", "g2"))
+    open_rows = rows.filter(~F.col("known")).select("g", "g2", "d", "kp")
+    gone = open_rows.withColumn("at", first_at).filter(place > F.col("at")).select("d", "kp") \
+        .unionByName(rows.filter("known").select("d", "kp"))
     spans = R.positions(gone).join(later, ["d", "k"], "full_outer")
     full = text.join(spans, ["d", "k"], "left")
     full = full.select(R.doc_id().alias("doc_id"), "text", F.coalesce("places", F.array().cast("array<int>")).alias("places"),
