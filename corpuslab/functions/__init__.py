@@ -1 +1 @@
-from .hashing import h32, unit_uniform, poisson1  # noqa: F401
+from .hashing import h32, unit_uniform  # noqa: F401

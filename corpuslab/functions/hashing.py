@@ -6,8 +6,6 @@ integer; DuckDB spells the same value ``('0x'||substr(md5(s),1,8))::BIGINT``.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,30 +26,5 @@ def unit_uniform(*parts) -> Column:
     return h32(*parts) / F.lit(4294967296.0)
 
 
-# Poisson(1) cumulative distribution for k = 0..12, used as the inverse-CDF
-# table of the Poisson bootstrap; derived from the formula, not a lookup.
-def poisson1_cdf(kmax: int = 12) -> list[float]:
-    out, term, acc = [], math.exp(-1.0), 0.0
-    for k in range(kmax + 1):
-        acc += term
-        out.append(acc)
-        term /= (k + 1)
-    return out
-
-
-def poisson1(u: Column) -> Column:
-    """Inverse CDF of Poisson(1) at u: one CASE chain (small generated code)."""
-    cdf = poisson1_cdf()
-    expr = F.when(u < F.lit(cdf[0]), F.lit(0))
-    for k, c in enumerate(cdf[1:], start=1):
-        expr = expr.when(u < F.lit(c), F.lit(k))
-    return expr.otherwise(F.lit(len(cdf)))
-
-
-def poisson1_sql(u: str) -> str:
-    cdf = poisson1_cdf()
-    return "(CASE " + " ".join(f"WHEN {u} < {repr(c)} THEN {k}" for k, c in enumerate(cdf)) + f" ELSE {len(cdf)} END)"
-
-
 def h32_sql(expr: str) -> str:
     return f"('0x' || substr(md5({expr}), 1, 8))::BIGINT"

@@ -51,9 +51,10 @@ def _nfc_udf(s: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC; Arrow-batched. Rows that are pure ASCII are already NFC,
-    so they skip the Python worker's work (the UDF returns them unchanged)."""
-    return _nfc_udf(c)
+    """Unicode NFC; Arrow-batched. A text without a character from U+0300 on (where
+    the combining marks begin) is in NFC already, so its text is not sent to the
+    Python worker."""
+    return F.coalesce(_nfc_udf(F.when(c.rlike("[^\\x00-\\u02FF]"), c)), c)
 
 
 def null_guard(c: Column) -> Column:

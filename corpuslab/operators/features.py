@@ -3,8 +3,8 @@
 TF-IDF follows the sublinear, smoothed, L2-normalised form: weight =
 (1 + ln tf) · (ln((1 + n) / (1 + df)) + 1), then divided by the document's
 norm. The vocabulary keeps terms with df ≥ min_df, then the ``max_features``
-most frequent by corpus count (ties by term); its size is that parameter, so
-joining it back is a broadcast of a proven size.
+most frequent by corpus count (ties by term). Whether it is broadcast is left to
+the planner, which knows its size.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def term_counts(df: DataFrame, doc: str, terms) -> DataFrame:
     """(doc, term, tf). ``terms`` is an array<string> expression or a
     ``WordTerms`` spec (tokens are then materialised once per row before the
     n-gram lambdas read them)."""
+    if isinstance(terms, DataFrame):  # counted before: (doc, term, tf) of more documents
+        return terms.join(df.select(F.col(doc).alias("doc")), "doc", "left_semi")
     if isinstance(terms, WordTerms):
         x = df.select(F.col(doc).alias("doc"), X.word_tokens(F.col(terms.text)).alias("_tok"))
         arr = F.col("_tok") if (terms.lo, terms.hi) == (1, 1) else X.word_ngrams(F.col("_tok"), terms.lo, terms.hi)
@@ -58,7 +60,7 @@ def vocabulary(tf: DataFrame, max_features: int | None = None, min_df: int = 1)
 def tfidf(tf: DataFrame, n_docs: Column, vocab: DataFrame) -> DataFrame:
     """(doc, term, weight) over the vocabulary, L2-normalised per document."""
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
-    w = tf.join(F.broadcast(vocab.select("term", "df")), "term") \
+    w = tf.join(vocab.select("term", "df"), "term") \
         .select("doc", "term", ((1 + F.log(F.col("tf"))) * idf).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
     return w.select("doc", "term", (F.col("w") / norm).alias("weight"))
@@ -80,19 +82,15 @@ def centroids(w: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 def separability(cent: DataFrame, label: str) -> DataFrame:
-    """Mean cosine distance between different class centroids. The self-join
-    pairs classes per term, so its size is bounded by classes² per term."""
-    a = cent.select(F.col(label).alias("a"), "term", F.col("value").alias("va"))
-    b = cent.select(F.col(label).alias("b"), "term", F.col("value").alias("vb"))
-    dots = a.join(b, "term").filter(F.col("a") < F.col("b")).groupBy("a", "b") \
-        .agg(F.sum(F.col("va") * F.col("vb")).alias("dot"))
-    norms = cent.groupBy(label).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("nrm"))
-    pairs = norms.select(F.col(label).alias("a"), F.col("nrm").alias("na")) \
-        .join(norms.select(F.col(label).alias("b"), F.col("nrm").alias("nb")), F.col("a") < F.col("b"))
-    d = pairs.join(dots, ["a", "b"], "left").select(
-        (1 - F.coalesce(F.col("dot"), F.lit(0.0)) / (F.col("na") * F.col("nb"))).alias("dist"))
-    return d.agg(F.avg("dist").alias("mean_inter_class_cosine_distance")) \
-        .withColumn("n_classes", norms.select(F.count(F.lit(1))).scalar())
+    """Mean cosine distance between different class centroids, without pairing
+    classes: for unit centroids the k(k-1) ordered cosines sum to
+    ||sum of the centroids||^2 - k."""
+    unit = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(label)))
+    c = cent.withColumn("_u", F.col("value") / unit)
+    k = cent.select(F.count_distinct(label)).scalar()
+    total = c.groupBy("term").agg(F.sum("_u").alias("_t")).agg(F.sum(F.col("_t") * F.col("_t")).alias("_q"))
+    return total.select(F.try_subtract(F.lit(1.0), F.try_divide(F.col("_q") - k, k * (k - 1))).alias("mean_inter_class_cosine_distance"),
+                        k.alias("n_classes"))
 
 
 def threshold_pairs(w: DataFrame, test_ids: DataFrame, train_ids: DataFrame, t: float) -> DataFrame:
@@ -133,6 +131,14 @@ def flag_near_dups(w: DataFrame, test_ids: DataFrame, train_ids: DataFrame, t: f
     return threshold_pairs(w, test_ids, train_ids, t).groupBy("test").agg(F.max("cosine").alias("max_sim"))
 
 
+def max_sims(w: DataFrame, test_ids: DataFrame, train_ids: DataFrame, floor: float) -> DataFrame:
+    """One row for every test document: its best train similarity, exact where
+    it reaches ``floor``; else null and ``below_floor``."""
+    best = flag_near_dups(w, test_ids, train_ids, floor)
+    return test_ids.select(F.col("doc").alias("test")).join(best, "test", "left") \
+        .withColumn("below_floor", F.col("max_sim").isNull())
+
+
 def near_dup_lsh(w: DataFrame, test_ids: DataFrame, train_ids: DataFrame, t: float,
                  num_hash_tables: int = 5, jaccard_distance: float = 0.6) -> DataFrame:
     """Approximate route for large corpora: MinHash LSH on term sets proposes
@@ -158,9 +164,9 @@ def pad_ids(tokens: DataFrame, doc: str, vocab: DataFrame, max_len: int) -> Data
     """Token ids (vocabulary rank + 2; 1 unknown, 0 padding), truncated and
     padded to ``max_len``, with the attention mask."""
     v = vocab.select("term", (F.col("rank") + 1).alias("tid"))
-    t = tokens.select(doc, F.posexplode("tokens").alias("pos", "term")).join(F.broadcast(v), "term", "left")
+    t = tokens.select(doc, F.posexplode(F.slice("tokens", 1, max_len)).alias("pos", "term")).join(v, "term", "left")
     g = t.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("tid", F.lit(1)).alias("tid")))).alias("s"))
-    ids = F.slice(F.transform("s", lambda x: x["tid"]), 1, max_len)
+    ids = F.transform("s", lambda x: x["tid"])
     n = F.size(ids)
     return tokens.select(doc).join(g, doc, "left").select(
         doc, F.concat(F.coalesce(ids, F.array().cast("array<bigint>")),

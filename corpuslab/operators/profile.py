@@ -30,8 +30,9 @@ def null_counts(df: DataFrame, only_positive: bool = True) -> DataFrame:
 
 
 def dup_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(n_rows, n_distinct, n_duplicates); nulls compare equal (struct)."""
-    key = F.struct(*[F.col(c) for c in cols])
+    """(n_rows, n_distinct, n_duplicates); nulls compare equal. The shuffle key is
+    a digest, not the values."""
+    key = F.sha2(F.to_json(F.struct(*[F.col(c) for c in cols])), 256)
     return (df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_distinct"))
             .withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct")))
 

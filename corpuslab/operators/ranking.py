@@ -28,10 +28,19 @@ def bucketed_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], buc
     sizes = x.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     pre = sizes.withColumn("_off", F.coalesce(F.sum("_bn").over(
         Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(pre.select(*group, "_b", "_off"), [*group, "_b"]) \
+    return _null_safe_join(local, pre.select(*group, "_b", "_off"), [*group, "_b"]) \
         .withColumn(name, F.col("_off") + F.col("_lr")).drop("_b", "_lr", "_off")
 
 
+def _null_safe_join(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which null equals null."""
+    o = other.select(*[F.col(c).alias(f"_j_{c}") if c in keys else F.col(c) for c in other.columns])
+    on = F.lit(True)
+    for c in keys:
+        on = on & df[c].eqNullSafe(o[f"_j_{c}"])
+    return df.join(o, on).drop(*[f"_j_{c}" for c in keys])
+
+
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
                     spread: Column, buckets: int = 64, name: str = "rank") -> DataFrame:
     """Exact top-k per group in two rounds: top-k per (group, spread bucket),
@@ -112,7 +121,7 @@ def stratified_split(df: DataFrame, id_col: str, label: str, seed: int = 42,
     q = q.select(label, (F.col("_n") - F.col("_temp")).alias("_train"), (F.col("_temp") - F.col("_test")).alias("_val"))
     shift = 32 - buckets_bits
     r = bucketed_rank(x, [label], [F.col("_key"), F.col(id_col)], F.shiftright(F.col("_key"), shift), "_r")
-    r = r.join(F.broadcast(q), label)
+    r = _null_safe_join(r, q, [label])
     split = F.when(F.col("_r") <= F.col("_train"), "train") \
         .when(F.col("_r") <= F.col("_train") + F.col("_val"), "val").otherwise("test")
     return r.withColumn("split", split).drop("_key", "_r", "_train", "_val")
@@ -149,20 +158,22 @@ def early_stop(history: DataFrame, patience: int, run: str = "run", epoch: str =
 
 
 def running_mean(df: DataFrame, part: Sequence[str], order: Sequence[str], value: str, bucket: Column,
-                 name: str = "running_mean", scale: int = 6) -> DataFrame:
-    """Mean of ``value`` from the start of the partition to the current row.
-    Local running sums per (part, bucket) plus prefix totals of earlier
-    buckets, so a hot partition is spread over its buckets. Sums are exact
-    decimals, so the result does not depend on how the rows were split."""
-    x = df.withColumn("_b", bucket).withColumn("_v", F.col(value).cast(f"decimal(30,{scale})"))
+                 name: str = "running_mean", scale: int = 15) -> DataFrame:
+    """Mean of the non-null ``value``s from the start of the partition to the
+    current row (null before the first). ``bucket`` must be non-decreasing in
+    ``order``. Local running sums per (part, bucket) plus prefix totals of earlier
+    buckets, so a hot partition is spread over its buckets. Sums are decimals
+    with ``scale`` digits after the point, so the result does not depend on how
+    the rows were split."""
+    x = df.withColumn("_b", bucket).withColumn("_v", F.col(value).cast(f"decimal(38,{scale})"))
     wl = Window.partitionBy(*part, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    loc = x.withColumn("_s", F.sum("_v").over(wl)).withColumn("_c", F.count(F.lit(1)).over(wl))
-    tot = x.groupBy(*part, "_b").agg(F.sum("_v").alias("_bs"), F.count(F.lit(1)).alias("_bc"))
+    loc = x.withColumn("_s", F.sum("_v").over(wl)).withColumn("_c", F.count("_v").over(wl))
+    tot = x.groupBy(*part, "_b").agg(F.sum("_v").alias("_bs"), F.count("_v").alias("_bc"))
     wp = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     pre = tot.select(*part, "_b", F.coalesce(F.sum("_bs").over(wp), F.lit(0)).alias("_ps"),
                      F.coalesce(F.sum("_bc").over(wp), F.lit(0)).alias("_pc"))
-    return loc.join(pre, [*part, "_b"]).withColumn(
-        name, (F.col("_ps") + F.col("_s")).cast("double") / (F.col("_pc") + F.col("_c"))) \
+    total = (F.col("_ps") + F.coalesce("_s", F.lit(0))).cast("double")
+    return _null_safe_join(loc, pre, [*part, "_b"]).withColumn(name, F.try_divide(total, F.col("_pc") + F.col("_c"))) \
         .drop("_b", "_v", "_s", "_c", "_ps", "_pc")
 
 

@@ -23,8 +23,9 @@ def errors(P: DataFrame) -> DataFrame:
 
 def dedup(df: DataFrame, keys: Sequence[str], order: str, keep: Sequence[str]) -> DataFrame:
     """One row per key tuple (nulls equal), the smallest ``order`` kept.
-    Partial aggregation combines repeats map-side before the shuffle."""
-    g = df.groupBy(*keys).agg(F.min(F.struct(F.col(order), *[F.col(c) for c in keep if c != order])).alias("_r"))
+    Partial aggregation combines repeats map-side before the shuffle, whose key
+    is a digest of the (null-safe) key tuple, not the texts themselves."""
+    g = df.groupBy(F.sha2(F.to_json(F.struct(*keys)), 256).alias("_key")).agg(F.min(F.struct(F.col(order), *[F.col(c) for c in keep if c != order])).alias("_r"))
     return g.select("_r.*")
 
 

@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.hashing import h32, poisson1
 from corpuslab.operators.metrics import class_stats, confusion
 
 
-def binom_two_sided_p(k: Column, n: Column) -> Column:
-    """Exact two-sided binomial p for k = min(b, c) of n trials at p = 0.5:
-    min(1, 2·P(X ≤ k)), summed in log space term by term."""
-    ln_half = F.lit(-0.6931471805599453)
+def _half_beta(n: float, k: float) -> float:
+    """min(1, 2 P(X <= k)) of a fair binomial: the incomplete beta function
+    I_1/2(n - k, k + 1) by its continued fraction."""
+    if n <= 0 or 2 * k >= n:
+        return 1.0
+    a, b, x = n - k, k + 1.0, 0.5
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (a + b) * math.log(x)) / a
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    out = d
+    for m in range(1, 1_000_000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + num * d, 1 + num / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-13:
+            break
+    return min(1.0, 2 * front * out)
 
-    def step(acc, i):
-        # log C(n, i) from log C(n, i-1)
-        lc = F.when(i == 0, F.lit(0.0)).otherwise(acc["lc"] + F.ln(n - i + 1) - F.ln(i.cast("double")))
-        return F.struct(lc.alias("lc"), (acc["s"] + F.exp(lc + n * ln_half)).alias("s"))
 
-    agg = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint")),
-                      F.struct(F.lit(0.0).alias("lc"), F.lit(0.0).alias("s")), step)
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * agg["s"]))
+def binom_two_sided_p(k: Column, n: Column) -> Column:
+    """Exact two-sided binomial p for k = min(b, c) of n trials at p = 0.5. The
+    work grows with the root of n at most, and the call is made on the one row
+    of the 2x2 table."""
+    @F.pandas_udf("double")
+    def p(k: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_half_beta(float(y), float(x)) for x, y in zip(k, n)])
+    return p(k.cast("double"), n.cast("double"))
 
 
 def mcnemar(pa: DataFrame, pb: DataFrame, keys: Sequence[str] = ("id",), alpha: float = 0.05) -> DataFrame:
@@ -41,18 +60,40 @@ def mcnemar(pa: DataFrame, pb: DataFrame, keys: Sequence[str] = ("id",), alpha:
     return t.withColumn("p_value", F.round(p, 6)).withColumn("significant", F.col("p_value") < alpha)
 
 
-def bootstrap_f1(P: DataFrame, model: str, reps: int, seed: int, id_col: str = "id",
-                 probs: Sequence[float] = (0.025, 0.975)) -> DataFrame:
-    """Poisson bootstrap of macro-F1 per model. Every (row, replicate) gets a
-    Poisson(1) weight from a hash of (seed, rep, id) — the same weight for
-    every model, so models are compared on the same resample. Rows × reps is
-    folded map-side into (rep, model, true, pred) cells before any shuffle."""
-    rep = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
-    x = P.select(model, id_col, "true_id", "pred_id", rep)
-    x = x.withColumn("_u", h32(F.lit(f"{seed}|"), F.col("rep"), F.lit("|"), F.col(id_col)) / F.lit(4294967296.0))
-    x = x.withColumn("w", poisson1(F.col("_u"))).filter("w > 0")
+def replicate_cells(cells: DataFrame, keys: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """Poisson bootstrap on counts: each (cell, replicate) draws Poisson(n), the
+    sum of n Poisson(1) row weights, from a generator seeded by (seed, cell); the
+    work does not depend on n. One draw for a joint cell serves all models.
+    Rows: keys, rep, w."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*keys).schema) + ", rep int, w bigint"
+
+    def draw(batches):
+        for b in batches:
+            for row in b.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                digest = hashlib.md5(repr((seed, [str(x) for x in key])).encode()).digest()
+                w = np.random.Generator(np.random.Philox(int.from_bytes(digest, "little"))).poisson(row.n, reps)
+                hit = np.flatnonzero(w)
+                yield pd.DataFrame({**dict(zip(keys, key)), "rep": (hit + 1).astype("int32"), "w": w[hit].astype("int64")}, columns=[*keys, "rep", "w"])
+    return cells.select(*keys, "n").mapInPandas(draw, schema)
+
+
+def replicate_f1(P: DataFrame, model: str, reps: int, seed: int, id_col: str = "id") -> DataFrame:
+    """(model, rep, macro_f1). Rows are aggregated once to joint cells (true
+    label, every model's prediction), so all models see the same resample."""
+    joint = P.groupBy(id_col, "true_id").agg(F.sort_array(F.collect_list(F.struct(F.col(model), "pred_id"))).alias("preds"))
+    cells = joint.groupBy("true_id", F.to_json("preds").alias("preds")).agg(F.count(F.lit(1)).alias("n"))
+    each = F.from_json("preds", P.select(F.array(F.struct(F.col(model), "pred_id"))).schema[0].dataType)
+    x = replicate_cells(cells, ["true_id", "preds"], reps, seed).withColumn("_e", F.explode(each)) \
+        .select(F.col(f"_e.{model}").alias(model), "rep", "true_id", F.col("_e.pred_id").alias("pred_id"), "w")
     st = class_stats(confusion(x, [model, "rep"], weight="w"), [model, "rep"])
-    f1 = st.groupBy(model, "rep").agg(F.avg("f1").alias("macro_f1"))
+    return st.groupBy(model, "rep").agg(F.avg("f1").alias("macro_f1"))
+
+
+def bootstrap_f1(P: DataFrame, model: str, reps: int = 1000, seed: int = 7, id_col: str = "id",
+                 probs: Sequence[float] = (0.025, 0.975)) -> DataFrame:
+    """Mean and interval of macro-F1 per model over the replicates."""
+    f1 = replicate_f1(P, model, reps, seed, id_col)
     q = F.percentile("macro_f1", F.array(*[F.lit(p) for p in probs]))
     return f1.groupBy(model).agg(F.count(F.lit(1)).alias("reps"), F.round(F.avg("macro_f1"), 6).alias("mean"),
                                  q.alias("_q")) \
@@ -60,15 +101,6 @@ def bootstrap_f1(P: DataFrame, model: str, reps: int, seed: int, id_col: str = "
                 F.round(F.col("_q")[1], 6).alias("ci_high"))
 
 
-def replicate_f1(P: DataFrame, model: str, reps: int, seed: int, id_col: str = "id") -> DataFrame:
-    rep = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
-    x = P.select(model, id_col, "true_id", "pred_id", rep)
-    x = x.withColumn("_u", h32(F.lit(f"{seed}|"), F.col("rep"), F.lit("|"), F.col(id_col)) / F.lit(4294967296.0))
-    x = x.withColumn("w", poisson1(F.col("_u"))).filter("w > 0")
-    st = class_stats(confusion(x, [model, "rep"], weight="w"), [model, "rep"])
-    return st.groupBy(model, "rep").agg(F.avg("f1").alias("macro_f1"))
-
-
 def kde(samples: DataFrame, by: str, col: str, grid: int = 50) -> DataFrame:
     """Gaussian KDE on an equal grid between min and max, Scott bandwidth
     n^(-1/5)·std. The samples of one group (bootstrap replicates: their count

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as X
 from corpuslab.operators import features as FT
 from corpuslab.plans import sqlviews as V
 from corpuslab.plans.views import tickets
+from corpuslab.session import shared_table
 
-WORD_MAX, CHAR_MAX, SEP_MAX, NEAR_T = 10000, 10000, 10000, 0.9
+WORD_MAX, CHAR_MAX, SEP_MAX, NEAR_T, MIN_DF, SIM_FLOOR = 50000, 80000, 10000, 0.9, 2, 0.5
 
 
 def docs(s, d):
@@ -18,6 +20,11 @@ def docs(s, d):
                     "category_level_1", "priority")
 
 
+def counted(s, d, name, terms, source=None):
+    """(doc, term, tf) of all documents, counted once per session."""
+    return shared_table(s, (f"terms-{name}", d), lambda: FT.term_counts((source or docs)(s, d), "doc", terms))
+
+
 def _ntok(s, d):
     x = docs(s, d).select("doc", X.word_tokens(F.col("text")).alias("t"))
     return x.select(F.col("doc").alias("ticket_id"), F.size("t").cast("bigint").alias("n_tokens"),
@@ -34,27 +41,26 @@ def _stats(terms_fn, min_df=1):
 def _vocab(s, d):
     tf = FT.term_counts(docs(s, d), "doc", FT.word_terms("text", 1, 2))
     v = FT.vocabulary(tf, WORD_MAX, 2)
-    return v.withColumn("rank", F.row_number().over(__import__("pyspark.sql.window", fromlist=["W"]).Window
-                                                    .orderBy(F.col("cf").desc(), "term")).cast("bigint"))
+    return v.withColumn("rank", F.row_number().over(Window.orderBy(F.col("cf").desc(), "term")).cast("bigint"))
 
 
 def _tfidf(s, d):
-    w = FT.fit_tfidf(docs(s, d), "doc", FT.word_terms("text"), WORD_MAX)
+    w = FT.fit_tfidf(docs(s, d).select("doc"), "doc", counted(s, d, "word12", FT.word_terms("text", 1, 2)), WORD_MAX, MIN_DF)
     return w.select("doc", "term", F.round("weight", 6).alias("weight"))
 
 
 def _union(s, d):
-    ds = docs(s, d)
-    wb = FT.fit_tfidf(ds, "doc", FT.word_terms("text", 1, 2), WORD_MAX).withColumn("block", F.lit("word"))
-    cb = FT.fit_tfidf(ds, "doc", X.char_wb_ngrams(F.col("text"), 3, 5), CHAR_MAX).withColumn("block", F.lit("char"))
-    u = wb.unionByName(cb).withColumn("term", F.concat(F.col("block"), F.lit(":"), F.col("term")))
-    return u.groupBy("doc", "block").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("sum_weight"),
-                                         F.round(F.max("weight"), 6).alias("max_weight"))
+    ds = docs(s, d).select("doc")
+    wb = FT.fit_tfidf(ds, "doc", counted(s, d, "word12", FT.word_terms("text", 1, 2)), WORD_MAX, MIN_DF)
+    cb = FT.fit_tfidf(ds, "doc", counted(s, d, "char35", X.char_wb_ngrams(F.col("text"), 3, 5)), CHAR_MAX, MIN_DF)
+    u = wb.withColumn("block", F.lit("word")).unionByName(cb.withColumn("block", F.lit("char")))
+    return u.select("doc", "block", "term", F.round("weight", 6).alias("weight"))
 
 
 def near_dup_features(s, d):
     """Char 2–4-gram TF-IDF (50k vocabulary) fitted on train ∪ test raw text."""
-    return FT.fit_tfidf(docs(s, d), "doc", X.char_wb_ngrams(F.col("text"), 2, 4), 50000)
+    return shared_table(s, ("near-dup-weights", d), lambda: FT.fit_tfidf(
+        docs(s, d).select("doc"), "doc", counted(s, d, "char24", X.char_wb_ngrams(F.col("text"), 2, 4)), 50000))
 
 
 def _sides(s, d):
@@ -70,8 +76,8 @@ def _flag(s, d):
 
 def _max_sim(s, d):
     test, train = _sides(s, d)
-    return FT.flag_near_dups(near_dup_features(s, d), test, train, 0.5) \
-        .select(F.col("test").alias("test_idx"), F.round("max_sim", 6).alias("max_sim"))
+    sims = FT.max_sims(near_dup_features(s, d), test, train, SIM_FLOOR)
+    return sims.select(F.col("test").alias("test_idx"), F.round("max_sim", 6).alias("max_sim"), "below_floor")
 
 
 def _lsh(s, d):
@@ -84,16 +90,22 @@ def _norm_docs(s, d):
     return docs(s, d).withColumn("text", X.normalize_text(F.col("text")))
 
 
+def _sep_weights(s, d):
+    def build():
+        tf = counted(s, d, "norm-word1", FT.word_terms("text"), _norm_docs)
+        return FT.fit_tfidf(docs(s, d).select("doc"), "doc", tf, SEP_MAX)
+    return shared_table(s, ("separability-weights", d), build)
+
+
 def _centroids(s, d):
     ds = _norm_docs(s, d)
-    w = FT.fit_tfidf(ds, "doc", FT.word_terms("text"), SEP_MAX)
-    c = FT.centroids(w, ds, "category_level_1")
+    c = FT.centroids(_sep_weights(s, d), ds, "category_level_1")
     return c.select(F.col("category_level_1").alias("class"), "term", F.round("value", 6).alias("value"))
 
 
 def _sep(s, d):
     ds = _norm_docs(s, d)
-    w = FT.fit_tfidf(ds, "doc", FT.word_terms("text"), SEP_MAX)
+    w = _sep_weights(s, d)
     out = None
     for task in ("category_level_1", "priority"):
         r = FT.separability(FT.centroids(w, ds.withColumn(task, F.col(task).cast("string")), task), task) \
@@ -158,9 +170,9 @@ def char_wb(lo, hi, src="docs"):
 terms AS ({parts} UNION ALL SELECT doc, w FROM wd WHERE length(w) < {lo})"""
 
 
-def tfidf_sql(max_features, src="docs", name="tw"):
+def tfidf_sql(max_features, src="docs", name="tw", min_df=1):
     return f"""{name}_tf AS (SELECT doc, term, count(*) AS tf FROM terms GROUP BY ALL),
-{name}_v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM {name}_tf GROUP BY term ORDER BY cf DESC, term LIMIT {max_features}),
+{name}_v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM {name}_tf GROUP BY term HAVING count(*) >= {min_df} ORDER BY cf DESC, term LIMIT {max_features}),
 {name}_w AS (SELECT t.doc, t.term, (1 + ln(t.tf)) * (ln((1 + (SELECT count(*) FROM {src})) / (1 + v.df)) + 1) AS w
   FROM {name}_tf t JOIN {name}_v v USING (term)),
 {name} AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS weight FROM {name}_w)"""
@@ -204,11 +216,10 @@ SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc, ter
 SELECT term, df, cf, CAST(row_number() OVER (ORDER BY cf DESC, term) AS BIGINT) AS rank FROM (
   SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc, term, count(*) AS tf FROM terms GROUP BY ALL)
   GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT {WORD_MAX})""",
-    "tfidf": DOCS[:-1] + ",\n" + uni() + ",\n" + tfidf_sql(WORD_MAX) + "\nSELECT doc, term, round(weight, 6) AS weight FROM tw",
-    "tfidf_union": DOCS[:-1] + ",\n" + uni_bi() + ",\n" + tfidf_sql(WORD_MAX) + ",\n" +
-        char_wb(3, 5).replace("terms AS", "cterms AS") + ",\n" + tfidf_sql(CHAR_MAX, name="tc").replace("FROM terms", "FROM cterms") + """
-SELECT doc, block, count(*) AS n_terms, round(sum(weight), 6) AS sum_weight, round(max(weight), 6) AS max_weight FROM (
-  SELECT doc, 'word' AS block, weight FROM tw UNION ALL SELECT doc, 'char', weight FROM tc) GROUP BY ALL""",
+    "tfidf": DOCS[:-1] + ",\n" + uni_bi() + ",\n" + tfidf_sql(WORD_MAX, min_df=MIN_DF) + "\nSELECT doc, term, round(weight, 6) AS weight FROM tw",
+    "tfidf_union": DOCS[:-1] + ",\n" + uni_bi() + ",\n" + tfidf_sql(WORD_MAX, min_df=MIN_DF) + ",\n" +
+        char_wb(3, 5).replace("terms AS", "cterms AS") + ",\n" + tfidf_sql(CHAR_MAX, name="tc", min_df=MIN_DF).replace("FROM terms", "FROM cterms") + """
+SELECT doc, 'word' AS block, term, round(weight, 6) AS weight FROM tw UNION ALL SELECT doc, 'char', term, round(weight, 6) FROM tc""",
     "class_centroids": NDOCS[:-1] + ",\n" + _cen_sql("category_level_1") +
         "\nSELECT c AS class, term, round(value, 6) AS value FROM cen_category_level_1",
     "class_separability": NDOCS[:-1] + ",\n" + _cen_sql("category_level_1") + ",\n" + _cen_sql("priority") + "\n" +

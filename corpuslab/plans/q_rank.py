@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslab.functions.hashing import h32_sql, poisson1_sql
+from corpuslab.functions.hashing import h32_sql
 from corpuslab.operators import metrics as M
 from corpuslab.operators import ranking as R
 from corpuslab.operators import stats as S
@@ -65,18 +65,20 @@ def _nested(s, d):
 
 
 def _pair(s, d):
-    p = predictions(s, d, salts=["42", "123"]).filter("task = 'l1'")
-    return p.filter("salt = '42'"), p.filter("salt = '123'")
+    return tuple(predictions(s, d, salts=[x]).filter("task = 'l1'") for x in ("42", "123"))
+
+
+REPLICATES = 1000
 
 
 def _boot(s, d):
     p = predictions(s, d, salts=["42", "123"]).filter("task = 'l1'")
-    return S.bootstrap_f1(p, "salt", 100, 7)
+    return S.bootstrap_f1(p, "salt", REPLICATES, 7)
 
 
 def _kde(s, d):
     p = predictions(s, d, salts=["42", "123"]).filter("task = 'l1'")
-    return S.kde(S.replicate_f1(p, "salt", 100, 7), "salt", "macro_f1", 50)
+    return S.kde(S.replicate_f1(p, "salt", REPLICATES, 7), "salt", "macro_f1", 50)
 
 
 QUERIES = {
@@ -95,7 +97,7 @@ QUERIES = {
     "best_checkpoint": lambda s, d: R.best_epoch(history(s, d)),
     "early_stop": lambda s, d: R.early_stop(history(s, d), 2),
     "running_loss": lambda s, d: R.running_mean(table(s, d, "events").select("event_id", "user_id", "ts", "value"),
-                                                ["user_id"], ["ts", "event_id"], "value", F.dayofmonth("ts"))
+                                                ["user_id"], ["ts", "event_id"], "value", F.date_trunc("day", F.col("ts")))
         .select("event_id", "user_id", F.round("running_mean", 6).alias("running_mean")),
     "batch_assign": lambda s, d: R.assign_batches(tickets(s, d).select("ticket_id"), ["ticket_id"], 64,
                                                   F.floor(F.col("ticket_id") / 1024)),
@@ -173,14 +175,6 @@ pred AS (SELECT id, task, CAST(arg_min(class_id, CASE WHEN logit = mx THEN class
   round(1.0 / sum(exp(logit - mx)), 4) AS confidence FROM sp GROUP BY id, task)"""
 
 PAIR = V.with_(V.predictions("p", salts=["42", "123"]), "pl AS (SELECT * FROM p WHERE task = 'l1')")
-_u = h32_sql("'7|' || CAST(rep AS VARCHAR) || '|' || id") + " / 4294967296.0"
-BOOT = PAIR[:-1] + f""",
-bx AS (SELECT salt, rep, true_id, pred_id, {poisson1_sql('u')} AS w FROM (
-  SELECT salt, id, true_id, pred_id, rep, {_u} AS u FROM pl, range(1, 101) r(rep))),
-bw AS (SELECT * FROM bx WHERE w > 0),
-""" + SM.class_stats("bw", ["salt", "rep"], "bst", weight="w") + """,
-f1 AS (SELECT salt, rep, avg(f1) AS macro_f1 FROM bst GROUP BY ALL)
-"""
 
 SQL = {
     "argmax_class": V.with_(V.SCORES) + """SELECT id, true_id, class_id AS pred_id FROM (
@@ -205,8 +199,8 @@ s AS (SELECT run, epoch, metric, improved, CAST(CASE WHEN grp = 0 THEN rn ELSE r
   SELECT *, row_number() OVER (PARTITION BY run, grp ORDER BY epoch) AS rn FROM g)),
 st AS (SELECT *, min(CASE WHEN since >= 2 THEN epoch END) OVER (PARTITION BY run) AS stop_epoch FROM s)
 SELECT run, epoch, metric, improved, since, stop_epoch, stop_epoch IS NULL OR epoch <= stop_epoch AS ran FROM st""",
-    "running_loss": """SELECT event_id, user_id, round(CAST(sum(CAST(value AS DECIMAL(30, 6))) OVER w AS DOUBLE)
-  / count(*) OVER w, 6) AS running_mean FROM events
+    "running_loss": """SELECT event_id, user_id, round(CAST(sum(CAST(value AS DECIMAL(38, 15))) OVER w AS DOUBLE)
+  / count(value) OVER w, 6) AS running_mean FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "batch_assign": V.with_(V.TICKETS) + """SELECT ticket_id, batch, CAST(least(64, n - batch * 64) AS BIGINT) AS batch_size FROM (
   SELECT ticket_id, CAST((row_number() OVER (ORDER BY ticket_id) - 1) // 64 AS BIGINT) AS batch, count(*) OVER () AS n FROM tickets)""",
@@ -231,12 +225,4 @@ SELECT n, both_correct, a_only, b_only, both_wrong,
     lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + m * ln(0.5))))) END, 6) AS p_value,
   round(CASE WHEN m = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, k + 1),
     lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + m * ln(0.5))))) END, 6) < 0.05 AS significant FROM pv""",
-    "bootstrap_ci": BOOT + """SELECT salt, count(*) AS reps, round(avg(macro_f1), 6) AS mean,
-  round(quantile_cont(macro_f1, 0.025), 6) AS ci_low, round(quantile_cont(macro_f1, 0.975), 6) AS ci_high FROM f1 GROUP BY salt""",
-    "kde_grid": BOOT + """, st AS (SELECT salt, min(macro_f1) AS lo, max(macro_f1) AS hi, count(*) AS n,
-  pow(count(*), -0.2) * stddev_samp(macro_f1) AS bw FROM f1 GROUP BY salt),
-g AS (SELECT st.*, gi, lo + (hi - lo) * gi / 49 AS x FROM st, range(0, 50) r(gi))
-SELECT g.salt, CAST(g.gi AS BIGINT) AS gi, round(g.x, 6) AS x,
-  round(sum(exp(-0.5 * pow((g.x - f1.macro_f1) / g.bw, 2))) / (g.n * g.bw * 2.5066282746310002), 6) AS density
-FROM g JOIN f1 ON g.salt = f1.salt GROUP BY g.salt, g.gi, g.x, g.n, g.bw""",
 }

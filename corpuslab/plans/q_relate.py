@@ -39,10 +39,10 @@ def _names(s, d):
 
 def _flag_exact(s, d):
     """Test tickets (odd ids) whose text equals a training ticket's (even ids)."""
-    docs = table(s, d, "documents").select("doc_id", "text")
-    train = docs.filter(F.col("doc_id") % 2 == 0).select("text").distinct()
+    docs = table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
+    train = docs.filter(F.col("doc_id") % 2 == 0).select("key").distinct()
     test = docs.filter(F.col("doc_id") % 2 == 1)
-    return test.join(train, "text", "left_semi").select(F.col("doc_id").alias("ticket_id"))
+    return test.join(train, "key", "left_semi").select(F.col("doc_id").alias("ticket_id"))
 
 
 def _runs(s, d):

@@ -6,32 +6,39 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as X
-from corpuslab.operators import relate as RL
 from corpuslab.operators import training as TR
 from corpuslab.plans import q_train as QT
 from corpuslab.plans import sqlviews as V
 from corpuslab.plans.views import table, tickets
-from corpuslab.session import scratch_path
+from corpuslab.session import materialize, scratch_path
 from corpuslab.streaming import jobs as J
 
 
 def _stage(s, df, name, files=4):
-    """Copy a table into a stream directory. Event-time streams are staged
-    as one time-ordered file (``files=1``): with several round-robin files
-    every file spans all days, the watermark jumps after the first micro-batch
-    and which rows count as late would depend on file order."""
+    """Copy a table into a stream directory of several files."""
     path = scratch_path(s, f"stream_in_{name}")
-    (df.coalesce(1) if files == 1 else df.repartition(files)).write.parquet(path)
+    df.repartition(files).write.parquet(path)
     return path, df.schema
 
 
+def feed(s, df, ts, name, make, slices=4):
+    """Let a table arrive in event-time order: time slice by time slice is added
+    to the stream directory (by as many tasks as it takes), and after each the
+    query runs on with its checkpoint until it has drained what is there.
+    ``make`` turns the source into the streaming result; returns the sink."""
+    path, sink, ckpt = (scratch_path(s, f"stream_{x}_{name}") for x in ("in", "out", "ckpt"))
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    lo, hi = df.agg(F.min(t), F.max(t)).first()
+    for i in range(slices):
+        here = F.least(F.lit(slices - 1), F.floor((t - lo) * slices / F.lit(max(1, (hi or 0) - (lo or 0)))))
+        df.filter(here == i).write.mode("append").parquet(path)
+        J.run_to_parquet(make(J.stream_source(s, path, df.schema, max_files=1 << 20)), sink, ckpt)
+    return s.read.parquet(sink)
+
+
 def _score(s, d):
-    c = QT.corpus(s, d)
-    train = c.filter("split = 'train'")
-    voc = TR.fit_vectorizer(train, "doc", QT.WORDS, QT.NB_MAX, QT.NB_MIN_DF).checkpoint()
-    model = TR.fit_nb(TR.transform(train, "doc", QT.WORDS, voc), train.select("doc", F.col("category_level_1").alias("label")),
-                      "label", QT.ALPHA, voc)
-    model = (model[0].checkpoint(), model[1].checkpoint())
+    voc, _ = QT.corpus_vectors(s, d)
+    model = tuple(materialize(m, "stream-model") for m in QT.nb_model(s, d, "category_level_1"))
     incoming = tickets(s, d).select(F.col("ticket_id").alias("doc"), "title", "description")
     path, schema = _stage(s, incoming, "tickets")
 
@@ -41,7 +48,7 @@ def _score(s, d):
 
     sink = scratch_path(s, "stream_scores")
     J.stream_score(J.stream_source(s, path, schema), score, sink, scratch_path(s, "ckpt_score")).awaitTermination()
-    return s.read.parquet(sink)
+    return s.read.parquet(sink).select("doc", "pred")
 
 
 def _known(s, d):
@@ -57,20 +64,22 @@ def _known(s, d):
 
 def _counts(s, d):
     ev = table(s, d, "events").select("event_id", "ts", "event_type")
-    path, schema = _stage(s, ev.orderBy("ts"), "events", files=1)
-    out = J.stream_counts(J.stream_source(s, path, schema), "ts", ["event_type"], "1 day", "1 day")
-    sink = scratch_path(s, "stream_counts")
-    J.run_to_parquet(out, sink, scratch_path(s, "ckpt_counts"))
-    return s.read.parquet(sink)
+    return feed(s, ev, "ts", "counts", lambda src: J.stream_counts(src, "ts", ["event_type"], "1 day", "1 day"))
+
+
+FIRST_ARRIVAL = 1704067200  # 2024-01-01 UTC
+
+
+def arriving_tickets(s, d):
+    """Tickets with an arrival time, one a minute in order of their ids, and the
+    key of their text."""
+    t = tickets(s, d).select("ticket_id", X.compose_text(F.col("title"), F.col("description")).alias("text"))
+    return t.select("ticket_id", F.sha2("text", 256).alias("text_key"), F.timestamp_seconds(F.col("ticket_id") * 60 + FIRST_ARRIVAL).alias("ts"))
 
 
 def _dedup(s, d):
-    ev = table(s, d, "events").select("event_id", "ts", "user_id", "event_type")
-    path, schema = _stage(s, ev.orderBy("ts"), "events_dd", files=1)
-    out = J.stream_dedup(J.stream_source(s, path, schema), "ts", ["user_id", "event_type"], "1 hour")
-    sink = scratch_path(s, "stream_dedup")
-    J.run_to_parquet(out, sink, scratch_path(s, "ckpt_dedup"))
-    return s.read.parquet(sink)
+    """Repeated ticket texts within an hour of each other are dropped."""
+    return feed(s, arriving_tickets(s, d), "ts", "dedup", lambda src: J.stream_dedup(src, "ts", ["text_key"], "1 hour"))
 
 
 QUERIES = {
@@ -80,8 +89,12 @@ QUERIES = {
     "stream_dedup": _dedup,
 }
 SQL: dict[str, str] = {
+    "stream_score": QT.nb_sql("category_level_1", "'train', 'val', 'test'") + "SELECT doc, pred FROM nbp",
+    # windows that the watermark (latest event less a day) has closed
+    "stream_class_counts": """SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n
+FROM (SELECT date_trunc('day', ts) AS window_start, event_type FROM events)
+GROUP BY ALL HAVING window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
     "stream_known_labels": V.with_(V.TICKETS) + """SELECT ticket_id, category_level_1, category_level_2 FROM tickets
 WHERE category_level_1 IN (SELECT DISTINCT category_level_1 FROM tickets
   WHERE CAST(substr(category_level_2, 4, 10) AS INTEGER) < 15 AND category_level_1 <> 'de')""",
 }
-del RL

@@ -11,13 +11,14 @@ from corpuslab.functions import text as X
 from corpuslab.operators import features as FT
 from corpuslab.operators import metrics as M
 from corpuslab.operators import ranking as R
+from corpuslab.operators import relate as RL
 from corpuslab.operators import training as TR
 from corpuslab.plans import q_features as QF
 from corpuslab.plans import sqlviews as V
 from corpuslab.plans.q_rank import SPLIT_SQL
 from corpuslab.plans.q_text import s_norm
 from corpuslab.plans.views import table, tickets
-from corpuslab.session import shared_dir
+from corpuslab.session import materialize, shared_dir, shared_table
 
 ALPHA = 0.1
 NB_MAX, NB_MIN_DF, HIER_MAX = 50000, 2, 30000
@@ -25,6 +26,16 @@ WORDS = FT.word_terms("text", 1, 2)
 
 
 def corpus(s, d):
+    """The prepared tickets with their split, written once per session."""
+    return shared_table(s, ("corpus", d), lambda: _corpus(s, d))
+
+
+def corpus_terms(s, d):
+    """(doc, term, tf) of the prepared texts, counted once per session."""
+    return shared_table(s, ("corpus-terms", d), lambda: FT.term_counts(corpus(s, d), "doc", WORDS))
+
+
+def _corpus(s, d):
     t = tickets(s, d)
     sp = R.stratified_split(t.select("ticket_id", "category_level_1"), "ticket_id", "category_level_1", 42)
     return t.join(sp.select("ticket_id", "split"), "ticket_id").select(
@@ -32,23 +43,38 @@ def corpus(s, d):
         "category_level_1", F.col("priority").cast("string").alias("priority"), "category_level_2", "category_level_3", "split")
 
 
+def corpus_vectors(s, d):
+    """(vocabulary fitted on train, TF-IDF rows of all documents)."""
+    voc = shared_table(s, ("corpus-vocabulary", d), lambda: TR.fit_vectorizer(
+        corpus(s, d).filter("split = 'train'"), "doc", corpus_terms(s, d), NB_MAX, NB_MIN_DF))
+    x = shared_table(s, ("corpus-vectors", d), lambda: TR.transform(corpus(s, d), "doc", corpus_terms(s, d), voc))
+    return voc, x
+
+
+def nb_model(s, d, label: str):
+    train = corpus(s, d).filter("split = 'train'").select("doc", F.col(label).alias("label"))
+    voc, x = corpus_vectors(s, d)
+    return TR.fit_nb(x, train, "label", ALPHA, voc)
+
+
 def nb_predictions(s, d, label: str, split: str = "test"):
-    c = corpus(s, d)
-    train, test = c.filter("split = 'train'"), c.filter(F.col("split") == split)
-    voc = TR.fit_vectorizer(train, "doc", WORDS, NB_MAX, NB_MIN_DF)
-    model = TR.fit_nb(TR.transform(train, "doc", WORDS, voc), train.select("doc", F.col(label).alias("label")),
-                      "label", ALPHA, voc)
-    pred = TR.predict_nb(TR.transform(test, "doc", WORDS, voc), test.select("doc"), model, "label", ALPHA)
+    test = corpus(s, d).filter(F.col("split") == split)
+    _, x = corpus_vectors(s, d)
+    mine = x.join(test.select("doc"), "doc", "left_semi")
+    pred = TR.predict_nb(mine, test.select("doc"), nb_model(s, d, label), "label", ALPHA)
     return test.select("doc", F.col(label).alias("true_label")).join(pred, "doc")
 
 
 def _hier(s, d):
     c = corpus(s, d).withColumn("parent", F.col("category_level_1")).withColumn("label", F.col("priority"))
     train, test = c.filter("split = 'train'"), c.filter("split = 'test'")
-    voc = TR.fit_vectorizer(train, "doc", WORDS, HIER_MAX, 1, keys=["parent"])
-    xs = TR.transform(train, "doc", WORDS, voc, keys=["parent"])
+    tf = corpus_terms(s, d)
+    voc = materialize(TR.fit_vectorizer(train, "doc", tf, HIER_MAX, 1, keys=["parent"]), "hier-vocabulary")
+    both = c.filter("split in ('train', 'test')")
+    x = materialize(TR.transform(both, "doc", tf, voc, keys=["parent"]), "hier-vectors")
+    xs = x.join(train.select("doc"), "doc", "left_semi")
     model = TR.fit_nb(xs, train.select("doc", "parent", "label"), "label", ALPHA, voc, keys=["parent"])
-    pred = TR.predict_nb(TR.transform(test, "doc", WORDS, voc, keys=["parent"]), test.select("doc", "parent"),
+    pred = TR.predict_nb(x.join(test.select("doc"), "doc", "left_semi"), test.select("doc", "parent"),
                          model, "label", ALPHA, keys=["parent"])
     return test.select("doc", "parent", F.col("label").alias("true_label")).join(pred.drop("parent"), "doc")
 
@@ -86,16 +112,17 @@ def _aux(s, d):
 def _ml_data(s, d, label="category_level_1"):
     c = corpus(s, d)
     train = c.filter("split = 'train'")
-    voc = TR.fit_vectorizer(train, "doc", WORDS, NB_MAX, NB_MIN_DF)
+    voc, x = corpus_vectors(s, d)
     n_voc = voc.count()  # vector size (a scalar; the vocabulary itself stays distributed)
-    labels = train.select(label).distinct().orderBy(label).withColumn("label_idx", F.monotonically_increasing_id())
-    lab = c.select("doc", label, "split").join(labels, label)
+    labels = RL.build_dimension(train, [label]).select(F.col("label").alias(label), F.col("label_id").alias("label_idx"))
+    # a test class that train lacks keeps its rows under an index that no model predicts
+    lab = c.select("doc", label, "split").join(labels, label, "left").withColumn("label_idx", F.coalesce("label_idx", F.lit(-1).cast("bigint")))
 
     shared_dir(s)  # iterative fits read checkpointed vectors, not the text pipeline
 
     def vecs(part):
-        x = TR.transform(c.filter(F.col("split") == part), "doc", WORDS, voc)
-        return TR.to_sparse_vectors(x, n_voc).join(lab, "doc").checkpoint()
+        docs = lab.filter(F.col("split") == part)
+        return TR.to_sparse_vectors(x.join(docs.select("doc"), "doc", "left_semi"), n_voc, docs).join(lab, "doc").checkpoint()
     return vecs, labels
 
 
@@ -196,10 +223,10 @@ BASE = V.with_(V.TICKETS, SPLIT_SQL, f"""nd AS (SELECT t.ticket_id AS doc, {s_no
                QF.uni_bi("nd"), "tf AS (SELECT doc, term, count(*) AS tf FROM terms GROUP BY ALL)")
 
 
-def nb_sql(label):
+def nb_sql(label, split="'test'"):
     return BASE[:-1] + f""",
 trd AS (SELECT doc, {label} AS label FROM nd WHERE split = 'train'),
-ted AS (SELECT doc, {label} AS label FROM nd WHERE split = 'test'),
+ted AS (SELECT doc, {label} AS label FROM nd WHERE split IN ({split})),
 voc AS (SELECT term, df, ln((1 + (SELECT count(*) FROM trd)) / (1 + df)) + 1 AS idf FROM (
   SELECT term, count(*) AS df, sum(tf) AS cf FROM tf WHERE doc IN (SELECT doc FROM trd) GROUP BY term
   HAVING count(*) >= {NB_MIN_DF} ORDER BY cf DESC, term LIMIT {NB_MAX})),

@@ -20,7 +20,7 @@ def build_session(master: str | None = None, app: str = "corpuslab",
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.driver.memory", "16g")
+         .config("spark.driver.memory", "8g")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
@@ -36,8 +36,9 @@ def build_session(master: str | None = None, app: str = "corpuslab",
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local runs, tests) a private folder
-    is created and registered as the checkpoint directory.
+    Only a local session that names none (tests) gets a private folder,
+    registered as its checkpoint directory; on a cluster that would be one
+    machine's disk, so there a missing setting raises.
     """
     global _LOCAL_ROOT
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception:  # Spark Connect has no SparkContext
             d = None
     if not d:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _LOCAL_ROOT is None:
             _LOCAL_ROOT = tempfile.mkdtemp(prefix="corpuslab-")
         d = _LOCAL_ROOT
@@ -70,3 +73,17 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_TABLES: dict[tuple, str] = {}
+
+
+def shared_table(spark: SparkSession, key: tuple, build):
+    """``build()`` written once per session and key as a table in the shared
+    folder; every later use, in any query, reads it."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _TABLES:
+        path = scratch_path(spark, str(key[1]))
+        build().write.mode("overwrite").parquet(path)
+        _TABLES[key] = path
+    return spark.read.parquet(_TABLES[key])

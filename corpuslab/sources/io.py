@@ -41,11 +41,14 @@ REPORT_SCHEMA = T.StructType([
     T.StructField("n_flagged_above_threshold", T.LongType())])
 
 
-def write_flag_report(flagged: DataFrame, id_col: str, threshold: float, path: str, shards: int = 16) -> None:
-    """Near-duplicate report documents. One document per shard keeps every
-    document (and task) bounded; the announced total is repeated in each."""
+def write_flag_report(flagged: DataFrame, id_col: str, threshold: float, path: str,
+                      per_document: int = 10_000) -> None:
+    """Near-duplicate report documents of about ``per_document`` ids each: their
+    number grows with the ids, so a document (and its task) stays bounded. The
+    announced total is repeated in each."""
     total = flagged.select(F.count(F.lit(1))).scalar()
-    docs = flagged.groupBy(F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).alias("_s")).agg(
+    shards = F.greatest(F.lit(1), F.ceil(total / per_document))
+    docs = flagged.groupBy(F.pmod(F.xxhash64(F.col(id_col)), shards).alias("_s")).agg(
         F.collect_list(F.struct(F.col(id_col).cast("bigint").alias("test_idx"))).alias("flagged_pairs"))
     docs.select(F.lit(threshold).alias("threshold"), "flagged_pairs",
                 total.alias("n_flagged_above_threshold")).write.mode("overwrite").json(path)
@@ -75,9 +78,8 @@ def write_run_metrics(runs: DataFrame, path: str) -> None:
 def read_run_metrics(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """All run files under ``path`` matching ``glob``; config from the folder
     name (partition discovery), file name kept for provenance."""
-    df = spark.read.option("pathGlobFilter", glob).json(path)
-    return df.select("config", F.col("seed").cast("bigint").alias("seed"),
-                     F.to_json("metrics").alias("metrics"), F.col("_metadata.file_name").alias("file_name"))
+    df = spark.read.schema(RUN_SCHEMA).option("pathGlobFilter", glob).json(path)
+    return df.select("config", "seed", "metrics", F.col("_metadata.file_name").alias("file_name"))
 
 
 # Metric-key shapes tried in order, first hit wins (fixed values of the

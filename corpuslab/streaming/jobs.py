@@ -21,10 +21,10 @@ def stream_source(spark: SparkSession, path: str, schema, max_files: int = 1) ->
 def stream_score(src: DataFrame, score_batch: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
                  available_now: bool = True) -> StreamingQuery:
     """Normalise + score every micro-batch with ``score_batch`` (any batch
-    DataFrame function, e.g. the fitted naive Bayes) and append the
-    predictions to ``sink``."""
+    DataFrame function, e.g. the fitted naive Bayes) and write the predictions
+    to the batch's own folder of ``sink``; a replayed batch overwrites it."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        score_batch(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        score_batch(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
     w = src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 

@@ -2,6 +2,7 @@
 (the driver repeats this at sf0.01)."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -11,8 +12,8 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-SLOW = {"bootstrap_ci", "kde_grid", "aux_interpretation"}
-KEYS = sorted(k for k in E.oracle_sql() if k not in SLOW)
+
+KEYS = sorted(k for k in E.oracle_sql() if not re.match(r"op\d+_|pipeline", k))
 
 
 @pytest.fixture(scope="module")
@@ -47,4 +48,4 @@ def test_matches_duckdb(spark, con, key):
 
 def test_entry_runs(spark):
     df = E.entry(spark)
-    assert df.count() >= 0 and df.columns
+    assert df.count() > 0 and df.columns
