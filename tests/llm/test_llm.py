@@ -344,7 +344,7 @@ def test_sharding(spark, docs, pdocs, hard, none):
 def test_sharding_hot_text(spark):
     data = [(i, "the same text" if i % 3 else f"text {i} " * (i % 7)) for i in range(6000)] + [(i, "") for i in range(3000)]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
-    check_shards(sharding.shard(df, shards=16, ranges=64, sample=2048).collect(), data, 16, 0.08)
+    check_shards(sharding.shard(df, shards=16, ranges=1024, sample=8192).collect(), data, 16, 0.05)
 
 
 # --- 8 ----------------------------------------------------------------------
