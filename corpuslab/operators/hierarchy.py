@@ -100,12 +100,15 @@ def expand_path(df: DataFrame, leaf: str, pmap: DataFrame, pmap_up: DataFrame) -
 
 
 def hierarchical_f1(pw: DataFrame, tax: DataFrame) -> DataFrame:
-    """Mean hierarchical precision / recall over rows and hF of the means."""
-    m3 = tax.select(F.col("l3").alias("c3"), F.col("l2").alias("p2")).distinct()
-    m2 = tax.select(F.col("l2").alias("c2"), F.col("l1").alias("p1")).distinct()
-    x = pw.select("id", "pred_l3", "true_l3").join(m3, F.col("true_l3") == F.col("c3")) \
+    """Mean hierarchical precision / recall over rows and hF of the means. A true
+    leaf that the taxonomy lacks raises; of several parents the last counts."""
+    m3 = tax.groupBy(F.col("l3").alias("c3")).agg(F.max("l2").alias("p2"))
+    m2 = tax.groupBy(F.col("l2").alias("c2")).agg(F.max("l1").alias("p1"))
+    x = pw.select("id", "pred_l3", "true_l3").join(m3, F.col("true_l3") == F.col("c3"), "left") \
         .withColumnRenamed("p2", "t2").drop("c3") \
-        .join(m2, F.col("t2") == F.col("c2")).withColumnRenamed("p1", "t1").drop("c2")
+        .join(m2, F.col("t2") == F.col("c2"), "left").withColumnRenamed("p1", "t1").drop("c2")
+    x = x.withColumn("t1", F.when(F.col("t1").isNull(), F.raise_error(F.concat(
+        F.lit("true leaf not in the taxonomy: "), F.coalesce(F.col("true_l3").cast("string"), F.lit("null"))))).otherwise(F.col("t1")))
     x = x.join(m3, F.col("pred_l3") == F.col("c3"), "left").drop("c3") \
         .join(m2, F.col("p2") == F.col("c2"), "left").drop("c2")
     inter = ((F.col("pred_l3") == F.col("true_l3")).cast("int")

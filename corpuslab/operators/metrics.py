@@ -107,7 +107,9 @@ def error_summary(P: DataFrame, keys: Sequence[str] = ("task",)) -> DataFrame:
 
 
 def errors_by_class(P: DataFrame, keys: Sequence[str] = ("task",)) -> DataFrame:
-    return P.filter(F.col(PRED) != F.col(TRUE)).groupBy(*keys, TRUE).agg(F.count(F.lit(1)).alias("n_errors"))
+    """Errors per true class, the class with most first (ties by label)."""
+    e = P.filter(F.col(PRED) != F.col(TRUE)).groupBy(*keys, TRUE).agg(F.count(F.lit(1)).alias("n_errors"))
+    return e.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n_errors").desc(), F.col(TRUE))))
 
 
 def distribution_compare(P: DataFrame, train: DataFrame, keys: Sequence[str] = ("task",)) -> DataFrame:

@@ -27,7 +27,7 @@ def _train_labels(s, d):
     return j.select(F.explode(F.array(
         F.struct(F.lit("l1").alias("task"), F.col("n_regionkey").cast("bigint").alias("label")),
         F.struct(F.lit("l2").alias("task"), F.col("c_nationkey").cast("bigint").alias("label")))).alias("r")) \
-        .select("r.*")
+        .select("r.*").unionByName(table(s, d, "supplier").select(F.lit("l3").alias("task"), F.col("s_suppkey").cast("bigint").alias("label")))
 
 
 def _seed_runs(s, d):
@@ -95,8 +95,8 @@ QUERIES = {
     "metrics_by_task": lambda s, d: M.metrics_by_task(P(s, d)),
     "level_decay": lambda s, d: M.level_decay(P(s, d)),
     "error_rate": lambda s, d: M.error_summary(P(s, d)),
-    "pred_vs_true_dist": lambda s, d: M.distribution_compare(P(s, d).filter("task in ('l1', 'l2')"),
-                                                             _train_labels(s, d)),
+    "error_rate_by_class": lambda s, d: M.errors_by_class(P(s, d)),
+    "pred_vs_true_dist": lambda s, d: M.distribution_compare(P(s, d), _train_labels(s, d)),
     "confidence_hist": lambda s, d: PR.histogram(
         P(s, d).withColumn("correct", F.col("pred_id") == F.col("true_id")), "confidence", 30, by="correct"),
     "class_weak_list": lambda s, d: M.hardest_classes(P(s, d), 5),
@@ -136,11 +136,14 @@ UNION ALL SELECT 'mean', round(avg(accuracy), 6), round(avg(macro_f1), 6) FROM m
     "error_rate": PV + """SELECT task, n, n_errors, round(n_errors / n, 6) AS error_rate,
   round(n_errors * 100.0 / n, 2) AS error_pct FROM (SELECT task, count(*) AS n,
   CAST(sum(CASE WHEN pred_id <> true_id THEN 1 ELSE 0 END) AS BIGINT) AS n_errors FROM p GROUP BY task)""",
-    "pred_vs_true_dist": PV + """, pp AS (SELECT * FROM p WHERE task IN ('l1', 'l2')),
+    "error_rate_by_class": PV + """SELECT task, true_id, count(*) AS n_errors, row_number() OVER (PARTITION BY task
+  ORDER BY count(*) DESC, true_id) AS rank FROM p WHERE pred_id <> true_id GROUP BY task, true_id""",
+    "pred_vs_true_dist": PV + """, pp AS (SELECT * FROM p),
 t AS (SELECT task, true_id AS label, count(*) AS n_true FROM pp GROUP BY ALL),
 q AS (SELECT task, pred_id AS label, count(*) AS n_pred FROM pp GROUP BY ALL),
 tr0 AS (SELECT 'l1' AS task, CAST(n.n_regionkey AS BIGINT) AS label FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-  UNION ALL SELECT 'l2', CAST(c.c_nationkey AS BIGINT) FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+  UNION ALL SELECT 'l2', CAST(c.c_nationkey AS BIGINT) FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+  UNION ALL SELECT 'l3', CAST(s_suppkey AS BIGINT) FROM supplier),
 tr AS (SELECT task, label, count(*) AS n_train FROM tr0 GROUP BY ALL),
 j AS (SELECT coalesce(t.task, q.task) AS task, coalesce(t.label, q.label) AS label, n_true, n_pred
       FROM t FULL OUTER JOIN q ON t.task = q.task AND t.label = q.label)

@@ -7,13 +7,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslab.functions import text as X
 from corpuslab.operators import artefacts as A
 from corpuslab.operators import hierarchy as H
 from corpuslab.operators import metrics as M
 from corpuslab.operators import ranking as R
+from corpuslab.operators import relate as RL
 from corpuslab.plans import q_hier, q_metrics, q_rank, q_relate
 from corpuslab.plans import sqlmetrics as SM
 from corpuslab.plans import sqlviews as V
+from corpuslab.plans.q_text import s_norm
 from corpuslab.plans.views import history, predictions, predictions_wide, table, taxonomy, tickets
 from corpuslab.session import scratch_path
 from corpuslab.sources import io as IO
@@ -73,11 +76,22 @@ def _shapes(s, d):
     return ev.select("event_id", sh.alias("shape"), IO.extract_metric(doc, "l1").alias("macro_f1"))
 
 
+LABELS = {"category_level_1": "label_l1", "category_level_2": "label_l2", "category_level_3": "label_l3",
+          "priority": "label_priority", "sentiment": "label_sentiment"}
+PREPARED = ["ticket_id", "text", "title", "description", *list(LABELS)[:3], "label_l1", "label_l2", "label_l3",
+            "priority", "label_priority", "sentiment", "label_sentiment"]
+
+
 def _splits(s, d):
     path = scratch_path(s, "splits")
-    sp = R.stratified_split(tickets(s, d).select("ticket_id", "category_level_1"), "ticket_id", "category_level_1", 42)
-    IO.write_splits(sp, path, ["ticket_id", "category_level_1"])
-    return s.read.parquet(path).select("ticket_id", "category_level_1", "split")
+    t = tickets(s, d)
+    sp = R.stratified_split(t.select("ticket_id", "category_level_1"), "ticket_id", "category_level_1", 42)
+    t = t.join(sp.select("ticket_id", "split"), "ticket_id").withColumn(
+        "text", X.normalize_text(X.compose_text(F.col("title"), F.col("description"))))
+    t = RL.encode(t, RL.build_dimension(t, list(LABELS)), list(LABELS), prefix="_id_")
+    t = t.select("*", *[F.col(f"_id_{c}").alias(n) for c, n in LABELS.items()])
+    IO.write_splits(t, path, PREPARED)
+    return s.read.schema(t.select(*PREPARED, "split").schema).parquet(path)
 
 
 def _json_result(s, d):
@@ -94,6 +108,7 @@ def _json_result(s, d):
                        F.col("macro_f1_uncorrected.l1").alias("f1_l1"), F.col("macro_f1_uncorrected.l3").alias("f1_l3"))
 
 
+COMPOSED = "trim(coalesce(title, '') || ' ' || coalesce(description, ''))"
 REPORT_SCHEMA = T.StructType([T.StructField("task", T.StringType()), T.StructField("class", T.StringType())] +
                              [T.StructField(c, T.DoubleType()) for c in ("precision", "recall", "f1_score", "support")])
 
@@ -177,7 +192,12 @@ WHERE d.doc_id % 2 = 1 AND EXISTS (SELECT 1 FROM documents e WHERE e.text = d.te
   'lineitem_model' AS config, CAST(salt AS BIGINT) AS seed, task, macro_f1 FROM m""",
     "metrics_extract": f"""SELECT event_id, event_id % {len(SHAPES)} AS shape, {_sql_extract('doc', 'l1')} AS macro_f1
 FROM (SELECT event_id, {_doc} AS doc FROM events)""",
-    "sink_splits": V.with_(V.TICKETS, q_rank.SPLIT_SQL) + "SELECT * FROM splits",
+    "sink_splits": V.with_(V.TICKETS, q_rank.SPLIT_SQL) + f"""SELECT ticket_id, {s_norm(COMPOSED)} AS text, title, description,
+  t.category_level_1, t.category_level_2, t.category_level_3, priority, sentiment, """ + ", ".join(
+        f"CASE WHEN {c} IS NOT NULL THEN dense_rank() OVER (PARTITION BY {c} IS NULL ORDER BY CAST({c} AS VARCHAR)) - 1 END AS {n}"
+        for c, n in {"t.category_level_1": "label_l1", "t.category_level_2": "label_l2", "t.category_level_3": "label_l3",
+                     "priority": "label_priority", "sentiment": "label_sentiment"}.items()) + """, splits.split
+FROM tickets t JOIN splits USING (ticket_id)""",
     "sink_json_result": q_hier.INC + """, f AS (SELECT * FROM (SELECT 1)), """[:-len(", f AS (SELECT * FROM (SELECT 1)), ")] + """,
 """ + V.predictions("p") + ", " + SM.metrics("p", ["task"]) + """
 SELECT n_test, full_count, round(full_count / n_test, 6) AS full_rate,

@@ -120,14 +120,15 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, true_id, class_id, score): odd vec_ids scored against the label
     centroids of even vec_ids (dot product, 6 dp)."""
     e = table(spark, sf_dir, "embeddings")
-    pe = e.select("vec_id", "label", F.posexplode("embedding").alias("pos", "v"))
-    cent = (pe.filter(F.col("vec_id") % 2 == 0)
-            .groupBy(F.col("label").alias("class_id"), "pos").agg(F.avg("v").alias("c")))
-    test = pe.filter(F.col("vec_id") % 2 == 1)
-    return (test.join(cent, "pos")
-            .groupBy(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("true_id"),
-                     F.col("class_id").cast("bigint").alias("class_id"))
-            .agg(F.round(F.sum(F.col("v") * F.col("c")), 6).alias("score")))
+    pe = e.filter(F.col("vec_id") % 2 == 0).select("label", F.posexplode("embedding").alias("pos", "v"))
+    cent = pe.groupBy(F.col("label").cast("bigint").alias("class_id"), "pos").agg(F.avg("v").alias("c"))
+    rows = cent.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("w"))
+    # one array for each class: classes x dimensions, whatever the rows
+    heads = rows.select(F.collect_list(F.struct("class_id", F.transform("w", lambda x: x["c"]).alias("w")))).scalar()
+    test = e.filter(F.col("vec_id") % 2 == 1).select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("true_id"),
+                                                     "embedding", F.explode(heads).alias("head"))
+    dot = F.aggregate(F.zip_with("embedding", "head.w", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+    return test.select("id", "true_id", F.col("head.class_id").alias("class_id"), F.round(dot, 6).alias("score"))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
