@@ -15,7 +15,8 @@ is at least ``THRESHOLD`` (0.8).
   blocks of about ``BLOCK`` and pairs of blocks, each a small task of its own, so
   no node is gathered whole and candidate pairs are never rows.
 * Verification: the shingle sets go to the blocks in which a text has a
-  candidate, once for each; intersections are exact.
+  candidate, once for each; intersections are exact. A block answers with one
+  row a text: its number of links and its component there.
 * Classes: connected components of the links by alternating large-star and
   small-star steps, each written to the shared folder.
 
@@ -198,27 +199,48 @@ def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     return total[place[i], place[j]].astype(np.int64)
 
 
+LINKED = "d bigint, k int, n_links bigint, root_d bigint, root_k int"
+
+
 def _verify(threshold: float):
+    """Shingle sets by block -> for each text with links there: their number and
+    the smallest row of its component in the block. So what leaves a block grows
+    with its texts, not with its pairs."""
     def run(batches):
         for t in whole_groups(batches):
             d, k = np.asarray(t.column("d")), np.asarray(t.column("k"))
             sets = [np.frombuffer(x, dtype=np.uint64) for x in t.column("shingles").to_pylist()]
             n = np.array([len(s) for s in sets])
+            count, root = np.zeros(len(n), np.int64), np.arange(len(n))
             for i, j in candidate_pairs(t):
                 # sets too unequal in size cannot reach the threshold
                 fits = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
                 i, j = i[fits], j[fits]
                 for x in _by_nearness(i):
                     both = intersections(sets, i[x], j[x])
-                    union = n[i[x]] + n[j[x]] - both
-                    ok = both >= threshold * union - 1e-9
-                    a, b, both, union = i[x][ok], j[x][ok], both[ok], union[ok]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(d[a]), pa.array(k[a]), pa.array(d[b]), pa.array(k[b]), pa.array(both / union)],
-                                                         names=["d1", "k1", "d2", "k2", "jaccard"])
+                    ok = both >= threshold * (n[i[x]] + n[j[x]] - both) - 1e-9
+                    a, b = i[x][ok], j[x][ok]
+                    count += np.bincount(a, minlength=len(n)) + np.bincount(b, minlength=len(n))
+                    root = unite(root, a, b)
+            linked = np.flatnonzero(count)
+            if len(linked):
+                r = root[linked]
+                yield pa.RecordBatch.from_arrays([pa.array(d[linked]), pa.array(k[linked]), pa.array(count[linked]), pa.array(d[r]), pa.array(k[r])],
+                                                 names=["d", "k", "n_links", "root_d", "root_k"])
     return run
 
 
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Components (smallest member of each) after adding the edges a-b."""
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _by_nearness(i: np.ndarray):
     """Slices of the pairs whose first rows lie close together, so a matrix
     never spans many small groups."""
@@ -230,8 +252,8 @@ def _by_nearness(i: np.ndarray):
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(rows: d, k, first_d, copies of every document; links: d1, k1, d2, k2,
-    jaccard between different texts, by their first documents)."""
+    """(rows: d, k, first_d, copies of every document; linked: for texts with
+    links, by block, their number and a text of the same component)."""
     k = R.keyed(docs)
     depth = prefix_length(threshold, recall)
     forest = k.mapInArrow(_forest(depth), "d bigint, k int, h1 bigint, h2 bigint, label binary")
@@ -255,7 +277,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     text = k.select("d", "k", "text").join(places, ["d", "k"]).dropDuplicates(["d", "k"])
     sets = text.mapInArrow(_sets, "tree int, prefix bigint, low int, high int, block int, d bigint, k int, label binary, shingles binary")
     found = sets.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(
-        _verify(threshold), "d1 bigint, k1 int, d2 bigint, k2 int, jaccard double")
+        _verify(threshold), LINKED)
     return rows, materialize(found, "jaccard-links")
 
 
@@ -281,9 +303,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     """d, k, first_d, copies, n_links and root (d, k of the class's first text) of
     every row."""
     rows, found = links(docs, threshold, recall)
-    one, two = F.struct(F.col("d1").alias("d"), F.col("k1").alias("k")), F.struct(F.col("d2").alias("d"), F.col("k2").alias("k"))
-    roots = components(found.select(one.alias("a"), two.alias("b")))
-    count = found.select(one.alias("a")).union(found.select(two.alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
+    node, root = F.struct("d", "k"), F.struct(F.col("root_d").alias("d"), F.col("root_k").alias("k"))
+    roots = components(found.select(node.alias("a"), root.alias("b")).filter(F.col("a") != F.col("b")))
+    count = found.groupBy(node.alias("a")).agg(F.sum("n_links").alias("n_links"))
     per = count.join(roots, "a", "left")  # a root has no edge to itself
     j = rows.withColumn("a", F.struct(F.col("first_d").alias("d"), "k")).join(per, "a", "left")
     return j.select("d", "k", "first_d", "copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
