@@ -51,6 +51,19 @@ def corpus_vectors(s, d):
     return voc, x
 
 
+def union_vectors(s, d):
+    """(size, TF-IDF rows of all documents) over the union of word 1-2-grams and
+    char_wb 3-5-grams, each block normalised by itself, fitted on train."""
+    voc, x = corpus_vectors(s, d)
+    n = voc.count()
+    tf = QF.counted(s, d, "corpus-char35", X.char_wb_ngrams(F.col("text"), 3, 5), corpus)
+    cvoc = shared_table(s, ("corpus-char-vocabulary", d), lambda: TR.fit_vectorizer(
+        corpus(s, d).filter("split = 'train'"), "doc", tf, QF.CHAR_MAX, NB_MIN_DF))
+    both = shared_table(s, ("corpus-union", d), lambda: x.unionByName(
+        TR.transform(corpus(s, d), "doc", tf, cvoc).withColumn("idx", F.col("idx") + n)))
+    return n + cvoc.count(), both
+
+
 def nb_model(s, d, label: str):
     train = corpus(s, d).filter("split = 'train'").select("doc", F.col(label).alias("label"))
     voc, x = corpus_vectors(s, d)
@@ -112,8 +125,7 @@ def _aux(s, d):
 def _ml_data(s, d, label="category_level_1"):
     c = corpus(s, d)
     train = c.filter("split = 'train'")
-    voc, x = corpus_vectors(s, d)
-    n_voc = voc.count()  # vector size (a scalar; the vocabulary itself stays distributed)
+    size, x = union_vectors(s, d)
     labels = RL.build_dimension(train, [label]).select(F.col("label").alias(label), F.col("label_id").alias("label_idx"))
     # a test class that train lacks keeps its rows under an index that no model predicts
     lab = c.select("doc", label, "split").join(labels, label, "left").withColumn("label_idx", F.coalesce("label_idx", F.lit(-1).cast("bigint")))
@@ -122,7 +134,7 @@ def _ml_data(s, d, label="category_level_1"):
 
     def vecs(part):
         docs = lab.filter(F.col("split") == part)
-        return TR.to_sparse_vectors(x.join(docs.select("doc"), "doc", "left_semi"), n_voc, docs).join(lab, "doc").checkpoint()
+        return TR.to_sparse_vectors(x.join(docs.select("doc"), "doc", "left_semi"), size, docs).join(lab, "doc").checkpoint()
     return vecs, labels
 
 
