@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import ws_words
@@ -81,46 +81,71 @@ def text_lengths(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
     return df.select(*out)
 
 
+def _attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """The group's ``cols`` on every row: a join on the keys, or scalar
+    subqueries where there is one group only."""
+    if keys:
+        return df.join(stats.select(*keys, *cols), list(keys))
+    return df.select("*", *[stats.select(c).scalar().alias(c) for c in cols])
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], buckets: int = 1024) -> DataFrame:
+    """keys, q: exact linear quantiles of ``col`` (no nulls) by rank. Equal values
+    are counted first (map-side combined); the values are ranked within equal
+    ranges of the group, shifted by the sizes of the earlier ranges, so no task
+    holds a group."""
+    n = df.groupBy(*keys, F.col(col).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    st = df.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.count(F.lit(1)).alias("_total"))
+    v = _attach(n, st, keys, ["_lo", "_hi", "_total"])
+    v = v.withColumn("_b", F.coalesce(F.floor(F.try_divide((F.col("_x") - F.col("_lo")) * (buckets - 1), F.col("_hi") - F.col("_lo"))), F.lit(0)))
+    per = v.groupBy(*keys, "_b").agg(F.sum("_n").alias("_s"))
+    per = per.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_s")).drop("_s")
+    v = v.join(per, [*keys, "_b"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_x")))
+    def at(i):
+        return F.max(F.when((F.col("_upto") > i) & (F.col("_upto") - F.col("_n") <= i), F.col("_x")))
+    cols = []
+    for p in probs:
+        pos = (F.col("_total") - 1) * F.lit(p)
+        low, high = at(F.floor(pos)), at(F.ceil(pos))
+        cols.append(low + (high - low) * F.max(pos - F.floor(pos)))
+    return v.groupBy(*keys).agg(F.array(*cols).alias("q"))
+
+
+QUARTILES = (0.25, 0.5, 0.75)
+
+
 def describe_exact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std (ddof 1), min, linear quartiles, max per column.
-    Exact ``percentile`` (not ``summary()``'s approximation); memory is per
-    distinct value, which is bounded for lengths and counts."""
+    """count, mean, std (ddof 1), min, linear quartiles, max per column, exact."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in cols]))
         .alias("r")).select("r.*").filter(F.col("x").isNotNull())
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (long.groupBy("column_name").agg(
+    st = long.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("count"), F.round(F.avg("x"), 6).alias("mean"),
-        F.round(F.stddev_samp("x"), 6).alias("std"), F.min("x").alias("min"), q.alias("q"),
-        F.max("x").alias("max"))
-        .select("column_name", "count", "mean", "std", "min",
-                F.round(F.col("q")[0], 6).alias("q25"), F.round(F.col("q")[1], 6).alias("q50"),
-                F.round(F.col("q")[2], 6).alias("q75"), "max"))
+        F.round(F.stddev_samp("x"), 6).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return (st.join(exact_quantiles(long, ["column_name"], "x", QUARTILES), "column_name")
+            .select("column_name", "count", "mean", "std", "min",
+                    *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max"))
 
 
 def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> DataFrame:
     """Equal-width bins between min and max (last bin closed), empty bins
     included, plus the group's mean and median on every row."""
-    keys = [by] if by else ["_all"]
-    x = F.col(col).cast("double")
-    base = df.select(*([by] if by else [F.lit(0).alias("_all")]), x.alias("x")).filter(F.col("x").isNotNull())
-    stats = base.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
-                                    F.round(F.avg("x"), 6).alias("mean"),
-                                    F.round(F.median("x"), 6).alias("median"))
+    keys = [by] if by else []
+    base = df.select(*keys, F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    stats = base.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.round(F.avg("x"), 6).alias("mean"))
+    stats = _attach(stats, exact_quantiles(base, keys, "x", [0.5]), keys, ["q"]).withColumn("median", F.round(F.col("q")[0], 6)).drop("q")
     width = (F.col("hi") - F.col("lo")) / bins
-    # one-row-per-group stats joined back on the group key (no cross join)
-    binned = base.join(stats.select(*keys, "lo", "hi"), keys)
+    binned = _attach(base, stats, keys, ["lo", "hi"])
     binned = binned.select(*keys, F.when(F.col("hi") == F.col("lo"), 0).otherwise(
         F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).cast("bigint").alias("bin"))
     counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
-    spine = stats.select(*keys, "lo", "hi", "mean", "median",
+    spine = stats.filter(F.col("lo").isNotNull()).select(*keys, "lo", "hi", "mean", "median",
                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
-    out = (spine.join(counts, keys + ["bin"], "left")
-           .select(*keys, "bin",
-                   F.round(F.col("lo") + F.col("bin") * width, 6).alias("bin_lo"),
-                   F.round(F.col("lo") + (F.col("bin") + 1) * width, 6).alias("bin_hi"),
-                   F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"), "mean", "median"))
-    return out if by else out.drop("_all")
+    return (spine.join(counts, keys + ["bin"], "left")
+            .select(*keys, "bin",
+                    F.round(F.col("lo") + F.col("bin") * width, 6).alias("bin_lo"),
+                    F.round(F.col("lo") + (F.col("bin") + 1) * width, 6).alias("bin_hi"),
+                    F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"), "mean", "median"))
 
 
 def crosstab(df: DataFrame, rows: str, cols: str, values: Sequence, normalize: str | None = None,
@@ -158,12 +183,11 @@ def declared_vs_observed(df: DataFrame, declared: Mapping[str, int]) -> DataFram
 
 
 def token_budget(df: DataFrame, n_tokens: str, max_len: int) -> DataFrame:
-    x = F.col(n_tokens).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(x).alias("count"), F.round(F.avg(x), 6).alias("mean"),
-                  F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).alias("min"), q.alias("q"),
-                  F.max(x).alias("max"),
-                  F.round(F.avg((x <= max_len).cast("double")) * 100.0, 2).alias("pct_within")) \
-        .select("count", "mean", "std", "min", F.round(F.col("q")[0], 6).alias("q25"),
-                F.round(F.col("q")[1], 6).alias("q50"), F.round(F.col("q")[2], 6).alias("q75"),
-                "max", "pct_within")
+    base = df.select(F.col(n_tokens).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    x = F.col("x")
+    st = base.agg(F.count(x).alias("count"), F.round(F.avg(x), 6).alias("mean"),
+                  F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+                  F.round(F.avg((x <= max_len).cast("double")) * 100.0, 2).alias("pct_within"))
+    st = _attach(st, exact_quantiles(base, [], "x", QUARTILES), [], ["q"])
+    return st.select("count", "mean", "std", "min", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))],
+                     "max", "pct_within")

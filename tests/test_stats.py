@@ -125,3 +125,14 @@ def test_stream_score_replay_overwrites(spark, tmp_path):
     for ckpt in ("a", "b"):  # a lost checkpoint replays batch 0
         J.stream_score(J.stream_source(spark, src_dir, spark.range(1).schema, 100), lambda b: b, sink, str(tmp_path / ckpt)).awaitTermination()
     assert spark.read.parquet(sink).count() == 10
+
+
+def test_exact_quantiles(spark):
+    from corpuslab.operators import profile as PR
+    rng = np.random.default_rng(4)
+    data = {"a": rng.normal(0, 1, 501), "b": np.repeat([1.0, 2.0, 9.0], [300, 5, 7]), "c": np.array([3.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v], "k string, x double")
+    got = {r["k"]: r["q"] for r in PR.exact_quantiles(df, ["k"], "x", (0.1, 0.5, 0.975)).collect()}
+    for k, v in data.items():
+        assert got[k] == pytest.approx(np.quantile(v, [0.1, 0.5, 0.975]).tolist())
+    assert PR.exact_quantiles(df, [], "x", [0.5]).first()["q"][0] == pytest.approx(np.median(np.concatenate(list(data.values()))))
