@@ -10,29 +10,31 @@ from corpuslab.operators import metrics as M
 from corpuslab.plans import sqlmetrics as SM
 from corpuslab.plans import sqlviews as V
 from corpuslab.plans.views import predictions_wide, taxonomy
-from corpuslab.session import scratch_path
+from corpuslab.session import materialize, scratch_path
 
 
 def _pw(s, d):
     return predictions_wide(s, d)
 
 
-def _effect(s, d):
-    c = H.correct_paths(_pw(s, d), taxonomy(s, d))
+def effect(s, d):
+    """One row: macro-F1 before and after the correction, its deltas, and the
+    invalid pairs that remain. The corrected paths are written once."""
+    c = materialize(H.correct_paths(_pw(s, d), taxonomy(s, d)), "corrected-paths")
     long = c.select(F.explode(F.array(*[
         F.struct(F.lit(stage).alias("stage"), F.lit(lv).alias("task"), F.col(f"true_{lv}").alias("true_id"),
                  F.col(src).alias("pred_id"))
-        for stage, lv, src in (("before", "l2", "pred_l2"), ("after", "l2", "corr_l2"),
+        for stage, lv, src in (("before", "l1", "pred_l1"), ("before", "l2", "pred_l2"), ("after", "l2", "corr_l2"),
                                ("before", "l3", "pred_l3"), ("after", "l3", "corr_l3"))])).alias("r")).select("r.*")
     m = M.classification_metrics(long, ["stage", "task"])
     w = m.select(F.concat(F.lit("f1_"), F.col("task"), F.lit("_"), F.col("stage")).alias("k"), "macro_f1") \
-        .groupBy().pivot("k", ["f1_l2_before", "f1_l2_after", "f1_l3_before", "f1_l3_after"]).agg(F.first("macro_f1"))
+        .groupBy().pivot("k", ["f1_l1_before", "f1_l2_before", "f1_l2_after", "f1_l3_before", "f1_l3_after"]).agg(F.first("macro_f1"))
     post = H.pair_valid(c, taxonomy(s, d), "pred_l1", "corr_l2", "corr_l3").agg(
         F.sum((~F.col("l1_l2_valid")).cast("bigint")).alias("post_l1_l2_invalid"),
         F.sum((~F.col("l2_l3_valid")).cast("bigint")).alias("post_l2_l3_invalid"))
     w = w.withColumn("delta_l2", F.round(F.col("f1_l2_after") - F.col("f1_l2_before"), 6)) \
         .withColumn("delta_l3", F.round(F.col("f1_l3_after") - F.col("f1_l3_before"), 6))
-    return w.withColumn("_k", F.lit(1)).join(post.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return w.select("*", *[post.select(x).scalar().alias(x) for x in post.columns])
 
 
 def _from_report(s, d):
@@ -55,7 +57,7 @@ QUERIES = {
     "consistency_from_report": _from_report,
     "constraint_correction": lambda s, d: H.correct_paths(_pw(s, d), taxonomy(s, d))
         .select("id", "pred_l1", "pred_l2", "pred_l3", "corr_l2", "corr_l3"),
-    "correction_effect": _effect,
+    "correction_effect": lambda s, d: effect(s, d).drop("f1_l1_before"),
     "hierarchical_prf": lambda s, d: H.hierarchical_f1(_pw(s, d), taxonomy(s, d)),
     "parent_accuracy": lambda s, d: H.parent_accuracy(_pw(s, d)),
 }
@@ -83,11 +85,26 @@ corr AS (SELECT c1.*, CASE WHEN EXISTS (SELECT 1 FROM pairs WHERE edge = 'l2_l3'
   THEN pred_l3 ELSE coalesce((SELECT fc FROM first WHERE edge = 'l2_l3' AND parent = c1.corr_l2), pred_l3) END AS corr_l3 FROM c1)
 """
 _long = """, lg AS (SELECT 'before' AS stage, 'l2' AS task, true_l2 AS true_id, pred_l2 AS pred_id FROM corr
+  UNION ALL SELECT 'before', 'l1', true_l1, pred_l1 FROM corr
   UNION ALL SELECT 'after', 'l2', true_l2, corr_l2 FROM corr
   UNION ALL SELECT 'before', 'l3', true_l3, pred_l3 FROM corr
   UNION ALL SELECT 'after', 'l3', true_l3, corr_l3 FROM corr), """ + SM.metrics("lg", ["stage", "task"]) + ", " + \
     _valid("corr", "pred_l1", "corr_l2", "corr_l3", "pc") + "\n"
 
+
+def _f1(task, stage):
+    return f"max(CASE WHEN task = '{task}' AND stage = '{stage}' THEN macro_f1 END)"
+
+
+_INC = ", inc AS (SELECT count(*) AS n_test, " + ", ".join(
+    f"CAST(sum(CAST({c} AS INT)) AS BIGINT) AS {k}_count" for k, c in _inc_parts.items()) + " FROM pv)\n"
+RESULT = CORR + _long[:-1] + _INC + f"""SELECT (SELECT n_test FROM inc) AS n_test, (SELECT full_count FROM inc) AS full_count,
+  (SELECT round(full_count / n_test, 6) FROM inc) AS full_rate, {_f1('l1', 'before')} AS f1_l1, {_f1('l2', 'before')} AS f1_l2,
+  {_f1('l3', 'before')} AS f1_l3, {_f1('l2', 'after')} AS corrected_l2, {_f1('l3', 'after')} AS corrected_l3,
+  round({_f1('l2', 'after')} - {_f1('l2', 'before')}, 6) AS delta_l2, round({_f1('l3', 'after')} - {_f1('l3', 'before')}, 6) AS delta_l3,
+  (SELECT CAST(sum(CAST(NOT l1_l2_valid AS INT)) AS BIGINT) FROM pc) AS post_l1_l2_invalid,
+  (SELECT CAST(sum(CAST(NOT l2_l3_valid AS INT)) AS BIGINT) FROM pc) AS post_l2_l3_invalid FROM m"""
+
 SQL = {
     "taxonomy_children": V.with_(V.TAXONOMY, PAIRS) + """SELECT edge, parent,
   array_to_string(list_transform(list_sort(list(child)), lambda x: CAST(x AS VARCHAR)), ',') AS children,

@@ -18,7 +18,7 @@ from corpuslab.plans import sqlmetrics as SM
 from corpuslab.plans import sqlviews as V
 from corpuslab.plans.q_text import s_norm
 from corpuslab.plans.views import history, predictions, predictions_wide, table, taxonomy, tickets
-from corpuslab.session import scratch_path
+from corpuslab.session import materialize, scratch_path
 from corpuslab.sources import io as IO
 
 SEEDS = ["42", "123", "456"]
@@ -95,17 +95,25 @@ def _splits(s, d):
 
 
 def _json_result(s, d):
-    pw, tax = predictions_wide(s, d), taxonomy(s, d)
-    inc = H.inconsistency(pw, tax)
-    f1 = M.classification_metrics(predictions(s, d)).groupBy().pivot("task", ["l1", "l2", "l3"]).agg(F.first("macro_f1"))
-    doc = inc.withColumn("_k", F.lit(1)).join(f1.withColumn("_k", F.lit(1)), "_k").select(
+    """The whole consistency document, written as JSON and read back."""
+    inc = H.inconsistency(predictions_wide(s, d), taxonomy(s, d))
+    e = materialize(q_hier.effect(s, d), "correction-effect")
+
+    def part(name, **cols):
+        return F.struct(*[e.select(src).scalar().alias(n) for n, src in cols.items()]).alias(name)
+    doc = inc.select(
         "n_test", F.struct(*[F.col(c) for c in inc.columns if c != "n_test"]).alias("inconsistency"),
-        F.struct("l1", "l2", "l3").alias("macro_f1_uncorrected"))
+        part("macro_f1_uncorrected", l1="f1_l1_before", l2="f1_l2_before", l3="f1_l3_before"),
+        part("macro_f1_corrected", l2="f1_l2_after", l3="f1_l3_after", delta_l2="delta_l2", delta_l3="delta_l3"),
+        part("post_correction_inconsistencies", l1_l2="post_l1_l2_invalid", l2_l3="post_l2_l3_invalid"))
     path = scratch_path(s, "consistency_result")
     doc.write.mode("overwrite").json(path)
-    back = s.read.schema(doc.schema).json(path)
-    return back.select("n_test", "inconsistency.full_count", "inconsistency.full_rate",
-                       F.col("macro_f1_uncorrected.l1").alias("f1_l1"), F.col("macro_f1_uncorrected.l3").alias("f1_l3"))
+    r = s.read.schema(doc.schema).json(path)
+    return r.select("n_test", "inconsistency.full_count", "inconsistency.full_rate",
+                    *[F.col(f"macro_f1_uncorrected.{x}").alias(f"f1_{x}") for x in ("l1", "l2", "l3")],
+                    *[F.col(f"macro_f1_corrected.{x}").alias(n) for x, n in (("l2", "corrected_l2"), ("l3", "corrected_l3"),
+                                                                             ("delta_l2", "delta_l2"), ("delta_l3", "delta_l3"))],
+                    *[F.col(f"post_correction_inconsistencies.{x}").alias(f"post_{x}_invalid") for x in ("l1_l2", "l2_l3")])
 
 
 COMPOSED = "trim(coalesce(title, '') || ' ' || coalesce(description, ''))"
@@ -198,10 +206,7 @@ FROM (SELECT event_id, {_doc} AS doc FROM events)""",
         for c, n in {"t.category_level_1": "label_l1", "t.category_level_2": "label_l2", "t.category_level_3": "label_l3",
                      "priority": "label_priority", "sentiment": "label_sentiment"}.items()) + """, splits.split
 FROM tickets t JOIN splits USING (ticket_id)""",
-    "sink_json_result": q_hier.INC + """, f AS (SELECT * FROM (SELECT 1)), """[:-len(", f AS (SELECT * FROM (SELECT 1)), ")] + """,
-""" + V.predictions("p") + ", " + SM.metrics("p", ["task"]) + """
-SELECT n_test, full_count, round(full_count / n_test, 6) AS full_rate,
-  (SELECT macro_f1 FROM m WHERE task = 'l1') AS f1_l1, (SELECT macro_f1 FROM m WHERE task = 'l3') AS f1_l3 FROM inc""",
+    "sink_json_result": q_hier.RESULT,
     "sink_metric_table": q_metrics.SQL["report_per_class"],
     "pred_store": V.with_(V.predictions("a", "42"), V.predictions("b", "123")) + """SELECT a.id, a.task, a.true_id,
   a.pred_id AS pred_m42, b.pred_id AS pred_m123 FROM a JOIN b ON a.id = b.id AND a.task = b.task""",
