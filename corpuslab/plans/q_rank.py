@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from corpuslab.functions.hashing import h32_sql
 from corpuslab.operators import metrics as M
 from corpuslab.operators import ranking as R
+from corpuslab.operators import relate as RL
 from corpuslab.operators import stats as S
 from corpuslab.operators import vectors as VEC
+from corpuslab.plans import q_relate as QR
 from corpuslab.plans import sqlmetrics as SM
 from corpuslab.plans import sqlviews as V
 from corpuslab.plans.views import history, predictions, scores, table, tickets
@@ -87,7 +89,8 @@ QUERIES = {
     "topk_parent_correct": _topk(_pc),
     "topk_given_parent": _topk(_gp),
     "top_conf_errors": lambda s, d: R.top_errors(predictions(s, d), 10, ["id", "task", "true_id", "pred_id", "confidence"]),
-    "sample_errors": lambda s, d: R.sample_errors(predictions(s, d), 8, 42).select("task", "rank", "id", "true_id", "pred_id"),
+    "sample_errors": lambda s, d: RL.decode(R.sample_errors(predictions(s, d), 8, 42), QR.names(s, d))
+        .select("task", "rank", "id", "true_id", "true_name", "pred_id", "pred_name"),
     "best_model": lambda s, d: M.classification_metrics(predictions(s, d, salts=["", "42", "123", "456"])
                                                         .filter("task = 'l1'"), ["salt"])
         .agg(F.max_by(F.concat(F.lit("model_"), F.col("salt")), "macro_f1").alias("best_model"),
@@ -184,8 +187,9 @@ SQL = {
     "topk_given_parent": RANKED + f"SELECT {_gpsql} FROM agg",
     "top_conf_errors": V.with_(V.predictions("p")) + """SELECT id, task, true_id, pred_id, confidence FROM p
 WHERE pred_id <> true_id ORDER BY confidence DESC, id, task LIMIT 10""",
-    "sample_errors": V.with_(V.predictions("p")) + """SELECT task, rank, id, true_id, pred_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY task ORDER BY md5('42' || id), id) AS rank FROM p WHERE pred_id <> true_id)
+    "sample_errors": V.with_(V.predictions("p")) + QR.NAMES + """SELECT e.task, rank, id, true_id, a.name AS true_name, pred_id, b.name AS pred_name FROM (
+  SELECT *, row_number() OVER (PARTITION BY task ORDER BY md5('42' || id), id) AS rank FROM p WHERE pred_id <> true_id) e
+LEFT JOIN names a ON a.task = e.task AND a.label_id = true_id LEFT JOIN names b ON b.task = e.task AND b.label_id = pred_id
 WHERE rank <= 8""",
     "best_model": V.with_(V.predictions("p", salts=["", "42", "123", "456"]), "pl AS (SELECT * FROM p WHERE task = 'l1')",
                           SM.metrics("pl", ["salt"])) + "SELECT arg_max('model_' || salt, macro_f1) AS best_model, max(macro_f1) AS macro_f1 FROM m",

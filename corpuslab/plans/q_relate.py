@@ -30,7 +30,8 @@ def _xs(s, d):
     return RL.known_labels(cross, dim, XS_TASKS, "ticket_id")
 
 
-def _names(s, d):
+def names(s, d):
+    """(task, label_id, name) of the three levels."""
     r = table(s, d, "region").select(F.lit("l1").alias("task"), F.col("r_regionkey").cast("bigint").alias("label_id"), F.col("r_name").alias("name"))
     n = table(s, d, "nation").select(F.lit("l2"), F.col("n_nationkey").cast("bigint"), F.col("n_name"))
     su = table(s, d, "supplier").select(F.lit("l3"), F.col("s_suppkey").cast("bigint"), F.col("s_name"))
@@ -89,6 +90,13 @@ def _union(s, d):
     return RL.union_results(base, other)
 
 
+NAMES = """, names AS (
+  SELECT 'l1' AS task, CAST(r_regionkey AS BIGINT) AS label_id, r_name AS name FROM region
+  UNION ALL SELECT 'l2', CAST(n_nationkey AS BIGINT), n_name FROM nation
+  UNION ALL SELECT 'l3', CAST(s_suppkey AS BIGINT), s_name FROM supplier)
+"""
+
+
 QUERIES = {
     "filter_errors": lambda s, d: RL.errors(predictions(s, d)).select("id", "task", "true_id", "pred_id"),
     "dedup_keep_first": lambda s, d: RL.dedup(tickets(s, d), ["title", "description"], "ticket_id", ["category_level_1"]),
@@ -96,7 +104,7 @@ QUERIES = {
                                                predictions_wide(s, d).select("id", "true_l1", "true_l3")),
     "encode_labels": lambda s, d: RL.encode(tickets(s, d), RL.build_dimension(tickets(s, d), ENC_TASKS), ENC_TASKS)
         .select("ticket_id", *[f"label_{t}" for t in ENC_TASKS]),
-    "decode_labels": lambda s, d: RL.decode(predictions(s, d), _names(s, d)).select("id", "task", "true_name", "pred_name"),
+    "decode_labels": lambda s, d: RL.decode(predictions(s, d), names(s, d)).select("id", "task", "true_name", "pred_name"),
     "known_label_filter": lambda s, d: _xs(s, d)[1],
     "all_task_intersection": lambda s, d: _xs(s, d)[0].select("ticket_id"),
     "drop_flagged": lambda s, d: RL.drop_flagged(tickets(s, d).filter(F.col("ticket_id") % 2 == 1), _flag_exact(s, d),
@@ -153,11 +161,7 @@ WHERE ticket_id IN (SELECT min(ticket_id) FROM tickets GROUP BY title, descripti
   FROM (SELECT DISTINCT task, label FROM ({_enc_long}) WHERE label IS NOT NULL))
 SELECT t.ticket_id, {_enc_sel} FROM tickets t
 {_enc_joins}""",
-    "decode_labels": V.with_(V.predictions("p")) + """, names AS (
-  SELECT 'l1' AS task, CAST(r_regionkey AS BIGINT) AS label_id, r_name AS name FROM region
-  UNION ALL SELECT 'l2', CAST(n_nationkey AS BIGINT), n_name FROM nation
-  UNION ALL SELECT 'l3', CAST(s_suppkey AS BIGINT), s_name FROM supplier)
-SELECT p.id, p.task, a.name AS true_name, b.name AS pred_name FROM p
+    "decode_labels": V.with_(V.predictions("p")) + NAMES + """SELECT p.id, p.task, a.name AS true_name, b.name AS pred_name FROM p
 LEFT JOIN names a ON a.task = p.task AND a.label_id = p.true_id
 LEFT JOIN names b ON b.task = p.task AND b.label_id = p.pred_id""",
     "known_label_filter": XS + """SELECT task, count(*) AS n_in, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM dim

@@ -70,14 +70,29 @@ def nb_model(s, d, label: str):
     return TR.fit_nb(x, train, "label", ALPHA, voc)
 
 
-def nb_predictions(s, d, label: str, split: str = "test"):
-    test = corpus(s, d).filter(F.col("split") == split)
+def nb_predictions(s, d, label: str, split: str | None = "test"):
+    """doc, true_label, pred over a split (None: all documents)."""
+    test = corpus(s, d)
+    if split is not None:
+        test = test.filter(F.col("split") == split)
     _, x = corpus_vectors(s, d)
     mine = x.join(test.select("doc"), "doc", "left_semi")
     pred = TR.predict_nb(mine, test.select("doc"), nb_model(s, d, label), "label", ALPHA)
     return test.select("doc", F.col(label).alias("true_label")).join(pred, "doc")
 
 
+SCORED = ("category_level_1", "priority")
+
+
+def _tickets(s, d):
+    """Every ticket with its input text and the decoded label of each task."""
+    out = corpus(s, d).select(F.col("doc").alias("ticket_id"), F.col("text").alias("input_text"))
+    for task in SCORED:
+        p = nb_predictions(s, d, task, None).select(F.col("doc").alias("ticket_id"), F.col("pred").alias(task))
+        out = out.join(p, "ticket_id")
+    return out.select("ticket_id", "input_text", F.to_json(F.struct(*SCORED)).alias("predictions"))
+
+
 def _hier(s, d):
     c = corpus(s, d).withColumn("parent", F.col("category_level_1")).withColumn("label", F.col("priority"))
     train, test = c.filter("split = 'train'"), c.filter("split = 'test'")
@@ -215,6 +230,7 @@ def _vector_heads(s, d):
 
 
 QUERIES = {
+    "predict_tickets": _tickets,
     "nb_multinomial": lambda s, d: nb_predictions(s, d, "category_level_1"),
     "hier_oracle": _hier,
     "split_check": _split_check,
@@ -299,7 +315,21 @@ s AS (SELECT label, """ + ", ".join(
     for n in _SPLITS) + """ FROM c, t GROUP BY label)
 SELECT *, round(greatest(train_share, val_share, test_share) - least(train_share, val_share, test_share), 3) AS max_gap FROM s"""
 
+ALL = "'train', 'val', 'test'"
+
+
+def _tickets_sql():
+    def one(task):
+        return f"(SELECT doc, pred FROM ({nb_sql(task, ALL)} SELECT * FROM nbp))"
+    a, b = (one(t) for t in SCORED)
+    return f"""{BASE[:-1]}
+SELECT nd.doc AS ticket_id, nd.text AS input_text,
+  CAST(json_object('{SCORED[0]}', a.pred, '{SCORED[1]}', b.pred) AS VARCHAR) AS predictions
+FROM nd JOIN {a} a ON a.doc = nd.doc JOIN {b} b ON b.doc = nd.doc"""
+
+
 SQL = {
+    "predict_tickets": _tickets_sql(),
     "nb_multinomial": nb_sql("category_level_1") + "SELECT * FROM nbp",
     "hier_oracle": HIER,
     "split_check": SPLITCHECK,
