@@ -119,8 +119,8 @@ def _measure(c: T.Chunk, lang: list[str], cand: dict[str, np.ndarray]) -> list[n
     ls = np.unique(np.concatenate([c.off[:-1][np.diff(c.off) > 0], nl + 1]))
     ls = ls[ls < len(d)] if len(d) else ls[:0]
     ldoc = np.searchsorted(c.off, ls, side="right") - 1
-    bounds = np.sort(np.concatenate([nl, c.off[1:]]))
-    le = bounds[np.searchsorted(bounds, ls, side="left")] if len(ls) else ls
+    ends = np.append(nl, len(d))
+    le = np.minimum(ends[np.searchsorted(nl, ls, side="left")], c.off[ldoc + 1])
     inked = np.searchsorted(c.ws, ls) < np.searchsorted(c.ws, le)
     ls, le, ldoc = ls[inked], le[inked], ldoc[inked]
     _, later = T.repeat_ranks(roll.spans(ls, le), ldoc)
