@@ -44,6 +44,7 @@ from corpuslab.session import materialize
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, DEPTH, BLOCK, MATRIX = 16, 8, 512, 4096
+SET_BYTES = 1 << 16
 _rng = np.random.default_rng(71)
 _MUL = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * T.U(2) + T.U(1)
 _ADD = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -159,7 +160,7 @@ def _needed(batches):
 def _sets(batches):
     """Documents with the blocks that need them -> a row for each block."""
     for b in batches:
-        for c in T.chunks(b.column("text")):
+        for c in T.chunks(b.column("text"), SET_BYTES):  # a set is sent once a block, so batches stay small
             g, doc = shingles(c)
             part = b.slice(c.rows.start, c.n)
             sets = []
@@ -170,7 +171,7 @@ def _sets(batches):
             flat = places.flatten()
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [flat.field(n) for n in (*KEY, "block")] + [part.column("d").take(take), part.column("k").take(take), flat.field("label"),
+                [flat.field(n) for n in (*KEY, "block")] + [part.column("d").take(take), part.column("k").take(take), part.column("label").take(take),
                                                            pa.array(sets, pa.binary()).take(take)],
                 names=[*KEY, "block", "d", "k", "label", "shingles"])
 
@@ -273,7 +274,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     need = met.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(
         _needed, "tree int, prefix bigint, low int, high int, block int, d bigint, k int, label binary")
     need = materialize(need, "jaccard-blocks")
-    places = need.groupBy("d", "k").agg(F.collect_list(F.struct(*KEY, "block", "label")).alias("places"))
+    places = need.groupBy("d", "k").agg(F.collect_list(F.struct(*KEY, "block")).alias("places"), F.first("label").alias("label"))
     text = k.select("d", "k", "text").join(places, ["d", "k"]).dropDuplicates(["d", "k"])
     sets = text.mapInArrow(_sets, "tree int, prefix bigint, low int, high int, block int, d bigint, k int, label binary, shingles binary")
     found = sets.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(
