@@ -1,20 +1,20 @@
 """Licence scan by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences (after ``.``, ``!`` or ``?`` before white space, and at
-line feeds); a sentence is normalised (lower case, everything but letters and
-digits becomes one blank) and looked up among known licence sentences. The
-identifiers found, in text order, are matched against the licence rules: a rule
+Texts are normalised (lower case, everything but letters and digits becomes one
+blank, with line and sentence ends marked). A known sentence counts wherever it
+stands from one line or sentence end to another; line ends inside it are blanks,
+sentence ends and blank lines are not. The identifiers found, in text order, are matched against the licence rules: a rule
 is an ordered run of identifiers; longer rules come first, and an identifier
 used by a longer rule is not used again by a shorter one.
 
-Only documents with a keyword are cut up, and only sentences with a known
-first word are looked up, so the join sees a small part of the corpus.
+Only documents with a keyword (``WORDS``) are normalised. No text and no
+sentence is left out for its length, blanks, rules or comment marks.
 
 Result: one row per input row with ``n_sentences`` (known sentences found),
 ``sentence_ids``, ``licenses`` (licences of the matched rules in rule order),
 ``verdict``: the strictest class among them (``noncommercial``, ``copyleft``,
 ``permissive``) or ``none``. Null and empty texts: none. Very long texts are
-cut whole.
+searched whole.
 """
 
 from __future__ import annotations
@@ -63,38 +63,48 @@ RULES = [
 ]
 STRICTEST = ("noncommercial", "copyleft", "permissive")
 KEYWORDS = "licen[cs]e|permission|warrant|redistribut|rights reserved|as is|by-nc"
+# One of these stands in every known sentence, also where it is wrapped.
+WORDS = r"licen[cs]e|permission|warrant|redistribut|rights[^a-z0-9]+reserved|as[^a-z0-9]+is|by[^a-z0-9]+nc"
 
 
-def normalise(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+# A sentence may run over lines (a blank in it matches one line end) and must begin and end at a sentence or line end.
+_GAP, _EDGE = r"[ \n]", r"[\n\x01]"
 
 
-def _known() -> Column:
-    """normalised sentence -> identifier, as a map of literals."""
-    pairs = []
-    for ident, s in SENTENCES.items():
-        pairs += [F.lit(s), F.lit(ident)]
-    return F.create_map(*pairs)
+def _patterns() -> list[tuple[str, str]]:
+    """(identifier, regular expression over ``marked`` text), the longest first."""
+    return sorted(((i, s.replace(" ", _GAP)) for i, s in SENTENCES.items()), key=lambda x: (-len(x[1]), x[0]))
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text, in order."""
-    return F.split(text, r"\n+|(?<=[.!?])\s+")
+def marked(text: Column) -> Column:
+    """A text as lower-case words with one blank, line feed (line end) or \\x01
+    (sentence end, blank line) between them. A line of marks only is blank; a web
+    address, a colon or a semicolon ends a line. No step depends on lengths."""
+    t = F.lower(F.concat(F.lit("\n"), text, F.lit("\n")))
+    for find, put in ((r"\r\n|[\r\f\x0b]", "\n"), (r"(?:https?://|www\.)\S*", "\n"), (r"[^a-z0-9.!?:;\n]+", " "), (r" ?\n ?", "\n"), (r"(?<=\n)\n+|\n(?=\n)", "\x01"),
+                      (r"[.!?][ \n\x01]", "\x01"), (r"[:;][ \n]", "\n"), (r"[.!?:;]+", " "), (r" +", " "), (r" ?([\n\x01]) ?", "$1")):
+        t = F.regexp_replace(t, find, put)
+    return t
+
+
+def identifiers(text: Column) -> Column:
+    """The identifiers of the known sentences of a text, in order."""
+    pats = _patterns()
+    any_of = f"(?<={_EDGE})(?:{'|'.join(p for _, p in pats)})(?={_EDGE})"
+    return F.transform(F.regexp_extract_all(marked(text), F.lit(any_of), F.lit(0)),
+                       lambda s: F.coalesce(*[F.when(s.rlike(f"^(?:{p})$"), F.lit(i)) for i, p in pats]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     d = T.strip_columns(docs, "doc_id", "text")
-    hit = F.coalesce(F.col("text"), F.lit("")).rlike(f"(?i){KEYWORDS}")
-    known = _known()
-    cut = F.when(hit, F.filter(sentences(F.col("text")), lambda s: F.length(s) <= 2 * max(map(len, SENTENCES.values())))).otherwise(F.array().cast("array<string>"))
-    d = d.select("doc_id", F.transform(cut, normalise).alias("norm"))
-    d = d.select("doc_id", F.filter(F.transform("norm", lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull()).alias("ids"))
-    # sequences as text: "|a|b|"; a rule's run must stand in it unbroken
-    rest = F.concat(F.lit("|"), F.array_join(F.transform("ids", lambda i: F.concat(i, F.lit("|"))), ""))
+    hit = F.coalesce(F.col("text"), F.lit("")).rlike(f"(?i){WORDS}")
+    d = d.select("doc_id", F.when(hit, identifiers(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("ids"))
+    # sequences as text: "|a||b|"; a rule's run must stand in it unbroken
+    rest = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("|"), i, F.lit("|"))), "")
     found = []
     d = d.withColumn("rest", rest)
     for n, (name, kind, run) in enumerate(RULES):
-        seq = "|" + "|".join(run) + "|"
+        seq = "".join(f"|{i}|" for i in run)
         d = d.withColumn(f"r{n}", F.instr("rest", seq) > 0).withColumn("rest", F.replace("rest", F.lit(seq), F.lit("|#|")))
         found.append((f"r{n}", name, kind))
     names = F.array_distinct(F.filter(F.array(*[F.when(F.col(r), F.lit(n)) for r, n, _ in found]), lambda x: x.isNotNull()))

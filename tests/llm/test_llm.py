@@ -437,6 +437,17 @@ def test_licenses(spark, hard, none):
     assert len(license_scan.scan(hard).collect()) == len(HARD) and license_scan.scan(none).collect() == []
 
 
+def test_licenses_over_lines(spark):
+    """Sentences wrapped over lines or padded beyond any length."""
+    apache = "Licensed under the Apache License, Version 2.0."
+    data = [(1, "Released under the\nMIT License."), (2, " * Licensed under the Apache\r\n * License, Version 2.0.\r\n *\r\n * Next"),
+            (3, "Released under the" + " " * 900 + "MIT License."), (4, "/" + "*" * 900 + " " + apache + " " + "=" * 900),
+            (5, "# Released under\n# the\n# MIT License.\n" + apache), (6, "Licensed under the\n\nApache License, Version 2.0."),
+            (7, "It is not\nreleased under the MIT License and\nmore"), (8, "x\nAll rights\n# reserved.")]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[i]["sentence_ids"] for i in range(1, 9)] == ["mit-notice", "apache-notice", "mit-notice", "apache-notice", "mit-notice,apache-notice", "", "", "reserved"]
+
+
 # --- pipeline ---------------------------------------------------------------
 
 def test_pipeline_by_stage(spark, docs, tmp_path):
