@@ -19,12 +19,14 @@ searched whole.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm import textarrays as T
 
-# Known licence sentences, normalised. Fixed values.
+# Short notices, normalised, and their rules; the SQL twin knows these only. Fixed values.
 SENTENCES = {
     "apache-notice": "licensed under the apache license version 2 0",
     "apache-not-use": "you may not use this file except in compliance with the license",
@@ -63,17 +65,122 @@ RULES = [
 ]
 STRICTEST = ("noncommercial", "copyleft", "permissive")
 KEYWORDS = "licen[cs]e|permission|warrant|redistribut|rights reserved|as is|by-nc"
+# The sentences of the licence texts and headers as they are published, with their usual variants: regular expressions
+# over normalised words. <m,n> stands for m to n words (a name), <<m,n>> also over a point (Inc.), ~ for a gap with a point.
+_UNDER = "(?:<1,8>(?:is|are) )?(?:dual )?(?:licensed|released|distributed|published|available|made available) under (?:the terms of )?(?:an? |the )?"
+_SEE = "(?: see <1,8>for (?:more )?(?:details|information))?"
+_FSF = "(?:this (?:program|library) )?is free software you (?:can|may) redistribute it and or modify it under the terms of (?:version {v} of )?the gnu {n} public license "
+_CC = "(?:creative commons attribution {n}4 0(?: international)?(?: public)?(?: license)?(?: cc by {c}4 0)?|cc by {c}4 0(?: international)?(?: license)?)"
+
+
+def _gnu(ident: str, name: str, v: str) -> list[tuple[str, str]]:
+    """The version sentence of a GNU header, with the version before or after the publisher."""
+    head, by = _FSF.format(v=v, n=name), "as published by the free software foundation(?: inc)?"
+    later = "(?: or at your option any later version)?"
+    return [(f"{ident}-free", f"{head}(?:either )?version {v} (?:of the license )?{by}{later}"),
+            (f"{ident}-free", f"{head}{by}(?: either)?(?: under)? version {v}(?: of the license)?(?: only)?{later}"),
+            (f"{ident}-notice", f"{_UNDER}gnu {name} public license (?:<0,1>version |v)?{v}(?: 0)?(?: only| or later| or any later version)?{_SEE}")]
+
+
+TEXTS = [
+    ("apache-header", "licensed under the apache license version 2 0 the license you may not use <1,6>except in compliance with the license"),
+    ("apache-notice", f"{_UNDER}apache(?: software)? license(?: version| v)? 2 0(?: the license)?{_SEE}(?! (?:the license )?you may not use)"),
+    ("apache-obtain", "you may obtain a copy of the license (?:at|from)"),
+    ("apache-asis", "unless required by applicable law or agreed to in writing <1,4>distributed under the license is distributed on an as is basis "
+                    "without warranties or conditions of any kind(?: either express or implied)?"),
+    ("apache-see", "see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-title", "apache license version 2 0 january 2004"),
+    ("mit-title", "(?:the )?(?:mit|mit x11|expat) license(?: mit| expat)?"),
+    ("mit-notice", f"{_UNDER}(?:mit|expat) license(?: mit)?{_SEE}"),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and(?: or)? associated documentation(?: files)? "
+                  "the software to deal in the software without restriction including without limitation(?: on)? the rights to use copy modify merge "
+                  "publish distribute(?: distribute with modifications)? sublicense and or sell copies of the software and to permit persons to whom the "
+                  "software is furnished to do so(?: subject to the following conditions?)?"),
+    ("mit-keep", "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial "
+                 "portions of the software"),
+    ("mit-warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+                     "merchantability fitness for a particular purpose and non ?infringement"),
+    *_gnu("gpl3", "general", "3"), *_gnu("gpl2", "general", "2"), *_gnu("agpl3", "affero general", "3"),
+    *_gnu("lgpl3", "lesser general", "3"), *_gnu("lgpl21", "(?:lesser|library) general", "2(?: 1)?"),
+    ("gpl-free", _FSF.replace("(?:version {v} of )?", "").format(n="general").rstrip() + "(?: as published by the free software foundation(?: inc)?)?"),
+    ("gpl-warranty", "(?:this (?:program|library) )?(?:is|are) distributed in the hope that (?:it|they) will be useful but without any warranty without even the implied warranty of "
+                     "merchantability or fitness for a particular purpose"),
+    ("gpl-copy", "you should have received a copy of the gnu general public license(?: version [23])?(?: along with(?: <0,5>[a-z0-9]+))?"),
+    ("agpl-copy", "you should have received a copy of the gnu affero general public license(?: version 3)?(?: along with(?: <0,5>[a-z0-9]+))?"),
+    ("lgpl-copy", "you should have received a copy of the gnu (?:lesser|library) general public license(?: along with(?: <0,5>[a-z0-9]+))?"),
+    ("gpl3-title", "gnu general public license version 3 29 june 2007"),
+    ("gpl2-title", "gnu general public license version 2 june 1991"),
+    ("agpl3-title", "gnu affero general public license version 3 19 november 2007"),
+    ("lgpl3-title", "gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl21-title", "gnu lesser general public license version 2 1 february 1999"),
+    ("bsd-redistribute", "redistribution and use(?: of this software)? in source and binary forms with or without modification are permitted"
+                         "(?: provided that the following conditions are met)?"),
+    ("bsd-source", "redistributions of source code must retain the above copyright notice(?: and)? this list of conditions and the following disclaimer"),
+    ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice(?: and)? this list of conditions and the following disclaimer "
+                   "in the documentation and or other materials provided with the distribution"),
+    ("bsd-advert", "all advertising materials mentioning features or use of this software must display the following ac?knowledge?ment"),
+    ("bsd-endorse", "(?:neither )?the names? (?:of )?<<1,16>>(?:may|must) (?:not )?be used to endorse or promote products derived from this software without "
+                    "specific prior written permission"),
+    ("bsd-warranty", "this software is provided by <<1,12>>as is and any express or implied warranties including but not limited to the implied warranties "
+                     "of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd2-notice", f"{_UNDER}(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd) license{_SEE}"),
+    ("bsd3-notice", f"{_UNDER}(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd) license{_SEE}"),
+    ("bsd-notice", f"{_UNDER}bsd(?: style)? license{_SEE}"),
+    ("mpl2-header", "this source code form is subject to the terms of the mozilla public license v(?:ersion)?~2 0"),
+    ("mpl2-title", "mozilla public license version 2 0"),
+    ("isc-grant", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the "
+                  "above copyright notice and this permission notice appear in all copies"),
+    ("by-work", _UNDER + _CC.format(n="", c="")), ("bync-work", _UNDER + _CC.format(n="non ?commercial ", c="nc ")),
+    ("bysa-work", _UNDER + _CC.format(n="share ?alike ", c="sa ")), ("byncsa-work", _UNDER + _CC.format(n="non ?commercial share ?alike ", c="nc sa ")),
+    ("byncnd-work", _UNDER + _CC.format(n="non ?commercial no ?deriv(?:ative|ativework)s ", c="nc nd ")),
+    ("reserved", "(?:copyright <<0,16>>)?all rights reserved"),
+    *[(f"{i}-spdx", f"spdx license identifier {p}") for i, p in {
+        "apache": "apache 2 0", "mit": "mit", "gpl3": "gpl 3 0(?: only| or later)?", "gpl2": "gpl 2 0(?: only| or later)?", "agpl3": "agpl 3 0(?: only| or later)?",
+        "lgpl3": "lgpl 3 0(?: only| or later)?", "lgpl21": "lgpl 2 [01](?: only| or later)?", "bsd2": "bsd 2 clause", "bsd3": "bsd 3 clause", "mpl2": "mpl 2 0",
+        "isc": "isc", "by": "cc by 4 0", "bync": "cc by nc 4 0", "bysa": "cc by sa 4 0", "byncsa": "cc by nc sa 4 0", "byncnd": "cc by nc nd 4 0"}.items()],
+]
+# Sentences long enough to count inside a line too (unwrapped texts, after a copyright line without a point).
+ANYWHERE = {"apache-header", "apache-asis", "apache-see", "mit-grant", "mit-keep", "mit-warranty", "gpl3-free", "gpl2-free", "agpl3-free", "lgpl3-free",
+            "lgpl21-free", "gpl-free", "gpl-warranty", "gpl-copy", "agpl-copy", "lgpl-copy", "bsd-redistribute", "bsd-source", "bsd-binary", "bsd-advert",
+            "bsd-endorse", "bsd-warranty", "mpl2-header", "isc-grant"}
+_BSD = ["bsd-redistribute", "bsd-source", "bsd-binary"]
+_GNU_RUNS = [("AGPL-3.0", "agpl3", "agpl-copy"), ("GPL-3.0", "gpl3", "gpl-copy"), ("GPL-2.0", "gpl2", "gpl-copy"), ("LGPL-3.0", "lgpl3", "lgpl-copy"), ("LGPL-2.1", "lgpl21", "lgpl-copy")]
+# Rules over the published sentences. The long runs stand before RULES, the single sentences after them.
+TEXT_RULES = [
+    ("BSD-4-Clause", "permissive", [*_BSD, "bsd-advert", "bsd-endorse", "bsd-warranty"]),
+    ("BSD-3-Clause", "permissive", [*_BSD, "bsd-endorse", "bsd-warranty"]),
+    ("MIT", "permissive", ["mit-title", "mit-grant", "mit-keep", "mit-warranty"]),
+    ("Apache-2.0", "permissive", ["apache-header", "apache-obtain", "apache-asis", "apache-see"]),
+    ("Apache-2.0", "permissive", ["apache-notice", "apache-not-use", "apache-obtain", "apache-asis", "apache-see"]),
+    ("BSD-2-Clause", "permissive", [*_BSD, "bsd-warranty"]),
+    ("MIT", "permissive", ["mit-grant", "mit-keep", "mit-warranty"]),
+    *[(name, "copyleft", [f"{i}-free", "gpl-warranty", copy]) for name, i, copy in _GNU_RUNS],
+    ("BSD-3-Clause", "permissive", [*_BSD, "bsd-endorse"]),
+]
+SINGLE_RULES = [
+    ("Apache-2.0", "permissive", ["apache-header"]), ("Apache-2.0", "permissive", ["apache-title"]), ("Apache-2.0", "permissive", ["apache-spdx"]),
+    ("MIT", "permissive", ["mit-spdx"]), ("ISC", "permissive", ["isc-grant"]), ("ISC", "permissive", ["isc-spdx"]),
+    *[(name, "copyleft", [f"{i}-{part}"]) for name, i, _ in _GNU_RUNS for part in ("free", "notice", "title", "spdx") if (i, part) != ("gpl3", "notice")],
+    ("BSD-2-Clause", "permissive", ["bsd2-notice"]), ("BSD-2-Clause", "permissive", ["bsd2-spdx"]), ("BSD-3-Clause", "permissive", ["bsd3-notice"]),
+    ("BSD-3-Clause", "permissive", ["bsd3-spdx"]), ("BSD", "permissive", ["bsd-notice"]),
+    ("MPL-2.0", "copyleft", ["mpl2-header"]), ("MPL-2.0", "copyleft", ["mpl2-title"]), ("MPL-2.0", "copyleft", ["mpl2-spdx"]),
+    ("CC-BY-4.0", "permissive", ["by-spdx"]), ("CC-BY-NC-4.0", "noncommercial", ["bync-spdx"]),
+    *[(name, kind, [f"{i}-{part}"]) for name, kind, i in (("CC-BY-SA-4.0", "copyleft", "bysa"), ("CC-BY-NC-SA-4.0", "noncommercial", "byncsa"),
+                                                         ("CC-BY-NC-ND-4.0", "noncommercial", "byncnd")) for part in ("work", "spdx")],
+]
+ALL_RULES = [*TEXT_RULES, *RULES, *SINGLE_RULES]
 # One of these stands in every known sentence, also where it is wrapped.
-WORDS = r"licen[cs]e|permission|warrant|redistribut|rights[^a-z0-9]+reserved|as[^a-z0-9]+is|by[^a-z0-9]+nc"
+WORDS = r"licen[cs]e|permission|warrant|redistribut|advertis|cc[^a-z0-9]+by|creative[^a-z0-9]+commons|rights[^a-z0-9]+reserved|as[^a-z0-9]+is|by[^a-z0-9]+nc"
 
 
-# A sentence may run over lines (a blank in it matches one line end) and must begin and end at a sentence or line end.
+# A sentence may run over lines (a blank in it matches one line end) and begins and ends at a sentence or line end (see ANYWHERE).
 _GAP, _EDGE = r"[ \n]", r"[\n\x01]"
 
 
-def _patterns() -> list[tuple[str, str]]:
-    """(identifier, regular expression over ``marked`` text), the longest first."""
-    return sorted(((i, s.replace(" ", _GAP)) for i, s in SENTENCES.items()), key=lambda x: (-len(x[1]), x[0]))
+def _pattern(p: str) -> str:
+    p = p.replace("license", "licen[cs]e").replace("~", r"[ \n\x01]?").replace(" ?", "\0").replace(" ", _GAP).replace("\0", _GAP + "?")
+    p = re.sub(r"<<(\d+,\d+)>>", lambda m: rf"(?:[a-z0-9]++[ \n\x01]){{{m[1]}}}?", p)
+    return re.sub(r"<(\d+,\d+)>", lambda m: rf"(?:[a-z0-9]++{_GAP}){{{m[1]}}}?", p)
 
 
 def marked(text: Column) -> Column:
@@ -89,10 +196,15 @@ def marked(text: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    pats = _patterns()
-    any_of = f"(?<={_EDGE})(?:{'|'.join(p for _, p in pats)})(?={_EDGE})"
+    known = [*SENTENCES.items(), *TEXTS]
+    # the longest first; a gap, or for short sentences an edge, on both sides; one look for what begins with _UNDER
+    long = [p for i, p in TEXTS if i in ANYWHERE]
+    under = [p[len(_UNDER):] for i, p in TEXTS if p.startswith(_UNDER)]
+    short = [p for i, p in known if p not in long and not p.startswith(_UNDER)]
+    long, under, short = ("|".join(map(_pattern, sorted(x, key=len, reverse=True))) for x in (long, under, short))
+    any_of = rf"(?<=[ \n\x01])(?:{long})(?=[ \n\x01])|(?<={_EDGE})(?:{_pattern(_UNDER)}(?:{under})|{short})(?={_EDGE})"
     return F.transform(F.regexp_extract_all(marked(text), F.lit(any_of), F.lit(0)),
-                       lambda s: F.coalesce(*[F.when(s.rlike(f"^(?:{p})$"), F.lit(i)) for i, p in pats]))
+                       lambda s: F.coalesce(*[F.when(s.rlike(f"^(?:{_pattern(p)})$"), F.lit(i)) for i, p in known]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -101,12 +213,17 @@ def scan(docs: DataFrame) -> DataFrame:
     d = d.select("doc_id", F.when(hit, identifiers(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("ids"))
     # sequences as text: "|a||b|"; a rule's run must stand in it unbroken
     rest = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("|"), i, F.lit("|"))), "")
-    found = []
+    found, single = [], {}
     d = d.withColumn("rest", rest)
-    for n, (name, kind, run) in enumerate(RULES):
+    for n, (name, kind, run) in enumerate(ALL_RULES):
         seq = "".join(f"|{i}|" for i in run)
-        d = d.withColumn(f"r{n}", F.instr("rest", seq) > 0).withColumn("rest", F.replace("rest", F.lit(seq), F.lit("|#|")))
+        here = F.instr("rest", seq) > 0
+        if len(run) > 1:
+            d = d.withColumn(f"r{n}", here).withColumn("rest", F.replace("rest", F.lit(seq), F.lit("|#|")))
+        else:  # after all runs; no two rules share a single identifier
+            single[f"r{n}"] = here
         found.append((f"r{n}", name, kind))
+    d = d.withColumns(single)
     names = F.array_distinct(F.filter(F.array(*[F.when(F.col(r), F.lit(n)) for r, n, _ in found]), lambda x: x.isNotNull()))
     verdict = F.lit("none")
     for kind in reversed(STRICTEST):

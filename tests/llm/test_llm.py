@@ -448,6 +448,107 @@ def test_licenses_over_lines(spark):
     assert [got[i]["sentence_ids"] for i in range(1, 9)] == ["mit-notice", "apache-notice", "mit-notice", "apache-notice", "mit-notice,apache-notice", "", "", "reserved"]
 
 
+APACHE = """Copyright [yyyy] [name of copyright owner]
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """MIT License
+
+Copyright (c) [year] [fullname]
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+BSD3 = """Copyright (c) [year], [fullname]
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+
+
+def test_license_texts(spark):
+    """The published texts and headers, wrapped, unwrapped and as comments."""
+    bsd2 = re.sub(r"3\. Neither.*?permission\.\n\n", "", BSD3, flags=re.S)
+    agpl, lgpl = GPL3.replace("General Public", "Affero General Public"), GPL3.replace("General Public", "Lesser General Public").replace("program", "library")
+    texts = {"Apache-2.0": APACHE, "MIT": MIT, "GPL-3.0": GPL3, "GPL-2.0": GPL3.replace("version 3", "version 2"), "AGPL-3.0": agpl, "LGPL-3.0": lgpl,
+             "BSD-3-Clause": BSD3, "BSD-2-Clause": bsd2}
+    data, want = [], []
+    for name, t in texts.items():
+        for v in (t, " ".join(t.split()), "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */", "".join(f"# {x}\r\n" for x in t.split("\n")),
+                  BASE + "\n\n" + t.replace("Neither the name of the copyright holder", "Neither the name of Example Inc.") + BASE):
+            data.append((len(data), v))
+            want.append(name)
+    for name, v in (("MIT", "// SPDX-License-Identifier: MIT"), ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0\nInternational License."),
+                    ("CC-BY-NC-4.0", "This dataset is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License (CC BY-NC 4.0)."),
+                    ("Apache-2.0", "Apache License\n      Version 2.0, January 2004\n   http://www.apache.org/licenses/\n"),
+                    ("MIT", "This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details."),
+                    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy")):
+        data.append((len(data), v))
+        want.append(name)
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(want))] == want
+
+
 # --- pipeline ---------------------------------------------------------------
 
 def test_pipeline_by_stage(spark, docs, tmp_path):
