@@ -13,13 +13,16 @@ sentence is left out for its length, blanks, rules or comment marks.
 Result: one row per input row with ``n_sentences`` (known sentences found),
 ``sentence_ids``, ``licenses`` (licences of the matched rules in rule order),
 ``verdict``: the strictest class among them (``noncommercial``, ``copyleft``,
-``permissive``) or ``none``. Null and empty texts: none. Very long texts are
+``permissive``; ``unspecified``: a sentence of several licences alone;
+``reserved``: all rights reserved and no licence) or ``none``. Null and empty texts: none. Very long texts are
 searched whole.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,6 +172,20 @@ SINGLE_RULES = [
                                                          ("CC-BY-NC-ND-4.0", "noncommercial", "byncnd")) for part in ("work", "spdx")],
 ]
 ALL_RULES = [*TEXT_RULES, *RULES, *SINGLE_RULES]
+# Sentences that stand alone or apart from their run, after all other rules. UNSPECIFIED: some licence, but the sentence stands in
+# several of different classes (Apache and MPL headers, MIT and Unlicense warranties).
+UNSPECIFIED, RESERVED = "Unspecified", "All-Rights-Reserved"
+FALLBACK_RULES = [
+    ("MIT", "permissive", ["mit-grant"]), ("MIT", "permissive", ["mit-title"]),
+    ("AGPL", "copyleft", ["agpl-copy"]), ("LGPL", "copyleft", ["lgpl-copy"]),
+    ("GPL", "copyleft", ["gpl-free"]), ("GPL", "copyleft", ["gpl-warranty"]), ("GPL", "copyleft", ["gpl-copy"]),
+    *[("BSD", "permissive", [f"bsd-{x}"]) for x in ("redistribute", "source", "binary", "advert", "endorse", "warranty")],
+    *[(UNSPECIFIED, "unspecified", [x]) for x in ("apache-not-use", "apache-obtain", "apache-asis", "apache-see", "mit-warranty", "mit-keep")],
+    (RESERVED, "reserved", ["reserved"]),
+]
+# A name without a version gives way to one of the same kind with a version; the last two give way to any licence.
+GIVES_WAY = {"AGPL": "AGPL", "LGPL": "LGPL", "GPL": ".*GPL", "BSD": "BSD", UNSPECIFIED: ".", RESERVED: "."}
+CLASSES = (*STRICTEST, "unspecified", "reserved")
 # One of these stands in every known sentence, also where it is wrapped.
 WORDS = r"licen[cs]e|permission|warrant|redistribut|advertis|cc[^a-z0-9]+by|creative[^a-z0-9]+commons|rights[^a-z0-9]+reserved|as[^a-z0-9]+is|by[^a-z0-9]+nc"
 
@@ -213,20 +230,27 @@ def scan(docs: DataFrame) -> DataFrame:
     d = d.select("doc_id", F.when(hit, identifiers(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("ids"))
     # sequences as text: "|a||b|"; a rule's run must stand in it unbroken
     rest = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("|"), i, F.lit("|"))), "")
-    found, single = [], {}
+    found, single, late = [], {}, {}
     d = d.withColumn("rest", rest)
-    for n, (name, kind, run) in enumerate(ALL_RULES):
+    for n, (name, kind, run) in enumerate([*ALL_RULES, *FALLBACK_RULES]):
         seq = "".join(f"|{i}|" for i in run)
         here = F.instr("rest", seq) > 0
         if len(run) > 1:
             d = d.withColumn(f"r{n}", here).withColumn("rest", F.replace("rest", F.lit(seq), F.lit("|#|")))
-        else:  # after all runs; no two rules share a single identifier
+        elif n < len(ALL_RULES):  # after all runs; no two rules share a single identifier
             single[f"r{n}"] = here
+        else:
+            late[f"r{n}"] = here, name
         found.append((f"r{n}", name, kind))
-    d = d.withColumns(single)
+    d = d.withColumns(single).withColumns({r: here for r, (here, _) in late.items()})
+    give = {}
+    for r, (_, name) in late.items():
+        over = [F.col(x) for x, other, _ in found if other != name and re.match(GIVES_WAY.get(name, "$"), other) and (other not in (UNSPECIFIED, RESERVED) or name == RESERVED)]
+        give[r] = F.col(r) & ~reduce(or_, over, F.lit(False))
+    d = d.withColumns(give)
     names = F.array_distinct(F.filter(F.array(*[F.when(F.col(r), F.lit(n)) for r, n, _ in found]), lambda x: x.isNotNull()))
     verdict = F.lit("none")
-    for kind in reversed(STRICTEST):
+    for kind in reversed(CLASSES):
         any_of = F.lit(False)
         for r, _, k in found:
             if k == kind:

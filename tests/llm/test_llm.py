@@ -549,6 +549,26 @@ def test_license_texts(spark):
     assert [got[i] for i in range(len(want))] == want
 
 
+def test_license_sentences_alone(spark):
+    """Identifying sentences alone or apart, and reserved notices."""
+    free = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."
+    data = [("All rights reserved.", "All-Rights-Reserved", "reserved"), ("Copyright (c) 2020 Example Inc. All rights\nreserved.", "All-Rights-Reserved", "reserved"),
+            ("All rights reserved.\n" + BSD3, "BSD-3-Clause", "permissive"), (free, "GPL", "copyleft"), (free + " All rights reserved. " + GPL3, "GPL-3.0", "copyleft"),
+            ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.", "GPL", "copyleft"),
+            ("You should have received a copy of the GNU General Public License along with this program.", "GPL", "copyleft"),
+            ("The MIT License", "MIT", "permissive"), ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "MIT", "permissive"),
+            ("Redistribution and use in source and binary forms, with or without modification, are permitted.", "BSD", "permissive"),
+            ("This software is provided by the copyright holders and contributors as is.", "BSD", "permissive"),
+            ("You may not use this file except in compliance with the License.", "Unspecified", "unspecified"),
+            ("You may obtain a copy of the License at\nhttp://x.org/MPL", "Unspecified", "unspecified"),
+            ("The software is provided as is, without warranty of any kind, express or implied.", "Unspecified", "unspecified"),
+            (APACHE.replace("You may obtain", "All rights reserved. You may obtain"), "Apache-2.0", "permissive"), ("Nothing is licensed here.", "", "none")]
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(data)], "doc_id long, text string")).collect()
+    assert [(r["licenses"], r["verdict"]) for r in sorted(got)] == [x[1:] for x in data]
+    known = {i for i in license_scan.SENTENCES} | {i for i, _ in license_scan.TEXTS}
+    assert known == {i for _, _, run in license_scan.ALL_RULES + license_scan.FALLBACK_RULES if len(run) == 1 for i in run}
+
+
 # --- pipeline ---------------------------------------------------------------
 
 def test_pipeline_by_stage(spark, docs, tmp_path):
