@@ -1,19 +1,18 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard self-join with MinHash LSH banding and exact verification.
 
 Two texts are linked if the Jaccard similarity of their sets of 5-word shingles
 is at least ``THRESHOLD`` (0.8).
 
 * Equal texts are one node; only different texts are compared.
-* Forest: ``TREES`` tries, each over ``DEPTH`` MinHash values of a text. Two texts
-  match in a tree at a prefix of length n with probability s**n. Matching starts
-  at full depth and prefixes are shortened until a pair at the threshold is found
-  with probability ``RECALL`` (``prefix_length``); a shorter prefix would add only
-  pairs below the threshold. The sorted trie at that depth is a grouping by
-  (tree, prefix).
-* Candidates are texts that share a trie node. A pair that meets in several
-  trees is treated in the first one only. A node with many texts is cut into
+* Banding: ``TREES`` bands of a fixed number of MinHash values each. Two texts
+  match in a band of n values with probability s**n; n is the longest of at most
+  ``DEPTH`` at which a pair at the threshold is found with probability ``RECALL``
+  (``prefix_length``: 4 for these constants). No sorted trie is kept and nothing is
+  shortened by text; it is a grouping by (band, hash of its values).
+* Candidates are texts that share a band's group. A pair that meets in several
+  bands is treated in the first one only. A group with many texts is cut into
   blocks of about ``BLOCK`` and pairs of blocks, each a small task of its own, so
-  no node is gathered whole and candidate pairs are never rows.
+  no group is gathered whole and candidate pairs are never rows.
 * Verification: the shingle sets go to the blocks in which a text has a
   candidate, once for each; intersections are exact. A block answers with one
   row a text: its number of links and its component there.
