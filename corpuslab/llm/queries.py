@@ -1,11 +1,11 @@
-"""The registered queries op1 to op10 and ``pipeline``, with their SQL twins."""
+"""The registered queries op1 to op13, with their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from corpuslab.llm import decontaminate, jaccard_join, license_scan, packing, quality, secret_scan, sharding, sql, substring_dedup, suffix_dedup, toxicity
+from corpuslab.llm import (decontaminate, jaccard_join, license_scan, packing, quality, secret_scan, sharding, source_audit, sql,
+                           substring_dedup, suffix_dedup, token_counts, toxicity, whitening)
 
 
 def _docs(spark, sf_dir):
@@ -55,8 +55,18 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_decontaminate, op3_substring_dedup, op4_toxicity, op5_suffix_dedup, op6_quality_rules, op7_sharding, op8_packing, op9_secret_scan, op10_license_scan)}
-QUERIES["pipeline"] = corpus_pipeline.run
+def op11_source_audit(spark, sf_dir):
+    return source_audit.audit(_docs(spark, sf_dir))
+
+
+def op12_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(_docs(spark, sf_dir))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_decontaminate, op3_substring_dedup, op4_toxicity, op5_suffix_dedup, op6_quality_rules, op7_sharding,
+                                   op8_packing, op9_secret_scan, op10_license_scan, op11_source_audit, op12_token_counts, op13_whitening)}
 SQL: dict[str, str] = dict(sql.SQL)
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

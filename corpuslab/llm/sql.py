@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpuslab.llm import license_scan as L
 from corpuslab.llm import quality as Q
+from corpuslab.llm import source_audit as A
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -117,4 +118,27 @@ SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
 FROM t LEFT JOIN p USING (doc_id)
 """
 
-SQL = {"op1_jaccard_join": OP1, "op3_substring_dedup": OP3, "op5_suffix_dedup": OP5, "op6_quality_rules": OP6, "op10_license_scan": OP10}
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(x, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= {A.MIN_DOCS}),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+l AS (SELECT lang, sum(n) AS n FROM g GROUP BY lang),
+s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.n + 2 * v.v))::BIGINT AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT s.lang, s.term, (1 + 1000000000::HUGEINT * (sum(s.n) + 2) // (any_value(l.n) + 2 * any_value(v.v)))::BIGINT AS q
+  FROM s JOIN l USING (lang) JOIN v USING (lang) GROUP BY s.lang, s.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT s.lang, s.source, 'term', s.term, (p - q) * (p - q) // (p + q) FROM s JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM o)
+WHERE part = 'pair' OR rank <= {A.TOP}
+"""
+
+SQL = {"op11_source_audit": OP11, "op1_jaccard_join": OP1, "op3_substring_dedup": OP3, "op5_suffix_dedup": OP5, "op6_quality_rules": OP6, "op10_license_scan": OP10}

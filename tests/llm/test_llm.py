@@ -11,13 +11,14 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 import corpus_pipeline
 from corpuslab.llm import (decontaminate, jaccard_join, license_scan, packing, quality, queries, secret_scan, sharding,
-                           sql, substring_dedup, suffix_dedup, toxicity)
+                           source_audit, sql, substring_dedup, suffix_dedup, token_counts, toxicity, whitening)
 from corpuslab.llm import textarrays as T
 
 SF = "/root/testdata/sf0.001"
@@ -622,3 +623,171 @@ def test_pipeline_hard(spark, table, request):
     for _, stage in corpus_pipeline.STAGES:
         d = stage(spark, d, SF)
     assert (d.count() > 0) == (table == "hard")
+
+
+# --- 11 ---------------------------------------------------------------------
+
+def brute_audit(rows, min_docs=10, top=10):
+    """lang -> everything, in plain Python integers."""
+    docs = [(r[2] or "", r[3] or "", re.findall(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (r[1] or "").encode().lower())) for r in rows]
+    out = set()
+    for lang in {d[0] for d in docs}:
+        mine = [d for d in docs if d[0] == lang]
+        df = Counter(t for d in mine for t in set(d[2]))
+        kept = {t for t, n in df.items() if n >= min_docs}
+        count = {s: Counter() for s in {d[1] for d in mine}}
+        for _, s, ts in mine:
+            count[s].update(t for t in ts if t in kept)
+        whole = sum(count.values(), Counter())
+
+        def share(c, n):
+            return 1 + 10**9 * (c + 2) // (n + 2 * len(kept))
+
+        def far(p, q):
+            return (p - q) ** 2 // (p + q)
+        p = {s: {t: share(c[t], c.total()) for t in kept} for s, c in count.items()}
+        q = {t: share(whole[t], whole.total()) for t in kept}
+        for s in p:
+            for part, found in (("pair", [(sum(far(p[s][t], p[o][t]) for t in kept), o.encode()) for o in p if o != s]),
+                                ("term", [(far(p[s][t], q[t]), t) for t in kept if count[s][t] and p[s][t] > q[t]])):
+                found.sort(key=lambda x: (-x[0], x[1]))
+                for rank, (v, item) in enumerate(found if part == "pair" else found[:top], 1):
+                    out.add((lang, s, part, item.decode(), v, rank))
+    return out
+
+
+def audit_rows(df):
+    got = [tuple(r[c] for c in ("lang", "source", "part", "item", "value", "rank")) for r in df.collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def test_source_audit_hard(spark, hard, none):
+    data = [_row(i, f"Alpha beta{i % 3} gamma GAMMA Été {'delta ' * (i % 4)}", ["en", "fr", None][i % 3])[:3] + (["a", "b", None, "é"][i % 4],) for i in range(60)]
+    data += [(100, "no kept term here", "xx", "only"), (101, None, "xx", "other"), (102, "", "yy", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(5)
+    assert audit_rows(source_audit.audit(df)) == brute_audit(data)
+    # tiny stripes: every document is sent on for itself, many shares, one share
+    assert audit_rows(source_audit.audit(df, spill=1)) == brute_audit(data)
+    assert audit_rows(source_audit.audit(df, min_docs=2, top=3, parts=1)) == brute_audit(data, 2, 3)
+    assert audit_rows(source_audit.audit(hard, min_docs=2)) == brute_audit(HARD, 2)
+    assert source_audit.audit(none).collect() == []
+
+
+def test_source_audit_blocks_of_sources(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    data = [(i, " ".join(f"t{chr(97 + x)}" for x in r.integers(0, 26, 12)), "en", f"s{i % 23}") for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(source_audit, "SIDE", 5)
+    monkeypatch.setattr(source_audit, "CELLS", 64)
+    t = pa.table({"term": ["x", "y", "z"], "sources": [["a", "b"], ["c"], ["a", "c"]], "counts": [[3, 4], [5], [1, 2]]})
+    known, norm = pa.array(["a", "b", "c"]), np.array([14, 14, 17])
+    got = {(int(i), int(j)): int(v) for a, b, f in source_audit._pairs(t, known, norm) for i, j, v in zip(a, b, f)}
+    n = [[3, 0, 1], [4, 0, 0], [0, 5, 2]]
+    p = [[1 + 10**9 * (c + 2) // m for c in row] for row, m in zip(n, (14, 14, 17))]
+    assert got == {(i, j): sum((x - y) ** 2 // (x + y) for x, y in zip(p[i], p[j])) for i in range(3) for j in range(i + 1, 3)}
+    assert audit_rows(source_audit.audit(df)) == brute_audit(data)
+
+
+def test_shares_are_exact():
+    for c, n in ((0, 7), (5, 11), (9 * 10**14, 9 * 10**14 + 5), (123456789012, 3 * 10**14)):
+        assert int(source_audit.shares(np.array([c]), np.array([n]))[0]) == 1 + 10**9 * (c + 2) // n
+
+
+# --- 12 ---------------------------------------------------------------------
+
+def test_token_counts_whole_table(spark, pdocs):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(token_counts.default_tokenizer())
+    want = Counter((i, len((t or "").encode()), n, n > 1024) for i, t, n in (
+        (i, t, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in zip(pdocs.doc_id, pdocs.text)))
+    assert Counter(map(tuple, queries.op12_token_counts(spark, SF).collect())) == want
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert Counter(map(tuple, token_counts.count_tokens(docs, batch_bytes=500, piece_bytes=50).collect())) == want
+
+
+def test_token_counts_hard(spark, hard, none):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(token_counts.default_tokenizer())
+    extra = ["a<|endoftext|>b <|endoftext|>", "it's 12ab34 we'll  \t\n x\u00a0y\u3000z", "\u0301e\u4e2d\u6587" * 50, "\r\n\r\n a1b2'c3", "'s1't2 're"]
+    rows = [(r[0], r[1]) for r in HARD] + [(100 + i, x * k) for i, x in enumerate(extra) for k in (1, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    for size in (1, 7, 64, 1 << 16):
+        assert Counter(tuple(r)[:3] for r in token_counts.count_tokens(df, piece_bytes=size).collect()) == want
+    assert token_counts.count_tokens(hard).count() == len(HARD)
+    assert token_counts.count_tokens(none).collect() == []
+    assert token_counts.count_tokens(spark.createDataFrame([(1, "one two")], "doc_id long, text string"), limit=1).first()["over_limit"]
+
+
+def test_token_counts_of_other_tokenizers(spark):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+    texts = ["Hello there, 12 apples", "x" * 3000, "  spaced   out  " * 300, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, model, piece_bytes=10).collect()}
+    assert got == {i: len(sp.encode(t)) for i, t in enumerate(texts)}
+    words = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(words)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, words, piece_bytes=10).collect()}
+    assert got == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+# --- 13 ---------------------------------------------------------------------
+
+def check_whitening(df, vectors, limit=32):
+    """vectors: the remaining (id, entries)."""
+    c = np.array([v for _, v in vectors], np.float64)
+    x = np.floor(64 * c).astype(np.int64) + 1_000_000
+    n, total = len(x), x.sum(axis=0)
+    far = n * x - total
+    cov = (far / n).T @ (far / n) / n
+    e = np.sort(np.linalg.eigvalsh(cov))[::-1][:limit]
+    e = e[e > 1e-9 * e[0]]
+    got = df.orderBy("vec_id", "component").toPandas()
+    assert len(got) == n * len(e) and (got.n == n).all()
+    order = np.argsort([i for i, _ in vectors], kind="stable")
+    y = got.whitened.to_numpy().reshape(n, len(e))
+    assert (got.component.to_numpy().reshape(n, -1) == np.arange(1, len(e) + 1)).all()
+    assert got.deviation.to_numpy().reshape(n, -1)[:, 0].tolist() == (far * far).sum(axis=1)[order].tolist()
+    np.testing.assert_allclose(got.explained.to_numpy()[:len(e)], e / np.trace(cov), rtol=1e-6)
+    far = (far / n)[order]
+    np.testing.assert_allclose(y.T @ y / n, np.eye(len(e)), atol=1e-8)
+    assert got.identity_error.nunique() == 1 and got.identity_error[0] < 1e-8
+    u = far.T @ y / n / np.sqrt(e)  # the axes that y implies: unit eigenvectors of the covariance
+    np.testing.assert_allclose(u.T @ u, np.eye(len(e)), atol=1e-8)
+    np.testing.assert_allclose(cov @ u, u * e, atol=1e-8 * e[0])
+
+
+def test_whitening_whole_table(spark):
+    p = pd.read_parquet(f"{SF}/embeddings.parquet")
+    check_whitening(queries.op13_whitening(spark, SF), list(zip(p.vec_id, p.embedding)))
+
+
+def test_whitening_hard(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    good = [(i, r.normal(size=6).tolist()) for i in range(300)] + [(7, r.normal(size=6).tolist())] + [(1000 + i, [0.5] * 6) for i in range(150)]
+    bad = [(900, None), (901, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (902, [float("nan")] * 6), (903, [float("inf")] + [0.0] * 5), (904, [0.0] * 5 + [float("-inf")])]
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in good + bad], "vec_id long, embedding array<double>, label string, ids string")
+    check_whitening(whitening.whiten(df.filter("vec_id <> 7").repartition(3)), [g for g in good if g[0] != 7])
+    assert whitening.whiten(df).filter("vec_id = 7").count() == 2 * 6  # repeated ids are rows of their own
+    # small blocks, several column blocks and many row blocks give the same
+    monkeypatch.setattr(whitening, "BLOCK_VALUES", 40)
+    monkeypatch.setattr(whitening, "COLUMNS", 4)
+    check_whitening(whitening.whiten(df.filter("vec_id <> 7").repartition(3), components=4), [g for g in good if g[0] != 7], 4)
+    # shorter vectors are filled up, equal vectors and empty tables give nothing, a null id stays
+    short = [(i, v[: 4 + i % 3]) for i, v in good[:300] if i != 7]
+    full = [(i, v + [0.0] * (6 - len(v))) for i, v in short]
+    check_whitening(whitening.whiten(spark.createDataFrame(short, "vec_id long, embedding array<double>")), full)
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "vec_id long, embedding array<double>")
+    assert whitening.whiten(same).collect() == [] and whitening.whiten(same.limit(0)).collect() == []
+    null = spark.createDataFrame([(None, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert {x["vec_id"] for x in whitening.whiten(null).collect()} == {None, 1, 2}
+
+
+def test_deviations_beyond_64_bits():
+    assert whitening.deviations(np.array([[3, 4], [0, 0]])) == [25, 0]
+    assert whitening.deviations(np.array([[1 << 31, 0], [1 << 32, 1 << 32]])) == [1 << 62, None]
