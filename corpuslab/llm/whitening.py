@@ -207,7 +207,8 @@ def _projected(blocks: DataFrame, rows: int, columns: int, parts: int, w: np.nda
     diagonal = [((j * parts + p, j), DenseMatrix(columns, k, full[p * columns:(p + 1) * columns].ravel(order="F").tolist()))
                 for j in range(side) for p in range(parts)]
     right = BlockMatrix(spark.sparkContext.parallelize(diagonal, max(1, min(side, 64))), columns, k)
-    y = callMLlibFunc("getMatrixBlocks", left.multiply(right)._java_matrix_wrapper._java_model)
+    product = left.multiply(right)  # kept by name: its wrapper lets go of the matrix when collected
+    y = callMLlibFunc("getMatrixBlocks", product._java_matrix_wrapper._java_model)
     path = scratch_path(spark, "whitening-projected")
     y.toDF("at", "m").write.parquet(path)
     y = spark.read.schema(S.StructType([S.StructField("at", S.StructType([S.StructField("_1", S.LongType()), S.StructField("_2", S.LongType())])),
