@@ -12,6 +12,10 @@
   which the rule is not known to hold (another split, a normaliser, an added
   token with white space, digits or stripping; sentencepiece models).
 
+* Words: where the rule holds, a batch is also cut before every white space, and
+  only words that the worker has not met are encoded (it keeps the lengths of at
+  most ``CACHE_CHARS`` characters of words, then starts afresh).
+
 ``.json`` files are read by tokenizers, ``.model`` files by sentencepiece, without
 begin, end or added special tokens; special strings inside a text are treated as
 the library does by default. Nothing is truncated or padded.
@@ -39,6 +43,13 @@ from corpuslab.llm import textarrays as T
 BATCH_BYTES, PIECE_BYTES, LIMIT = 1 << 20, 1 << 16, 1024
 #: Two characters between which byte-level BPE always has a boundary.
 SAFE = re.compile(r"[!-~][ \t\n\r]|[A-Za-z][0-9]|[0-9][A-Za-z]")
+#: White space with the word after it. The cuts are boundaries if all that stands before
+#: them is no white space of any kind (these ranges hold none); else only some are taken.
+WORD = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_INK = "!-~\u00a1-\u167f\u2c00-\u2fff\u3001-\ud7ff"
+UNSURE = re.compile(f"[^{_INK} \t\n\r][ \t\n\r]")
+SURE = re.compile(f"(?<=[{_INK}])(?=[ \t\n\r])")
+CACHE_CHARS = 1 << 24
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 
 
@@ -51,6 +62,8 @@ class Counter:
     """Lengths of a batch of texts; ``splits`` says whether SAFE holds."""
 
     def __init__(self, path: str):
+        self.known: dict[str, int] = {}
+        self.chars = 0
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         if path.endswith(".model"):
             import sentencepiece
@@ -66,6 +79,24 @@ class Counter:
         self.splits = _splits(tok)
 
 
+    def totals(self, texts: list[str]) -> list[int]:
+        """Tokens of each text."""
+        if not self.splits:
+            return self.lengths(texts)
+        if self.chars > CACHE_CHARS:
+            self.known, self.chars = {}, 0
+        cut = [words(t) for t in texts]
+        new = list(set().union(*cut).difference(self.known))
+        self.known.update(zip(new, self.lengths(new)))
+        self.chars += sum(map(len, new))
+        return [sum(map(self.known.__getitem__, x)) for x in cut]
+
+
+def words(text: str) -> list[str]:
+    """The text cut before white space, where byte-level BPE has a boundary."""
+    return SURE.split(text) if UNSURE.search(text) else WORD.findall(text)
+
+
 def _splits(tok) -> bool:
     import json
     spec = json.loads(tok.to_str())
@@ -88,9 +119,12 @@ def pieces(text: str, limit: int = PIECE_BYTES) -> list[str]:
     return [*out, text[at:]] if out else [text]
 
 
+_counters: dict[str, Counter] = {}
+
+
 def _count(path: str, batch_bytes: int, piece_bytes: int):
     def run(batches):
-        counter = Counter(path)
+        counter = _counters.get(path) or _counters.setdefault(path, Counter(path))
         for b in batches:
             text = b.column("text").cast(pa.binary()).fill_null(b"")
             size = np.asarray(pc.binary_length(text), dtype=np.int64)
@@ -99,7 +133,7 @@ def _count(path: str, batch_bytes: int, piece_bytes: int):
 
             def flush():
                 if held:
-                    np.add.at(total, owner, counter.lengths(held))
+                    np.add.at(total, owner, counter.totals(held))
 
             for row in np.flatnonzero(size).tolist():
                 whole = text[row].as_py().decode("utf-8", "replace")

@@ -709,13 +709,19 @@ def test_token_counts_whole_table(spark, pdocs):
 def test_token_counts_hard(spark, hard, none):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(token_counts.default_tokenizer())
-    extra = ["a<|endoftext|>b <|endoftext|>", "it's 12ab34 we'll  \t\n x\u00a0y\u3000z", "\u0301e\u4e2d\u6587" * 50, "\r\n\r\n a1b2'c3", "'s1't2 're"]
+    extra = ["a<|endoftext|>b <|endoftext|>", "it's 12ab34 we'll  \t\n x\u00a0y\u3000z", "\u0301e\u4e2d\u6587" * 50, "\r\n\r\n a1b2'c3", "'s1't2 're",
+             "a\u00a0 b\u2003  c\u0085\nd\x0b e\x1c f\u200b g\u180e h \ufeff i", "x  \u00a0   y", "\u00e9t\u00e9 o\u00f9\t\u4e2d\n\n\u6587 \U0001f600 \U0001f600\n"]
     rows = [(r[0], r[1]) for r in HARD] + [(100 + i, x * k) for i, x in enumerate(extra) for k in (1, 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = Counter((i, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
     for size in (1, 7, 64, 1 << 16):
         assert Counter(tuple(r)[:3] for r in token_counts.count_tokens(df, piece_bytes=size).collect()) == want
     assert token_counts.count_tokens(hard).count() == len(HARD)
+    c = token_counts.Counter(token_counts.default_tokenizer())
+    r = np.random.default_rng(6)
+    alphabet = list(" \t\n\r\x0b\x0c\x1c\x85\u00a0\u1680\u180e\u2003\u2028\u200b\u3000\ufeffabA1'.s\u00e9\u4e2d") + ["'re", "<|endoftext|>", "  "]
+    texts = ["".join(alphabet[k] for k in r.integers(0, len(alphabet), 12)) for _ in range(20000)]
+    assert c.totals(texts) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
     assert token_counts.count_tokens(none).collect() == []
     assert token_counts.count_tokens(spark.createDataFrame([(1, "one two")], "doc_id long, text string"), limit=1).first()["over_limit"]
 
