@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from corpuslab.llm import license_scan as L
 from corpuslab.llm import quality as Q
 from corpuslab.llm import source_audit as A
@@ -76,25 +78,68 @@ FROM o
 """
 
 
+# Licence patterns for RE2, which has neither look-around nor possessive repeats: every mark between words is doubled, so a
+# match may take one half of the marks at its ends and still leave a half to its neighbours. \\x03 is a line end after which
+# an Apache notice runs on (the look-ahead of its pattern).
+_ANY, _EDGE = "[ \\n\\x01\\x03]", "[\\n\\x01\\x03]"
+_GAP = "(?:  |\\n\\n|\\x03\\x03)"
+_POINT = "(?:  |\\n\\n|\\x01\\x01|\\x03\\x03)"
+_RUNS_ON = "(?:the license )?you may not use"
+
+
+def _licence_pattern(p: str) -> str:
+    p = p.replace(f"(?! {_RUNS_ON})", "")
+    p = p.replace("license", "licen[cs]e").replace("~", "\2").replace(" ?", "\0").replace(" ", _GAP).replace("\0", _GAP + "?").replace("\2", _POINT + "?")
+    p = re.sub(r"<<(\d+,\d+)>>", lambda m: f"(?:[a-z0-9]+{_POINT}){{{m[1]}}}?", p)
+    return re.sub(r"<(\d+,\d+)>", lambda m: f"(?:[a-z0-9]+{_GAP}){{{m[1]}}}?", p)
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 def _op10() -> str:
-    known = "map {" + ", ".join(f"'{s}': '{i}'" for i, s in L.SENTENCES.items()) + "}"
-    longest = 2 * max(map(len, L.SENTENCES.values()))
-    steps, rest = [], "rest0"
-    for n, (_, _, run) in enumerate(L.RULES):
-        seq = "|" + "|".join(run) + "|"
-        steps.append(f"s{n + 1} AS (SELECT *, contains(rest{n}, '{seq}') AS r{n}, replace(rest{n}, '{seq}', '|#|') AS rest{n + 1} FROM s{n})")
-    names = ", ".join(f"CASE WHEN r{n} THEN '{name}' END" for n, (name, _, _) in enumerate(L.RULES))
-    verdict = " ".join(f"WHEN {' OR '.join(f'r{n}' for n, r in enumerate(L.RULES) if r[1] == kind)} THEN '{kind}'" for kind in L.STRICTEST)
+    known = [*L.SENTENCES.items(), *L.TEXTS]
+    long = [p for i, p in L.TEXTS if i in L.ANYWHERE]
+    short = sorted((p for _, p in known if p not in long), key=len, reverse=True)
+    halts = [p for p in short if _RUNS_ON in p]
+    long, rest, halts = ("|".join(map(_licence_pattern, x)) for x in (sorted(long, key=len, reverse=True), [p for p in short if p not in halts], halts))
+    any_of = f"{_ANY}(?:{long}){_ANY}|{_EDGE}(?:{halts})[\\n\\x01]|{_EDGE}(?:{rest}){_EDGE}"
+    names = " ".join(f"WHEN regexp_full_match(x, {_quoted(_licence_pattern(p))}) THEN '{i}'" for i, p in known)
+    text = "lower(chr(10) || text || chr(10))"
+    for find, put in ((r"\r\n|[\r\f\x0b]", "chr(10)"), (r"(?:https?://|www\.)[^ \t\n\x0b\f\r]*", "chr(10)"), (r"[^a-z0-9.!?:;\n]+", "' '"), (r" ?\n ?", "chr(10)"),
+                      (r"\n\n+", "chr(1) || chr(1)"), (r"[.!?][ \n\x01]", "chr(1)"), (r"[:;][ \n]", "chr(10)"), (r"[.!?:;]+", "' '"), (r" +", "' '"),
+                      (r" ?([\n\x01]) ?", "'\\1'"), (r"([ \n\x01])", "'\\1\\1'"), (f"\\n\\n({_licence_pattern(_RUNS_ON)})", "chr(3) || chr(3) || '\\1'")):
+        text = f"regexp_replace({text}, {_quoted(find)}, {put}, 'g')"
+    rules = [*L.ALL_RULES, *L.FALLBACK_RULES]
+    runs = [n for n, r in enumerate(rules) if len(r[2]) > 1]
+    steps = []
+    for k, n in enumerate(runs):
+        seq = "".join(f"|{i}|" for i in rules[n][2])
+        steps.append(f"s{k + 1} AS (SELECT *, contains(rest{k}, '{seq}') AS r{n}, replace(rest{k}, '{seq}', '|#|') AS rest{k + 1} FROM s{k})")
+    late = len(L.ALL_RULES)
+    singles = ", ".join(f"contains(rest{len(runs)}, '|{r[2][0]}|') AS {'r' if n < late else 'c'}{n}" for n, r in enumerate(rules) if n not in runs)
+    weak = (L.UNSPECIFIED, L.RESERVED)
+
+    def gives_way(n):
+        name = rules[n][0]
+        over = [f"{'r' if k < late else 'c'}{k}" for k, (other, _, _) in enumerate(rules)
+                if other != name and re.match(L.GIVES_WAY.get(name, "$"), other) and (other not in weak or name == L.RESERVED)]
+        return f"c{n} AND NOT ({' OR '.join(over) or 'false'}) AS r{n}"
+    given = ", ".join(gives_way(n) for n in range(late, len(rules)))
+    found = ", ".join(f"CASE WHEN r{n} THEN '{name}' END" for n, (name, _, _) in enumerate(rules))
+    verdict = " ".join(f"WHEN {' OR '.join(f'r{n}' for n, r in enumerate(rules) if r[1] == kind)} THEN '{kind}'" for kind in L.CLASSES)
     return f"""
-WITH t AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '(?i){L.KEYWORDS}')
-  THEN string_split(regexp_replace(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(10), 'g'), '\\n+', chr(10), 'g'), chr(10)) ELSE [] END AS s FROM documents),
-n AS (SELECT doc_id, [{known}[trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))] for x in s if len(x) <= {longest}] AS ids FROM t),
-i AS (SELECT doc_id, [x for x in ids if x IS NOT NULL] AS ids FROM n),
-s0 AS (SELECT doc_id, ids, '|' || array_to_string([x || '|' for x in ids], '') AS rest0 FROM i),
+WITH m AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), {_quoted('(?i)' + L.WORDS)}) THEN {text} ELSE '' END AS t FROM documents),
+f AS (SELECT doc_id, [x[2:-2] for x in regexp_extract_all(t, {_quoted(any_of)})] AS found FROM m),
+s0 AS (SELECT doc_id, ids, array_to_string(['|' || x || '|' for x in ids], '') AS rest0 FROM (
+  SELECT doc_id, [CASE {names} END for x in found] AS ids FROM f)),
 {", ".join(steps)},
-o AS (SELECT *, [x for x in [{names}] if x IS NOT NULL] AS found FROM s{len(L.RULES)})
+u AS (SELECT *, {singles} FROM s{len(runs)}),
+g AS (SELECT *, {given} FROM u),
+o AS (SELECT *, [x for x in [{found}] if x IS NOT NULL] AS names FROM g)
 SELECT doc_id, len(ids)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
-  coalesce((SELECT string_agg(x, ',' ORDER BY k) FROM (SELECT x, min(k) AS k FROM (SELECT unnest(found) AS x, generate_subscripts(found, 1) AS k) GROUP BY x)), '') AS licenses,
+  coalesce((SELECT string_agg(x, ',' ORDER BY k) FROM (SELECT x, min(k) AS k FROM (SELECT unnest(names) AS x, generate_subscripts(names, 1) AS k) GROUP BY x)), '') AS licenses,
   CASE {verdict} ELSE 'none' END AS verdict
 FROM o
 """
