@@ -252,17 +252,17 @@ def _by_nearness(i: np.ndarray):
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(rows: d, k, first_d, copies of every document; linked: for texts with
+    """(rows: d, k, first (d, k of the first equal text), copies of every document; linked: for texts with
     links, by block, their number and a text of the same component)."""
     k = R.keyed(docs)
     depth = prefix_length(threshold, recall)
     forest = k.mapInArrow(_forest(depth), "d bigint, k int, h1 bigint, h2 bigint, label binary")
     forest = materialize(forest, "jaccard-forest")
-    nodes = forest.groupBy("h1", "h2", "k").agg(F.min("d").alias("first_d"), F.count(F.lit(1)).alias("copies"),
-                                                F.first("label").alias("label"))
+    nodes = forest.groupBy("h1", "h2").agg(F.min(F.struct("d", "k")).alias("first"), F.count(F.lit(1)).alias("copies"),
+                                           F.first("label").alias("label"))
     nodes = materialize(nodes, "jaccard-nodes")
-    rows = forest.select("d", "k", "h1", "h2").join(nodes.select("h1", "h2", "first_d", "copies"), ["h1", "h2"])
-    trie = nodes.filter(F.col("label").isNotNull()).select(F.col("first_d").alias("d"), "k", "label", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = forest.select("d", "k", "h1", "h2").join(nodes.select("h1", "h2", "first", "copies"), ["h1", "h2"])
+    trie = nodes.filter(F.col("label").isNotNull()).select("first.d", "first.k", "label", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     trie = trie.withColumn("prefix", F.xxhash64(F.substring("label", F.col("tree") * 8 + 1, F.lit(8))))
     full = trie.groupBy("tree", "prefix").count().filter("count > 1")
     met = trie.join(full, ["tree", "prefix"])
@@ -300,30 +300,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """d, k, first_d, copies, n_links and root (d, k of the class's first text) of
+    """d, k, first, copies, n_links and root (d, k of the class's first text) of
     every row."""
     rows, found = links(docs, threshold, recall)
     node, root = F.struct("d", "k"), F.struct(F.col("root_d").alias("d"), F.col("root_k").alias("k"))
     roots = components(found.select(node.alias("a"), root.alias("b")).filter(F.col("a") != F.col("b")))
     count = found.groupBy(node.alias("a")).agg(F.sum("n_links").alias("n_links"))
     per = count.join(roots, "a", "left")  # a root has no edge to itself
-    j = rows.withColumn("a", F.struct(F.col("first_d").alias("d"), "k")).join(per, "a", "left")
-    return j.select("d", "k", "first_d", "copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+    j = rows.withColumn("a", F.col("first")).join(per, "a", "left")
+    return j.select("d", "k", "first", "copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
                     F.coalesce("root", "a").alias("root"))
 
 
 def join(docs: DataFrame) -> DataFrame:
-    def back(c):
-        return F.when(c != R.NULL_ID, c)
-    return classes(docs).select(R.doc_id().alias("doc_id"), back(F.col("root.d")).alias("class_id"), back(F.col("first_d")).alias("text_id"),
+    return classes(docs).select(R.doc_id().alias("doc_id"), R.doc_id("root.d", "root.k").alias("class_id"), R.doc_id("first.d", "first.k").alias("text_id"),
                                 F.col("copies").alias("n_copies"), "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with all columns, one of each class: its smallest doc_id."""
     heads = classes(docs).filter((F.col("root.d") == F.col("d")) & (F.col("root.k") == F.col("k"))).select("d", "k").distinct()
-    tagged = docs.select(F.coalesce("doc_id", F.lit(R.NULL_ID)).alias("_d"), F.coalesce("text", F.lit("")).alias("_t"),
-                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    tagged = tagged.select("_d", F.hash(F.xxhash64("_t"), F.xxhash64(F.lit("second"), "_t")).alias("_k"), "_row")
-    j = tagged.join(heads, (F.col("_d") == F.col("d")) & (F.col("_k") == F.col("k")), "left_semi")
-    return j.dropDuplicates(["_d", "_k"]).select("_row.*")
+    kept = R.keyed(docs, whole=True).select("d", "k", "row").join(heads, ["d", "k"], "left_semi")
+    return kept.dropDuplicates(["d", "k"]).select("row.*")

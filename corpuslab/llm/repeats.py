@@ -1,9 +1,11 @@
-"""What the two exact-repeat operators share: document keys, exact copies and
-the bookkeeping of positions.
-
-Documents are known by ``d`` (doc_id; null counts as the largest) and ``k`` (a
-32-bit tag of the text, so rows that share a doc_id but not a text stay apart).
-Positions travel as ``kp``: the tag in the upper half, the place in the lower.
+"""What the exact-repeat operators and the similarity join share: document keys,
+exact copies and the bookkeeping of positions.
+
+Documents are known by ``d`` (doc_id; null counts as the largest) and ``k``, which
+tells the different texts of one doc_id apart. It is 0 where a doc_id has one
+text; else the texts are numbered, so no two ever share (d, k). Numbers below 0
+are those of the id 2**63 - 1, whose ``d`` is that of the null id.
+Positions travel as ``kp``: k in the upper half, the place in the lower.
 """
 
 from __future__ import annotations
@@ -11,19 +13,34 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.llm import textarrays as T
-
-NULL_ID = (1 << 63) - 1
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """d, text (null: empty), k and two text fingerprints h1, h2."""
-    d = T.strip_columns(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    return d.select("text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.xxhash64("text").alias("h1"),
-                    F.xxhash64(F.lit("second"), "text").alias("h2")).withColumn("k", F.hash("h1", "h2"))
+from corpuslab.session import materialize
+
+NULL_ID, BUCKETS = (1 << 63) - 1, 4096
+
+
+def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """d, text (null: empty), k and two text fingerprints h1, h2; ``whole`` adds the
+    input row as a struct ``row``."""
+    have = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    d = docs.select(*T.columns(docs, "doc_id", "text"), *have).withColumn("text", F.coalesce("text", F.lit("")))
+    d = d.select("text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.col("doc_id").isNull().alias("no_id"),
+                 F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), *[c.name for c in d.schema if c.name == "row"])
+    several = d.groupBy("d").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter((F.col("lo") != F.col("hi")) | (F.col("d") == NULL_ID))
+    texts = d.select("d", "no_id", "h1", "h2").join(several.select("d"), "d", "left_semi").distinct()
+    texts = materialize(texts.withColumn("bucket", F.pmod("h1", F.lit(BUCKETS))), "several-texts")
+    first = texts.groupBy("d", "bucket").count()
+    first = first.select("d", "bucket", (F.sum("count").over(Window.partitionBy("d").orderBy("bucket")) - F.col("count")).alias("first"))
+    n = F.col("first") + F.row_number().over(Window.partitionBy("d", "bucket").orderBy("no_id", "h1", "h2")) - 1
+    texts = texts.join(first, ["d", "bucket"]).withColumn("n", n)
+    real = (F.col("d") == NULL_ID) & ~F.col("no_id")
+    texts = texts.select("d", "no_id", "h1", "h2", F.when(real, -1 - F.col("n")).otherwise(F.col("n")).cast("int").alias("k"))
+    texts = materialize(texts, "text-numbers")  # most often empty; left to the planner
+    out = d.join(texts, ["d", "no_id", "h1", "h2"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    return out.drop("no_id")
 
 
 def classes(keyed_docs: DataFrame) -> DataFrame:
@@ -41,9 +58,9 @@ def unpack_columns():
     return F.shiftright("kp", 32).cast("int").alias("k"), F.col("kp").bitwiseAND(0xFFFFFFFF).cast("int").alias("p")
 
 
-def doc_id():
-    """doc_id from d."""
-    return F.when(F.col("d") != NULL_ID, F.col("d"))
+def doc_id(d="d", k="k"):
+    """doc_id from d and k."""
+    return F.when((F.col(d) != NULL_ID) | (F.col(k) < 0), F.col(d))
 
 
 ROWS = "g bigint, known boolean, many boolean, d bigint, kp bigint"

@@ -11,14 +11,17 @@ copies of a text stand together and usually share a shard.
    gives RANGES - 1 quantiles as splitters.
 3. Exact bytes and rows of every range. A range with more than TWICE its share
    of bytes or rows - a hot text, a great heap of empty texts, or bad luck in
-   the draw - is subdivided by the second fingerprint into equal parts.
-4. Ranges and parts, a bounded list, are laid end to end; a part belongs to the
-   shard in which its middle lies. Slots number the rows of a shard: the part's
+   the draw - is subdivided by the second fingerprint into equal parts. What is
+   still overfull holds rows that share both fingerprints (repeated rows, empty
+   texts without an id); those are numbered and dealt out in equal pieces.
+4. Ranges, parts and pieces, a bounded list, are laid end to end; each belongs to
+   the shard in which its middle lies. Slots number the rows of a shard: the part's
    offset plus the row's place in its part, so no window spans more than a part.
 
 Nulls: a null text has size 1 (no bytes plus 1) and CRC 0; a null doc_id is a
-key like any other. Repeated rows take a slot each. An empty table gives an
-empty result.
+key like any other. Repeated rows take a slot each, however many there are.
+A very long text is a row like any other; it is never split. Other columns,
+whatever their names, are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 from corpuslab.llm import textarrays as T
 from corpuslab.session import materialize
 
-RANGES, SAMPLE, TWICE = 2048, 65536, 2
+RANGES, SAMPLE, TWICE, BUCKET = 2048, 65536, 2, 65536
+
+
+UNIT = ["range", "part", "hot_h", "hot_t", "piece"]
 
 
 def _find(key: Column, splitters: Column, n: int) -> Column:
@@ -47,7 +53,7 @@ def keys(docs: DataFrame) -> DataFrame:
     d = T.strip_columns(docs, "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     return d.select("doc_id", (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-                    F.xxhash64(text).alias("h"), F.xxhash64(F.col("doc_id"), F.lit("tie")).alias("t"))
+                    F.xxhash64(text).alias("h"), F.xxhash64(F.col("doc_id"), F.lit("tie")).alias("t"), F.monotonically_increasing_id().alias("row"))
 
 
 def shard(docs: DataFrame, shards: int = 16, ranges: int = RANGES, sample: int = SAMPLE) -> DataFrame:
@@ -71,12 +77,35 @@ def shard(docs: DataFrame, shards: int = 16, ranges: int = RANGES, sample: int =
     k = k.withColumn("part", F.floor(place * F.col("parts")).cast("int")).drop("parts")
     k = materialize(k, "shard-parts")
     units = k.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    # bounded: at most ranges + 2 * ranges / TWICE parts, whatever the rows
-    w = Window.orderBy("range", "part")
+    much = (F.col("bytes") * ranges > 2 * TWICE * total["bytes"]) | (F.col("rows") * ranges > 2 * TWICE * total["rows"])
+    # a unit or key with so much: at most ranges / TWICE of them, whatever the rows
+    full = k.join(F.broadcast(units.filter(much).select("range", "part")), ["range", "part"])
+    hot = full.groupBy("h", "t").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).filter(much)
+    pieces = F.ceil(F.greatest(F.col("bytes") * ranges / total["bytes"], F.col("rows") * ranges / total["rows"]))
+    hot = materialize(hot.select("h", "t", "rows", F.least("rows", pieces).alias("pieces"), F.ceil(F.col("rows") / BUCKET).alias("buckets")), "shard-hot")
+    ranked = full.join(F.broadcast(hot), ["h", "t"]).withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets")))
+    first = ranked.groupBy("h", "t", "bucket").count()
+    first = first.select("h", "t", "bucket", (F.sum("count").over(Window.partitionBy("h", "t").orderBy("bucket")) - F.col("count")).alias("before"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("h", "t", "bucket").orderBy("row")) - 1
+    ranked = ranked.join(first, ["h", "t", "bucket"]).withColumn("rank", rank).withColumn("piece", F.floor(F.col("rank") * F.col("pieces") / F.col("rows")))
+    ranked = ranked.withColumn("place", F.col("rank") - F.ceil(F.col("piece") * F.col("rows") / F.col("pieces")))
+    cols = ["doc_id", "size", "text_crc32", "range", "part"]
+    ranked = ranked.select(*cols, F.col("h").alias("hot_h"), F.col("t").alias("hot_t"), "piece", "place")
+    rest = k.join(F.broadcast(hot.select("h", "t")), ["h", "t"], "left_anti")
+    wr = Window.partitionBy("range", "part").orderBy("h", "t", "doc_id", "size", "text_crc32")
+    rest = rest.select(*cols, F.lit(0).cast("bigint").alias("hot_h"), F.lit(0).cast("bigint").alias("hot_t"), F.lit(-1).cast("bigint").alias("piece"),
+                       (F.row_number().over(wr) - 1).cast("bigint").alias("place"))
+    if hot.isEmpty():
+        placed = rest
+    else:
+        placed = materialize(rest.unionByName(ranked), "shard-placed")
+        units = placed.groupBy(*UNIT).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    units = units.select(*[F.col(c) if c in units.columns else F.lit(-1 if c == "piece" else 0).cast("bigint").alias(c) for c in UNIT], "bytes", "rows")
+    # bounded: at most ranges + 4 * ranges / TWICE parts and pieces
+    w = Window.orderBy(*UNIT)
     before = F.sum("bytes").over(w) - F.col("bytes")
     units = units.withColumn("shard", F.least(F.lit(shards - 1), F.floor((before + F.col("bytes") / 2) * shards / F.lit(total["bytes"])).cast("int")))
-    ws = Window.partitionBy("shard").orderBy("range", "part")
-    units = units.withColumn("first", F.sum("rows").over(ws) - F.col("rows")).select("range", "part", "shard", "first")
-    wr = Window.partitionBy("range", "part").orderBy("h", "t", "doc_id", "size", "text_crc32")
-    out = k.withColumn("place", F.row_number().over(wr) - 1).join(F.broadcast(units), ["range", "part"])
+    ws = Window.partitionBy("shard").orderBy(*UNIT)
+    units = units.withColumn("first", F.sum("rows").over(ws) - F.col("rows")).select(*UNIT, "shard", "first")
+    out = placed.join(F.broadcast(units), UNIT)
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("place")).alias("slot"))

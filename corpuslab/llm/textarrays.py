@@ -180,13 +180,18 @@ def minimizers(h: np.ndarray, group: np.ndarray, w: int) -> tuple[np.ndarray, np
     return at[ok], np.flatnonzero(ok)
 
 
-def strip_columns(df, *names: str):
-    """The named columns only, ids as bigint and the rest as strings; a column
-    that the input lacks becomes null."""
+def columns(df, *names: str):
+    """The named columns, ids as bigint and the rest as strings; one that the input
+    lacks is null."""
     from pyspark.sql import functions as F
     have = set(df.columns)
     kind = {n: "bigint" if n.endswith("_id") else "string" for n in names}
-    return df.select(*[(F.col(f"`{n}`") if n in have else F.lit(None)).cast(kind[n]).alias(n) for n in names])
+    return [(F.col(f"`{n}`") if n in have else F.lit(None)).cast(kind[n]).alias(n) for n in names]
+
+
+def strip_columns(df, *names: str):
+    """The named columns only (see ``columns``)."""
+    return df.select(*columns(df, *names))
 
 
 _FOLD = np.arange(256, dtype=np.uint8)

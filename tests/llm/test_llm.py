@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 import corpus_pipeline
-from corpuslab.llm import (decontaminate, jaccard_join, license_scan, packing, quality, queries, secret_scan, sharding,
+from corpuslab.llm import (decontaminate, jaccard_join, license_scan, packing, quality, queries, repeats, secret_scan, sharding,
                            source_audit, sql, substring_dedup, suffix_dedup, token_counts, toxicity, whitening)
 from corpuslab.llm import textarrays as T
 
@@ -797,3 +797,36 @@ def test_whitening_hard(spark, monkeypatch):
 def test_deviations_beyond_64_bits():
     assert whitening.deviations(np.array([[3, 4], [0, 0]])) == [25, 0]
     assert whitening.deviations(np.array([[1 << 31, 0], [1 << 32, 1 << 32]])) == [1 << 62, None]
+
+
+# --- rows without or with one id --------------------------------------------
+
+def test_keys_of_many_texts_without_id(spark):
+    """300,000 different texts without an id, twice each, stay 300,000 keys."""
+    n = 300_000
+    df = spark.range(2 * n).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % n).alias("text"))
+    k = repeats.keyed(df)
+    assert k.select("d", "k").distinct().count() == n and k.count() == 2 * n
+    assert jaccard_join.keep_one(df).count() == n
+
+
+def test_largest_id_is_not_null(spark):
+    top = (1 << 63) - 1
+    words = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(top, words), (None, words + " end"), (top, "other"), (None, "other"), (1, words)], "doc_id long, text string")
+    for got in (substring_dedup.digest(df), suffix_dedup.digest(df), jaccard_join.join(df)):
+        assert Counter(r["doc_id"] for r in got.collect()) == Counter([top, None, top, None, 1])
+    got = {(r["doc_id"], r["n_links"]): r for r in jaccard_join.join(df).collect()}
+    assert got[(top, 0)]["class_id"] == got[(top, 0)]["text_id"] == top and got[(None, 1)]["class_id"] == 1
+
+
+def test_sharding_of_identical_rows(spark):
+    for doc in ("null", "7"):
+        df = spark.range(200_000).selectExpr(f"cast({doc} as bigint) as doc_id", "'one text' as text").unionByName(
+            spark.range(500).selectExpr("id as doc_id", "concat('text ', id) as text"))
+        got = sharding.shard(df).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("slot").alias("lo"),
+                                                      F.max("slot").alias("hi"), F.count_distinct("slot").alias("slots")).collect()
+        assert len(got) == 16 and sum(r["n"] for r in got) == 200_500
+        assert all(r["lo"] == 0 and r["hi"] == r["n"] - 1 and r["slots"] == r["n"] for r in got)
+        mean = sum(r["bytes"] for r in got) / 16
+        assert all(abs(r["bytes"] - mean) < 0.02 * mean for r in got)
