@@ -1,163 +1,36 @@
-"""Text features as long tables: (doc, term, tf) → vocabulary → TF-IDF.
-
-TF-IDF follows the sublinear, smoothed, L2-normalised form: weight =
-(1 + ln tf) · (ln((1 + n) / (1 + df)) + 1), then divided by the document's
-norm. The vocabulary keeps terms with df ≥ min_df, then the ``max_features``
-most frequent by corpus count (ties by term). Whether it is broadcast is left to
-the planner, which knows its size.
-"""
+"""Class centroids and token ids over the sparse rows of ``sparse``; the long form
+(doc, term, tf) for models with a vocabulary for each group."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from corpuslab.functions import text as X
-
-
-def term_counts(df: DataFrame, doc: str, terms) -> DataFrame:
-    """(doc, term, tf). ``terms`` is an array<string> expression or a
-    ``WordTerms`` spec (tokens are then materialised once per row before the
-    n-gram lambdas read them)."""
-    if isinstance(terms, DataFrame):  # counted before: (doc, term, tf) of more documents
-        return terms.join(df.select(F.col(doc).alias("doc")), "doc", "left_semi")
-    if isinstance(terms, WordTerms):
-        x = df.select(F.col(doc).alias("doc"), X.word_tokens(F.col(terms.text)).alias("_tok"))
-        arr = F.col("_tok") if (terms.lo, terms.hi) == (1, 1) else X.word_ngrams(F.col("_tok"), terms.lo, terms.hi)
-        x = x.select("doc", F.explode(arr).alias("term"))
-    else:
-        x = df.select(F.col(doc).alias("doc"), F.explode(terms).alias("term"))
-    return x.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-class WordTerms:
-    """Word n-grams lo..hi of the text column ``text``."""
-
-    def __init__(self, text: str, lo: int = 1, hi: int = 1):
-        self.text, self.lo, self.hi = text, lo, hi
-
-
-def word_terms(text, lo: int = 1, hi: int = 1) -> "WordTerms":
-    name = text if isinstance(text, str) else "text"
-    return WordTerms(name, lo, hi)
-
-
-def term_stats(tf: DataFrame) -> DataFrame:
-    """(term, df, cf): document and corpus frequency."""
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-
 
-def vocabulary(tf: DataFrame, max_features: int | None = None, min_df: int = 1) -> DataFrame:
-    st = term_stats(tf).filter(F.col("df") >= min_df)
-    if max_features is not None:
-        st = st.orderBy(F.col("cf").desc(), F.col("term")).limit(max_features)
-    return st
+from corpuslab.operators import sparse as SP
 
 
-def tfidf(tf: DataFrame, n_docs: Column, vocab: DataFrame) -> DataFrame:
-    """(doc, term, weight) over the vocabulary, L2-normalised per document."""
-    idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
-    w = tf.join(vocab.select("term", "df"), "term") \
-        .select("doc", "term", ((1 + F.log(F.col("tf"))) * idf).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
-    return w.select("doc", "term", (F.col("w") / norm).alias("weight"))
+def term_counts(counted: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, term, tf) of counted rows, without a shuffle."""
+    return counted.select(F.col(doc).alias("doc"), F.explode(F.arrays_zip("terms", "tf")).alias("z")).select("doc", F.col("z.terms").alias("term"), F.col("z.tf").alias("tf"))
 
 
-def fit_tfidf(df: DataFrame, doc: str, terms: Column, max_features: int | None = None,
-              min_df: int = 1) -> DataFrame:
-    tf = term_counts(df, doc, terms)
-    n = df.select(F.count(F.lit(1))).scalar()
-    return tfidf(tf, n, vocabulary(tf, max_features, min_df))
+def centroids(rows: DataFrame, label: str) -> DataFrame:
+    """(label, idx, value): mean weight by class and term, from one pass."""
+    sums = SP.class_sums(rows, label)
+    n = sums.filter("idx = -1").select("label", F.col("total").alias("n"))
+    return sums.filter("idx >= 0").join(n, "label").select("label", "idx", (F.col("total") / F.col("n")).alias("value"))
 
 
-def centroids(w: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Mean TF-IDF vector per class: Σ weight / documents in the class."""
-    sizes = labels.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    s = w.join(labels.select(F.col("doc"), F.col(label)), "doc") \
-        .groupBy(label, "term").agg(F.sum("weight").alias("_s"))
-    return s.join(sizes, label).select(label, "term", (F.col("_s") / F.col("_n")).alias("value"))
-
-
-def separability(cent: DataFrame, label: str) -> DataFrame:
+def separability(cent: DataFrame) -> DataFrame:
     """Mean cosine distance between different class centroids, without pairing
     classes: for unit centroids the k(k-1) ordered cosines sum to
-    ||sum of the centroids||^2 - k."""
-    unit = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(label)))
-    c = cent.withColumn("_u", F.col("value") / unit)
-    k = cent.select(F.count_distinct(label)).scalar()
-    total = c.groupBy("term").agg(F.sum("_u").alias("_t")).agg(F.sum(F.col("_t") * F.col("_t")).alias("_q"))
-    return total.select(F.try_subtract(F.lit(1.0), F.try_divide(F.col("_q") - k, k * (k - 1))).alias("mean_inter_class_cosine_distance"),
-                        k.alias("n_classes"))
-
-
-def threshold_pairs(w: DataFrame, test_ids: DataFrame, train_ids: DataFrame, t: float) -> DataFrame:
-    """All (test, train) pairs with cosine ≥ t, exactly, without the all-pairs
-    term join (All-Pairs prefix filter):
-
-    1. order each test document's terms rarest first (df, term); its prefix is
-       every term whose remaining norm (this term onward) is still ≥ t — a
-       pair with cosine ≥ t must share a prefix term;
-    2. join prefix postings to train postings on term → candidate pairs with
-       the partial dot product of the prefix;
-    3. drop candidates whose partial dot plus the test suffix norm is < t;
-    4. score the survivors' suffix terms exactly.
-    """
-    df = w.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    test = w.join(test_ids.select("doc"), "doc").join(df, "term")
-    wr = Window.partitionBy("doc").orderBy(F.col("df").desc(), F.col("term").desc()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    test = test.withColumn("_from_here", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(wr)))
-    test = test.withColumn("in_prefix", F.col("_from_here") >= F.lit(t))
-    rest = test.groupBy("doc").agg(F.sqrt(F.sum(F.when(~F.col("in_prefix"), F.col("weight") * F.col("weight")))
-                                          .cast("double")).alias("rest_norm"))
-    train = w.join(train_ids.select("doc"), "doc").select(F.col("doc").alias("train"), "term", F.col("weight").alias("wy"))
-    pre = test.filter("in_prefix").select(F.col("doc").alias("test"), "term", F.col("weight").alias("wx"))
-    cand = pre.join(train, "term").groupBy("test", "train").agg(F.sum(F.col("wx") * F.col("wy")).alias("s_prefix"))
-    cand = cand.join(rest.select(F.col("doc").alias("test"), F.coalesce("rest_norm", F.lit(0.0)).alias("rest_norm")), "test") \
-        .filter(F.col("s_prefix") + F.col("rest_norm") >= F.lit(t) - 1e-12)
-    suf = test.filter(~F.col("in_prefix")).select(F.col("doc").alias("test"), "term", F.col("weight").alias("wx"))
-    s2 = cand.select("test", "train").join(suf, "test").join(train, ["train", "term"]) \
-        .groupBy("test", "train").agg(F.sum(F.col("wx") * F.col("wy")).alias("s_suffix"))
-    scored = cand.join(s2, ["test", "train"], "left") \
-        .select("test", "train", (F.col("s_prefix") + F.coalesce(F.col("s_suffix"), F.lit(0.0))).alias("cosine"))
-    return scored.filter(F.col("cosine") >= t)
-
-
-def flag_near_dups(w: DataFrame, test_ids: DataFrame, train_ids: DataFrame, t: float) -> DataFrame:
-    """Test documents whose best train match reaches ``t``, with that score."""
-    return threshold_pairs(w, test_ids, train_ids, t).groupBy("test").agg(F.max("cosine").alias("max_sim"))
-
-
-def max_sims(w: DataFrame, test_ids: DataFrame, train_ids: DataFrame, floor: float) -> DataFrame:
-    """One row for every test document: its best train similarity, exact where
-    it reaches ``floor``; else null and ``below_floor``."""
-    best = flag_near_dups(w, test_ids, train_ids, floor)
-    return test_ids.select(F.col("doc").alias("test")).join(best, "test", "left") \
-        .withColumn("below_floor", F.col("max_sim").isNull())
-
-
-def near_dup_lsh(w: DataFrame, test_ids: DataFrame, train_ids: DataFrame, t: float,
-                 num_hash_tables: int = 5, jaccard_distance: float = 0.6) -> DataFrame:
-    """Approximate route for large corpora: MinHash LSH on term sets proposes
-    pairs, each proposal is re-scored exactly; pairs LSH misses are lost."""
-    from pyspark.ml.feature import CountVectorizer, MinHashLSH
-
-    docs = w.groupBy("doc").agg(F.collect_list("term").alias("terms"))
-    cv = CountVectorizer(inputCol="terms", outputCol="features", binary=True, vocabSize=1 << 22).fit(docs)
-    sets = cv.transform(docs)
-    mh = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=num_hash_tables, seed=7).fit(sets)
-    a = sets.join(test_ids.select("doc"), "doc")
-    b = sets.join(train_ids.select("doc"), "doc")
-    prop = mh.approxSimilarityJoin(a, b, jaccard_distance, distCol="jd") \
-        .select(F.col("datasetA.doc").alias("test"), F.col("datasetB.doc").alias("train"))
-    x = w.select(F.col("doc").alias("test"), "term", F.col("weight").alias("wx"))
-    y = w.select(F.col("doc").alias("train"), "term", F.col("weight").alias("wy"))
-    sc = prop.join(x, "test").join(y, ["train", "term"]).groupBy("test", "train") \
-        .agg(F.sum(F.col("wx") * F.col("wy")).alias("cosine"))
-    return sc.filter(F.col("cosine") >= t).groupBy("test").agg(F.max("cosine").alias("max_sim"))
+    ||sum of the centroids||^2 - k. ``cent`` should be a stored table."""
+    norms = cent.groupBy("label").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("unit"))
+    total = cent.join(norms, "label").groupBy("idx").agg(F.sum(F.col("value") / F.col("unit")).alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("q"))
+    k = norms.agg(F.count(F.lit(1)).alias("k"))
+    return total.crossJoin(k).select(  # one row each
+        F.try_subtract(F.lit(1.0), F.try_divide(F.col("q") - F.col("k"), F.col("k") * (F.col("k") - 1))).alias("mean_inter_class_cosine_distance"),
+        F.col("k").alias("n_classes"))
 
 
 def pad_ids(tokens: DataFrame, doc: str, vocab: DataFrame, max_len: int) -> DataFrame:

@@ -7,22 +7,33 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as X
 from corpuslab.operators import features as FT
+from corpuslab.operators import neardup as ND
+from corpuslab.operators import sparse as SP
 from corpuslab.plans import sqlviews as V
 from corpuslab.plans.views import tickets
-from corpuslab.session import shared_table
+from corpuslab.session import shared_table, spread
 
-WORD_MAX, CHAR_MAX, SEP_MAX, NEAR_T, MIN_DF, SIM_FLOOR = 50000, 80000, 10000, 0.9, 2, 0.5
+WORD_MAX, CHAR_MAX, SEP_MAX, NEAR_MAX, NEAR_T, MIN_DF = 50000, 80000, 10000, 50000, 0.9, 2
+TASKS = ("category_level_1", "priority")
 
 
 def docs(s, d):
     t = tickets(s, d)
-    return t.select(F.col("ticket_id").alias("doc"), X.compose_text(F.col("title"), F.col("description")).alias("text"),
-                    "category_level_1", "priority")
+    return spread(t.select(F.col("ticket_id").alias("doc"), X.compose_text(F.col("title"), F.col("description")).alias("text"),
+                           "category_level_1", F.col("priority").cast("string").alias("priority")))
 
 
-def counted(s, d, name, terms, source=None):
-    """(doc, term, tf) of all documents, counted once per session."""
-    return shared_table(s, (f"terms-{name}", d), lambda: FT.term_counts((source or docs)(s, d), "doc", terms))
+def counted(s, d, name, spec, source=None, keep=("doc",)):
+    """Distinct terms and counts of every document, made once per session and input."""
+    return shared_table(s, (f"counted-{name}", d), lambda: SP.counted((source or docs)(s, d), spec, keep))
+
+
+def vectorizer(s, d, name, rows, max_features, min_df=1):
+    """The vectorizer fitted on counted rows; its vocabulary is a shared table."""
+    def build():
+        n = rows.count()
+        return SP.vocabulary(SP.term_stats(rows), max_features, min_df).withColumn("n_docs", F.lit(n))
+    return SP.Vectorizer.stored(shared_table(s, (f"vocabulary-{name}", d), build))
 
 
 def _ntok(s, d):
@@ -31,86 +42,73 @@ def _ntok(s, d):
                     F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
 
 
-def _stats(terms_fn, min_df=1):
+def _stats(spec, min_df=1):
     def q(s, d):
-        tf = FT.term_counts(docs(s, d), "doc", terms_fn(F.col("text")))
-        return FT.term_stats(tf).filter(F.col("df") >= min_df)
+        return SP.term_stats(SP.counted(docs(s, d), spec)).filter(F.col("df") >= min_df)
     return q
 
 
 def _vocab(s, d):
-    tf = FT.term_counts(docs(s, d), "doc", FT.word_terms("text", 1, 2))
-    v = FT.vocabulary(tf, WORD_MAX, 2)
+    v = SP.vocabulary(SP.term_stats(counted(s, d, "word12", SP.Words("text", 1, 2))), WORD_MAX, 2)
     return v.withColumn("rank", F.row_number().over(Window.orderBy(F.col("cf").desc(), "term")).cast("bigint"))
 
 
+def _weights(s, d, name, spec, max_features):
+    rows = counted(s, d, name, spec)
+    v = vectorizer(s, d, name, rows, max_features, MIN_DF)
+    return v.weights(v.rows(rows)).select("doc", "term", F.round("weight", 6).alias("weight"))
+
+
 def _tfidf(s, d):
-    w = FT.fit_tfidf(docs(s, d).select("doc"), "doc", counted(s, d, "word12", FT.word_terms("text", 1, 2)), WORD_MAX, MIN_DF)
-    return w.select("doc", "term", F.round("weight", 6).alias("weight"))
+    return _weights(s, d, "word12", SP.Words("text", 1, 2), WORD_MAX)
 
 
 def _union(s, d):
-    ds = docs(s, d).select("doc")
-    wb = FT.fit_tfidf(ds, "doc", counted(s, d, "word12", FT.word_terms("text", 1, 2)), WORD_MAX, MIN_DF)
-    cb = FT.fit_tfidf(ds, "doc", counted(s, d, "char35", X.char_wb_ngrams(F.col("text"), 3, 5)), CHAR_MAX, MIN_DF)
-    u = wb.withColumn("block", F.lit("word")).unionByName(cb.withColumn("block", F.lit("char")))
-    return u.select("doc", "block", "term", F.round("weight", 6).alias("weight"))
+    wb = _weights(s, d, "word12", SP.Words("text", 1, 2), WORD_MAX).withColumn("block", F.lit("word"))
+    cb = _weights(s, d, "char35", SP.CharWb("text", 3, 5), CHAR_MAX).withColumn("block", F.lit("char"))
+    return wb.unionByName(cb).select("doc", "block", "term", "weight")
 
 
 def near_dup_features(s, d):
-    """Char 2–4-gram TF-IDF (50k vocabulary) fitted on train ∪ test raw text."""
-    return shared_table(s, ("near-dup-weights", d), lambda: FT.fit_tfidf(
-        docs(s, d).select("doc"), "doc", counted(s, d, "char24", X.char_wb_ngrams(F.col("text"), 2, 4)), 50000))
-
-
-def _sides(s, d):
-    ds = docs(s, d).select("doc")
-    return ds.filter(F.col("doc") % 2 == 1), ds.filter(F.col("doc") % 2 == 0)
-
-
-def _flag(s, d):
-    test, train = _sides(s, d)
-    return FT.flag_near_dups(near_dup_features(s, d), test, train, NEAR_T) \
-        .select(F.col("test").alias("test_idx"), F.round("max_sim", 6).alias("max_sim"))
-
-
-def _max_sim(s, d):
-    test, train = _sides(s, d)
-    sims = FT.max_sims(near_dup_features(s, d), test, train, SIM_FLOOR)
-    return sims.select(F.col("test").alias("test_idx"), F.round("max_sim", 6).alias("max_sim"), "below_floor")
+    """Char 2-4-gram TF-IDF rows (50k vocabulary) fitted on train and test raw text;
+    ``side``: odd ids are the test documents."""
+    def build():
+        rows = counted(s, d, "char24", SP.CharWb("text", 2, 4))
+        v = vectorizer(s, d, "char24", rows, NEAR_MAX)
+        return v.rows(rows).withColumn("side", F.col("doc") % 2 == 1)
+    return shared_table(s, ("near-dup-rows", d), build)
 
 
-def _lsh(s, d):
-    test, train = _sides(s, d)
-    return FT.near_dup_lsh(near_dup_features(s, d), test, train, NEAR_T) \
-        .select(F.col("test").alias("test_idx"), F.round("max_sim", 6).alias("max_sim"))
+def _sims(route):
+    def q(s, d):
+        return route(near_dup_features(s, d)).select(F.col("doc").alias("test_idx"), F.round("max_sim", 6).alias("max_sim"))
+    return q
 
 
 def _norm_docs(s, d):
     return docs(s, d).withColumn("text", X.normalize_text(F.col("text")))
 
 
-def _sep_weights(s, d):
-    def build():
-        tf = counted(s, d, "norm-word1", FT.word_terms("text"), _norm_docs)
-        return FT.fit_tfidf(docs(s, d).select("doc"), "doc", tf, SEP_MAX)
-    return shared_table(s, ("separability-weights", d), build)
+def _sep_rows(s, d):
+    rows = counted(s, d, "norm-word1", SP.Words("text"), _norm_docs, ("doc", *TASKS))
+    v = vectorizer(s, d, "norm-word1", rows, SEP_MAX)
+    return v, shared_table(s, ("separability-rows", d), lambda: v.rows(rows))
 
 
 def _centroids(s, d):
-    ds = _norm_docs(s, d)
-    c = FT.centroids(_sep_weights(s, d), ds, "category_level_1")
-    return c.select(F.col("category_level_1").alias("class"), "term", F.round("value", 6).alias("value"))
+    v, rows = _sep_rows(s, d)
+    names = s.createDataFrame([(i, t) for i, t in enumerate(v.terms.to_pylist())], "idx int, term string")  # at most SEP_MAX
+    c = FT.centroids(rows, "category_level_1").join(names, "idx")
+    return c.select(F.col("label").alias("class"), "term", F.round("value", 6).alias("value"))
 
 
 def _sep(s, d):
-    ds = _norm_docs(s, d)
-    w = _sep_weights(s, d)
+    _, rows = _sep_rows(s, d)
     out = None
-    for task in ("category_level_1", "priority"):
-        r = FT.separability(FT.centroids(w, ds.withColumn(task, F.col(task).cast("string")), task), task) \
-            .select(F.lit(task).alias("task"), "n_classes", F.round("mean_inter_class_cosine_distance", 6)
-                    .alias("mean_inter_class_cosine_distance"))
+    for task in TASKS:
+        cent = shared_table(s, (f"centroids-{task}", d), lambda task=task: FT.centroids(rows, task))
+        r = FT.separability(cent).select(F.lit(task).alias("task"), "n_classes", F.round("mean_inter_class_cosine_distance", 6)
+                                         .alias("mean_inter_class_cosine_distance"))
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -131,14 +129,14 @@ def _pad(s, d):
 
 QUERIES = {
     "word_tokens": _ntok,
-    "word_ngrams": _stats(lambda t: FT.word_terms("text", 1, 2), 2),
-    "char_wb_ngrams": _stats(lambda t: X.char_wb_ngrams(t, 2, 4)),
+    "word_ngrams": _stats(SP.Words("text", 1, 2), 2),
+    "char_wb_ngrams": _stats(SP.CharWb("text", 2, 4)),
     "vocab_limit": _vocab,
     "tfidf": _tfidf,
     "tfidf_union": _union,
-    "near_dup_max_sim": _max_sim,
-    "near_dup_flag": _flag,
-    "near_dup_lsh": _lsh,
+    "near_dup_max_sim": _sims(lambda rows: ND.max_sims(rows, NEAR_MAX)),
+    "near_dup_flag": _sims(lambda rows: ND.flag(rows, NEAR_MAX, NEAR_T)),
+    "near_dup_lsh": _sims(lambda rows: ND.lsh(rows, NEAR_MAX, NEAR_T)),
     "class_centroids": _centroids,
     "class_separability": _sep,
     "byte_tokens": _bytes,

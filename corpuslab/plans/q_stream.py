@@ -1,26 +1,22 @@
-"""§2.K streaming queries: the test tables are copied (by Spark) into a
-stream directory, drained with ``availableNow`` and the sink is read back."""
+"""§2.K streaming queries, drained with ``availableNow``; the sink is read back. Tickets
+stream from the documents as they lie there; event-time queries get their table
+in time slices."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslab.functions import text as X
+from corpuslab.operators import sparse as SP
 from corpuslab.operators import training as TR
 from corpuslab.plans import q_train as QT
 from corpuslab.plans import sqlviews as V
 from corpuslab.plans.views import table, tickets
-from corpuslab.session import materialize, scratch_path
+from corpuslab.session import scratch_path
 from corpuslab.streaming import jobs as J
 
 
-def _stage(s, df, name, files=4):
-    """Copy a table into a stream directory of several files."""
-    path = scratch_path(s, f"stream_in_{name}")
-    df.repartition(files).write.parquet(path)
-    return path, df.schema
-
-
 def feed(s, df, ts, name, make, slices=4):
     """Let a table arrive in event-time order: time slice by time slice is added
     to the stream directory (by as many tasks as it takes), and after each the
@@ -36,27 +32,38 @@ def feed(s, df, ts, name, make, slices=4):
     return s.read.parquet(sink)
 
 
-def _score(s, d):
-    voc, _ = QT.corpus_vectors(s, d)
-    model = tuple(materialize(m, "stream-model") for m in QT.nb_model(s, d, "category_level_1"))
-    incoming = tickets(s, d).select(F.col("ticket_id").alias("doc"), "title", "description")
-    path, schema = _stage(s, incoming, "tickets")
+ADMITTED = 256 << 20  # bytes of files that a batch takes on: batches and their tasks follow the input
+
+
+def incoming(s, d):
+    """The tickets as a stream over the documents as they lie there, admitted by
+    bytes; labels are a static side."""
+    schema = s.read.parquet(f"{d}/documents.parquet").schema
+    # a pattern, since the table may be one file: as a plain path that would have to be a folder
+    return tickets(s, d, J.stream_source(s, f"{d}/documents.parque[t]", schema, max_bytes=ADMITTED))
 
-    def score(batch):
-        b = batch.select("doc", X.normalize_text(X.compose_text(F.col("title"), F.col("description"))).alias("text"))
-        return TR.predict_nb(TR.transform(b, "doc", QT.WORDS, voc), b.select("doc"), model, "label", QT.ALPHA)
 
-    sink = scratch_path(s, "stream_scores")
-    J.stream_score(J.stream_source(s, path, schema), score, sink, scratch_path(s, "ckpt_score")).awaitTermination()
+def score_stream(s, d, source, sink, checkpoint):
+    """Naive Bayes labels of a stream of tickets (title, description), written batch by batch."""
+    v, _ = QT.corpus_vectors(s, d)
+    model = QT.nb_model(s, d, "category_level_1")
+
+    def score(batch):
+        b = batch.select(F.col("ticket_id").alias("doc"), X.normalize_text(X.compose_text(F.col("title"), F.col("description"))).alias("text"))
+        return TR.predict_naive_bayes(v.rows(SP.counted(b, QT.WORDS)), model, ["doc"], T.StringType())
+    J.stream_score(source, score, sink, checkpoint).awaitTermination()
     return s.read.parquet(sink).select("doc", "pred")
 
 
+def _score(s, d):
+    return score_stream(s, d, incoming(s, d).select("ticket_id", "title", "description"), scratch_path(s, "stream_scores"), scratch_path(s, "ckpt_score"))
+
+
 def _known(s, d):
     t = tickets(s, d)
     dim = t.filter(F.substring("category_level_2", 4, 10).cast("int") < 15).select("category_level_1").distinct() \
         .filter(F.col("category_level_1") != "de")
-    path, schema = _stage(s, t.select("ticket_id", "category_level_1", "category_level_2"), "cross")
-    out = J.stream_filter(J.stream_source(s, path, schema), dim, ["category_level_1"])
+    out = J.stream_filter(incoming(s, d).select("ticket_id", "category_level_1", "category_level_2"), dim, ["category_level_1"])
     sink = scratch_path(s, "stream_known")
     J.run_to_parquet(out, sink, scratch_path(s, "ckpt_known"))
     return s.read.parquet(sink)

@@ -8,22 +8,29 @@ import time
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from corpuslab.functions import text as X
 from corpuslab.operators import features as FT
+from corpuslab.operators import grouped as G
+from corpuslab.operators import linear as L
 from corpuslab.operators import metrics as M
 from corpuslab.operators import ranking as R
 from corpuslab.operators import relate as RL
+from corpuslab.operators import sparse as SP
 from corpuslab.operators import training as TR
 from corpuslab.plans import q_features as QF
 from corpuslab.plans import sqlviews as V
 from corpuslab.plans.q_rank import SPLIT_SQL
 from corpuslab.plans.q_text import s_norm
 from corpuslab.plans.views import table, tickets
-from corpuslab.session import materialize, shared_dir, shared_table
+from corpuslab.session import materialize, scratch_path, shared_table, spread
 
-ALPHA = 0.1
-NB_MAX, NB_MIN_DF, HIER_MAX = 50000, 2, 30000
-WORDS = FT.word_terms("text", 1, 2)
+ALPHA, FOLDS, EPOCHS = 0.1, 5, 30
+NB_MAX, NB_MIN_DF, HIER_MAX, FLAT_MAX = 50000, 2, 30000, 80000
+WORDS = SP.Words("text", 1, 2)
+LEVELS = ["category_level_1", "category_level_2", "category_level_3"]
+KEEP = ["doc", *LEVELS, "priority", "split"]
 
 
 def corpus(s, d):
@@ -31,76 +38,97 @@ def corpus(s, d):
     return shared_table(s, ("corpus", d), lambda: _corpus(s, d))
 
 
-def corpus_terms(s, d):
-    """(doc, term, tf) of the prepared texts, counted once per session."""
-    return shared_table(s, ("corpus-terms", d), lambda: FT.term_counts(corpus(s, d), "doc", WORDS))
-
-
 def _corpus(s, d):
     t = tickets(s, d)
     sp = R.stratified_split(t.select("ticket_id", "category_level_1"), "ticket_id", "category_level_1", 42)
-    return t.join(sp.select("ticket_id", "split"), "ticket_id").select(
-        F.col("ticket_id").alias("doc"), X.normalize_text(X.compose_text(F.col("title"), F.col("description"))).alias("text"),
+    t = t.join(sp.select("ticket_id", "split"), "ticket_id").select(
+        F.col("ticket_id").alias("doc"), X.compose_text(F.col("title"), F.col("description")).alias("text"),
         "category_level_1", F.col("priority").cast("string").alias("priority"), "category_level_2", "category_level_3", "split")
+    return spread(t).withColumn("text", X.normalize_text(F.col("text")))
+
+
+def corpus_counted(s, d):
+    """Word 1-2-grams of the prepared tickets, counted in the row."""
+    return QF.counted(s, d, "corpus", WORDS, corpus, KEEP)
 
 
 def corpus_vectors(s, d):
-    """(vocabulary fitted on train, TF-IDF rows of all documents)."""
-    voc = shared_table(s, ("corpus-vocabulary", d), lambda: TR.fit_vectorizer(
-        corpus(s, d).filter("split = 'train'"), "doc", corpus_terms(s, d), NB_MAX, NB_MIN_DF))
-    x = shared_table(s, ("corpus-vectors", d), lambda: TR.transform(corpus(s, d), "doc", corpus_terms(s, d), voc))
-    return voc, x
+    """(vectorizer fitted on train, sparse rows of all documents)."""
+    v = QF.vectorizer(s, d, "corpus", corpus_counted(s, d).filter("split = 'train'"), NB_MAX, NB_MIN_DF)
+    return v, shared_table(s, ("corpus-rows", d), lambda: v.rows(corpus_counted(s, d)))
 
 
 def union_vectors(s, d):
-    """(size, TF-IDF rows of all documents) over the union of word 1-2-grams and
+    """(size, sparse rows of all documents) over the union of word 1-2-grams and
     char_wb 3-5-grams, each block normalised by itself, fitted on train."""
-    voc, x = corpus_vectors(s, d)
-    n = voc.count()
-    tf = QF.counted(s, d, "corpus-char35", X.char_wb_ngrams(F.col("text"), 3, 5), corpus)
-    cvoc = shared_table(s, ("corpus-char-vocabulary", d), lambda: TR.fit_vectorizer(
-        corpus(s, d).filter("split = 'train'"), "doc", tf, QF.CHAR_MAX, NB_MIN_DF))
-    both = shared_table(s, ("corpus-union", d), lambda: x.unionByName(
-        TR.transform(corpus(s, d), "doc", tf, cvoc).withColumn("idx", F.col("idx") + n)))
-    return n + cvoc.count(), both
+    def both():
+        words = SP.counted(corpus(s, d), WORDS, [*KEEP, "text"]).withColumnsRenamed({"terms": "w_terms", "tf": "w_tf"})
+        chars = SP.counted(words, SP.CharWb("text", 3, 5), [*KEEP, "w_terms", "w_tf"])
+        return chars.withColumnsRenamed({"terms": "c_terms", "tf": "c_tf"})
+    rows = shared_table(s, ("counted-corpus-both", d), both)
+    train = rows.filter("split = 'train'")
+    chars = QF.vectorizer(s, d, "corpus-char35", train.select(F.col("c_terms").alias("terms"), F.col("c_tf").alias("tf")), QF.CHAR_MAX, NB_MIN_DF)
+    v = SP.Union({"w_": corpus_vectors(s, d)[0], "c_": chars})
+    return len(v), shared_table(s, ("corpus-union", d), lambda: v.rows(rows))
 
 
 def nb_model(s, d, label: str):
-    train = corpus(s, d).filter("split = 'train'").select("doc", F.col(label).alias("label"))
-    voc, x = corpus_vectors(s, d)
-    return TR.fit_nb(x, train, "label", ALPHA, voc)
+    v, rows = corpus_vectors(s, d)
+    return TR.fit_naive_bayes(rows.filter("split = 'train'"), label, len(v), ALPHA)
 
 
 def nb_predictions(s, d, label: str, split: str | None = "test"):
     """doc, true_label, pred over a split (None: all documents)."""
-    test = corpus(s, d)
+    _, rows = corpus_vectors(s, d)
     if split is not None:
-        test = test.filter(F.col("split") == split)
-    _, x = corpus_vectors(s, d)
-    mine = x.join(test.select("doc"), "doc", "left_semi")
-    pred = TR.predict_nb(mine, test.select("doc"), nb_model(s, d, label), "label", ALPHA)
-    return test.select("doc", F.col(label).alias("true_label")).join(pred, "doc")
+        rows = rows.filter(F.col("split") == split)
+    rows = rows.select("doc", F.col(label).alias("true_label"), "idx", "w")
+    return TR.predict_naive_bayes(rows, nb_model(s, d, label), ["doc", "true_label"], rows.schema["true_label"].dataType)
 
 
 SCORED = ("category_level_1", "priority")
 
 
+def _scored_tickets(s, d, confidence):
+    _, rows = corpus_vectors(s, d)
+    rows = rows.select("doc", "idx", "w")
+    p = TR.predict_naive_bayes_all(rows, {t: nb_model(s, d, t) for t in SCORED}, ["doc"], T.StringType(), confidence)
+    return corpus(s, d).select("doc", F.col("text").alias("input_text")).join(p, "doc").withColumnRenamed("doc", "ticket_id")
+
+
 def _tickets(s, d):
     """Every ticket with its input text and the decoded label of each task."""
-    out = corpus(s, d).select(F.col("doc").alias("ticket_id"), F.col("text").alias("input_text"))
-    for task in SCORED:
-        p = nb_predictions(s, d, task, None).select(F.col("doc").alias("ticket_id"), F.col("pred").alias(task))
-        out = out.join(p, "ticket_id")
-    return out.select("ticket_id", "input_text", F.to_json(F.struct(*SCORED)).alias("predictions"))
+    return _scored_tickets(s, d, False).select("ticket_id", "input_text", F.to_json(F.struct(*SCORED)).alias("predictions"))
+
+
+def _ticket_confidence(s, d):
+    """Every ticket with label and confidence of each task."""
+    p = _scored_tickets(s, d, True)
+    both = F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).alias("label"), F.round(f"{t}_confidence", 6).alias("confidence")) for t in SCORED]))
+    return p.select("ticket_id", both.alias("z")).select("ticket_id", "z.*")
 
 
 def _hier(s, d):
+    """L2 given L1 and L3 given L2: a linear SVM for each parent, routed by the true
+    parent, on the validation and test splits."""
+    out = None
+    for parent, label in zip(LEVELS, LEVELS[1:]):
+        rows = corpus_counted(s, d).select("doc", F.col(parent).alias("parent"), F.col(label).alias("label"), "split", "terms", "tf")
+        models = G.fit_per_parent(rows.filter("split = 'train'"), HIER_MAX)
+        keep = ["split", "doc", "parent", "label"]
+        p = G.predict_per_parent(rows.filter("split <> 'train'"), models, keep).withColumnRenamed("label", "true_label").withColumn("level", F.lit(label))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def _hier_nb(s, d):
+    """Naive Bayes of the priority within each L1 class (one job for all parents)."""
     c = corpus(s, d).withColumn("parent", F.col("category_level_1")).withColumn("label", F.col("priority"))
     train, test = c.filter("split = 'train'"), c.filter("split = 'test'")
-    tf = corpus_terms(s, d)
-    voc = materialize(TR.fit_vectorizer(train, "doc", tf, HIER_MAX, 1, keys=["parent"]), "hier-vocabulary")
+    tf = FT.term_counts(corpus_counted(s, d))
+    voc = materialize(TR.fit_vectorizer(train, tf, HIER_MAX, ["parent"]), "hier-vocabulary")
     both = c.filter("split in ('train', 'test')")
-    x = materialize(TR.transform(both, "doc", tf, voc, keys=["parent"]), "hier-vectors")
+    x = materialize(TR.transform(both, tf, voc, ["parent"]), "hier-vectors")
     xs = x.join(train.select("doc"), "doc", "left_semi")
     model = TR.fit_nb(xs, train.select("doc", "parent", "label"), "label", ALPHA, voc, keys=["parent"])
     pred = TR.predict_nb(x.join(test.select("doc"), "doc", "left_semi"), test.select("doc", "parent"),
@@ -138,134 +166,167 @@ def _aux(s, d):
     return j.select("task", "macro_f1", dist, txt.alias("interpretation"))
 
 
-def _ml_data(s, d, label="category_level_1"):
-    c = corpus(s, d)
-    train = c.filter("split = 'train'")
-    size, x = union_vectors(s, d)
-    labels = RL.build_dimension(train, [label]).select(F.col("label").alias(label), F.col("label_id").alias("label_idx"))
-    # a test class that train lacks keeps its rows under an index that no model predicts
-    lab = c.select("doc", label, "split").join(labels, label, "left").withColumn("label_idx", F.coalesce("label_idx", F.lit(-1).cast("bigint")))
+def _indexed(s, d, rows, label):
+    """Rows with ``label_idx`` (a class that train lacks gets -1, which no model
+    predicts) and the number of classes."""
+    labels = RL.build_dimension(corpus(s, d).filter("split = 'train'"), [label]).select(F.col("label").alias(label), F.col("label_id").alias("label_idx"))
+    return rows.join(labels, label, "left").withColumn("label_idx", F.coalesce("label_idx", F.lit(-1).cast("bigint"))), labels.count()
+
+
+def _ml_rows(s, d, label="category_level_1"):
+    """(features, classes, stored rows: doc, split, label_idx, fold, idx, w)."""
+    size, rows = union_vectors(s, d)
+    rows, k = _indexed(s, d, rows, label)
+    fold = F.pmod(F.xxhash64("doc", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    key = (f"ml-rows-{label}", d)
+    return size, k, shared_table(s, key, lambda: rows.select("doc", "split", "label_idx", fold.alias("fold"), "idx", "w"))
 
-    shared_dir(s)  # iterative fits read checkpointed vectors, not the text pipeline
 
-    def vecs(part):
-        docs = lab.filter(F.col("split") == part)
-        return TR.to_sparse_vectors(x.join(docs.select("doc"), "doc", "left_semi"), size, docs).join(lab, "doc").checkpoint()
-    return vecs, labels
+def _metrics(pred):
+    return M.classification_metrics(pred.select("doc", F.col("label_idx").alias("true_id"), F.col("pred_id").cast("bigint")), [])
 
 
-def _scores_of(model, x):
-    pred = model.transform(x).select("doc", F.col("label_idx").alias("true_id"), F.col("prediction").cast("bigint").alias("pred_id"))
-    return M.classification_metrics(pred, [])
+class _Logreg:
+    def __init__(self, s, d):
+        size, _, rows = _ml_rows(s, d)
+        self.x = SP.vectors(rows.select("doc", "split", "label_idx", "idx", "w"), size, scratch_path(s, "ml-vectors"))
+        t0 = time.time()
+        self.model = TR.fit_logreg(self.x.filter("split = 'train'"))
+        self.seconds = time.time() - t0
 
+    def predict(self, split):
+        return self.model.transform(self.x.filter(F.col("split") == split)).select("doc", "label_idx", F.col("prediction").alias("pred_id"))
 
-def _fit(s, d, kind):
-    """(model, its training seconds, the vectors by split)."""
-    vecs, _ = _ml_data(s, d)
-    tr = vecs("train")
-    t0 = time.time()
-    model = TR.fit_ml(kind, tr)
-    return model, round(time.time() - t0, 3), vecs
 
+class _Svm:
+    def __init__(self, s, d):
+        size, k, self.rows = _ml_rows(s, d)
+        t0 = time.time()
+        self.weights, self.passes = L.fit_svm(self.rows.filter("split = 'train'"), size, k)
+        self.seconds = time.time() - t0
 
-def _fit_eval(s, d, kind):
-    model, seconds, vecs = _fit(s, d, kind)
-    return _scores_of(model, vecs("test")).withColumn("model", F.lit(kind)).withColumn("train_seconds", F.lit(seconds))
+    def predict(self, split):
+        m = L.score(self.rows.filter(F.col("split") == split), self.weights, ["doc", "label_idx"])
+        return m.select("doc", "label_idx", L.best("margins").alias("pred_id"))
+
+
+class _CalibratedSvm:
+    """One SVM a class and fold, all in the same passes, a sigmoid for each from the
+    margins of the fold that it has not seen, and the mean over folds."""
+
+    def __init__(self, s, d):
+        size, k, self.rows = _ml_rows(s, d)
+        train = self.rows.filter("split = 'train'")
+        t0 = time.time()
+        self.weights, self.passes = L.fit_svm(train, size, k, FOLDS)
+        scored = materialize(L.score(train, self.weights, ["label_idx", "fold"]), "fold-margins")
+        self.sigmoids = L.fit_sigmoids(scored, k, FOLDS)
+        self.seconds = time.time() - t0
+
+    def probabilities(self, split):
+        return L.calibrated(self.rows.filter(F.col("split") == split), self.weights, self.sigmoids, ["doc", "label_idx"])
+
+    def predict(self, split):
+        return self.probabilities(split).select("doc", "label_idx", L.best("probabilities").alias("pred_id"))
+
+
+class _NaiveBayes:
+    def __init__(self, s, d):
+        v, rows = corpus_vectors(s, d)
+        t0 = time.time()
+        self.model = TR.fit_naive_bayes(rows.filter("split = 'train'"), "category_level_1", len(v), ALPHA)
+        self.seconds = time.time() - t0
+        self.rows, self.of = rows, (s, d)
+
+    def predict(self, split):
+        rows = self.rows.filter(F.col("split") == split)
+        p = TR.predict_naive_bayes(rows, self.model, ["doc", "category_level_1"], T.StringType(), "pred")
+        p, _ = _indexed(*self.of, p, "category_level_1")
+        at = F.array_position(F.array(*[F.lit(c) for c in self.model.classes]), F.col("pred")) - 1
+        return p.select("doc", "label_idx", at.alias("pred_id"))
+
+
+def _fit_eval(kind):
+    def q(s, d):
+        return _metrics(kind(s, d).predict("test")).withColumn("model", F.lit({_Logreg: "logreg", _Svm: "linear_svc"}[kind]))
+    return q
 
 
 def _calibrated(s, d):
-    """SVM margins → probabilities: one one-vs-rest LinearSVC, then per class a
-    logistic (Platt) fit of its margin, normalised across classes. (The
-    reference cross-fits the calibration over folds; here the margins come
-    from the single fit — simplified, stated in the README.)"""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    vecs, labels = _ml_data(s, d)
-    tr, te = vecs("train"), vecs("test")
-    ovr = TR.fit_ml("linear_svc", tr)
-    k = labels.count()
-    mtr = ovr.transform(tr).select("doc", "label_idx", vector_to_array("rawPrediction").alias("m"))
-    mte = ovr.transform(te).select("doc", vector_to_array("rawPrediction").alias("m"))
-    probs = None
-    for c in range(k):
-        va = VectorAssembler(inputCols=["margin"], outputCol="mf")
-        h = mtr.select((F.col("label_idx") == c).cast("double").alias("y"), F.col("m")[c].alias("margin"))
-        platt = LogisticRegression(featuresCol="mf", labelCol="y", maxIter=25).fit(va.transform(h))
-        sc = mte.select("doc", F.col("m")[c].alias("margin"))
-        p = platt.transform(va.transform(sc)).select("doc", F.lit(c).alias("class_id"),
-                                                     vector_to_array("probability")[1].alias("p"))
-        probs = p if probs is None else probs.unionByName(p)
-    z = probs.groupBy("doc").agg(F.sum("p").alias("z"))
-    return probs.join(z, "doc").select("doc", "class_id", F.round(F.col("p") / F.col("z"), 6).alias("probability"))
+    """Class probabilities of the test tickets."""
+    p = _CalibratedSvm(s, d).probabilities("test").select("doc", F.posexplode("probabilities").alias("class_id", "probability"))
+    return p.select("doc", "class_id", F.round("probability", 6).alias("probability"))
+
+
+SUITE = {"logreg": _Logreg, "linear_svc": _CalibratedSvm, "naive_bayes": _NaiveBayes}
 
 
 def _suite(s, d):
-    """Validation and test metrics of every baseline from one fit each, the
-    training time, and the best by validation macro-F1 (ties by name)."""
+    """Validation and test metrics of every baseline from one fit each, training
+    seconds, milliseconds a scored row, and the best by validation macro-F1
+    (ties by name)."""
     out = None
-    for kind in ("logreg", "linear_svc", "naive_bayes"):
-        if kind == "naive_bayes":
-            t0 = time.time()
-            nb_model(s, d, "category_level_1")
-            seconds = round(time.time() - t0, 3)
-
-            def scored(part):
-                p = nb_predictions(s, d, "category_level_1", part)
-                return M.classification_metrics(p.withColumnRenamed("true_label", "true_id").withColumnRenamed("pred", "pred_id"), [])
-        else:
-            model, seconds, vecs = _fit(s, d, kind)
-
-            def scored(part, model=model, vecs=vecs):
-                return _scores_of(model, vecs(part))
-        va, te = scored("val"), scored("test")
-        row = va.select(F.lit(kind).alias("model"), F.col("accuracy").alias("val_accuracy"), F.col("macro_f1").alias("val_macro_f1"),
+    for name, kind in SUITE.items():
+        m = kind(s, d)
+        t0 = time.time()
+        val = materialize(m.predict("val"), "suite-val")
+        took = time.time() - t0
+        va, te = _metrics(val), _metrics(m.predict("test"))
+        row = va.select(F.lit(name).alias("model"), F.col("accuracy").alias("val_accuracy"), F.col("macro_f1").alias("val_macro_f1"),
                         *[te.select(c).scalar().alias(f"test_{c}") for c in ("n", "accuracy", "macro_f1")],
-                        F.lit(seconds).alias("train_seconds"))
+                        F.lit(round(m.seconds, 3)).alias("train_seconds"), F.round(F.lit(1000 * took) / F.greatest(F.col("n"), F.lit(1)), 4).alias("infer_ms_per_sample"))
         out = row if out is None else out.unionByName(row)
     best = F.row_number().over(Window.orderBy(F.col("val_macro_f1").desc(), "model")) == 1  # three rows
     return out.withColumn("best", best)
 
 
 def _flat(s, d):
+    """A linear SVM for L2 and one for L3 over 80,000 word 1-2-grams, every class in
+    the same passes; metrics of the validation and test splits."""
+    counted = corpus_counted(s, d)
+    v = QF.vectorizer(s, d, "flat", counted.filter("split = 'train'"), FLAT_MAX)
+    rows = shared_table(s, ("flat-rows", d), lambda: v.rows(counted))
     out = None
-    for lv in ("category_level_2", "category_level_3"):
-        p = nb_predictions(s, d, lv).withColumnRenamed("true_label", "true_id").withColumnRenamed("pred", "pred_id")
-        m = M.classification_metrics(p, []).withColumn("level", F.lit(lv))
-        out = m if out is None else out.unionByName(m)
+    for level in LEVELS[1:]:
+        x, k = _indexed(s, d, rows, level)
+        x = materialize(x.select("doc", "split", "label_idx", "idx", "w"), "flat-level")
+        weights, _ = L.fit_svm(x.filter("split = 'train'"), len(v), k)
+        p = materialize(L.score(x.filter("split <> 'train'"), weights, ["doc", "split", "label_idx"]).withColumn("pred_id", L.best("margins")), "flat-scores")
+        for split in ("val", "test"):
+            m = _metrics(p.filter(F.col("split") == split)).withColumn("level", F.lit(level)).withColumn("split", F.lit(split))
+            out = m if out is None else out.unionByName(m)
     return out
 
 
+def heads(s, d, epochs=EPOCHS):
+    """(history, weights, best epoch) of one softmax head a task on the stored vectors:
+    even ids are fitted, odd ones validate."""
+    e = table(s, d, "embeddings").select("embedding", (F.col("vec_id") % 2 == 0).alias("fit"), F.col("label").cast("int").alias("label"),
+                                         F.floor(F.col("label") / 2).cast("int").alias("parent"))
+    e = materialize(e, "head-vectors")
+    top = e.agg(F.max("label"), F.max("parent")).first()
+    return L.fit_heads(e, "embedding", {"label": top[0] + 1, "parent": top[1] + 1}, epochs)
+
+
 def _vector_heads(s, d):
-    """One logistic head per task on the stored vectors; the epoch budget with
-    the best mean validation macro-F1 is kept."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-    e = table(s, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"),
-                                        F.col("label").cast("double").alias("label"),
-                                        F.floor(F.col("label") / 2).cast("double").alias("parent"))
-    tr, va = e.filter(F.col("vec_id") % 2 == 0), e.filter(F.col("vec_id") % 2 == 1)
-    rows = []
-    for epochs in (5, 10, 20):
-        f1s = []
-        for task in ("label", "parent"):
-            m = LogisticRegression(labelCol=task, maxIter=epochs, regParam=0.01).fit(tr)
-            p = m.transform(va).select(F.col(task).cast("bigint").alias("true_id"), F.col("prediction").cast("bigint").alias("pred_id"))
-            f1s.append(M.classification_metrics(p, []).select(F.lit(task).alias("task"), "macro_f1"))
-        mf = f1s[0].unionByName(f1s[1]).agg(F.round(F.avg("macro_f1"), 6).alias("mean_macro_f1")).withColumn("epochs", F.lit(epochs))
-        rows.append(mf)
-    h = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return R.best_epoch(h.withColumn("run", F.lit(1)), "run", "epochs", "mean_macro_f1")
+    """Every epoch with its losses and validation macro-F1; ``best`` is the epoch whose
+    weights are kept."""
+    history, _, best = heads(s, d)
+    h = s.createDataFrame([tuple(map(float, r[1:])) + (int(r[0]),) for r in history],
+                          "label_loss double, parent_loss double, label_macro_f1 double, parent_macro_f1 double, mean_macro_f1 double, epoch int")
+    return h.select("epoch", *[F.round(c, 6).alias(c) for c in h.columns[:-1]], (F.col("epoch") == best).alias("best"))
 
 
 QUERIES = {
     "predict_tickets": _tickets,
     "nb_multinomial": lambda s, d: nb_predictions(s, d, "category_level_1"),
+    "ticket_confidence": _ticket_confidence,
     "hier_oracle": _hier,
+    "hier_oracle_nb": _hier_nb,
     "split_check": _split_check,
     "aux_interpretation": _aux,
-    "logreg": lambda s, d: _fit_eval(s, d, "logreg").drop("train_seconds"),
-    "linear_svc": lambda s, d: _fit_eval(s, d, "linear_svc").drop("train_seconds"),
+    "logreg": _fit_eval(_Logreg),
+    "linear_svc": _fit_eval(_Svm),
     "svc_calibrated": _calibrated,
     "baseline_suite": _suite,
     "flat_level": _flat,
@@ -360,7 +421,7 @@ FROM nd JOIN {a} a ON a.doc = nd.doc JOIN {b} b ON b.doc = nd.doc"""
 SQL = {
     "predict_tickets": _tickets_sql(),
     "nb_multinomial": nb_sql("category_level_1") + "SELECT * FROM nbp",
-    "hier_oracle": HIER,
+    "hier_oracle_nb": HIER,
     "split_check": SPLITCHECK,
 }
 

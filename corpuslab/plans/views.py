@@ -22,9 +22,9 @@ def priority_of(n_chars):
             .when(n_chars < 4000, 4).otherwise(5))
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents ⟕ labels as a ticket table."""
-    d = table(spark, sf_dir, "documents")
+def tickets(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    """documents ⟕ labels as a ticket table (``documents`` may be a stream)."""
+    d = table(spark, sf_dir, "documents") if documents is None else documents
     lab = table(spark, sf_dir, "labels").withColumn("_labelled", F.lit(True))
     nl = F.instr(F.col("text"), "\n")
     pr = priority_of(F.col("n_chars"))

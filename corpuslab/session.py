@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -75,15 +76,62 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
-_TABLES: dict[tuple, str] = {}
+def spread(df):
+    """A table with fewer splits than the session has cores is dealt out over them;
+    a larger one stays as it is, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def shared_table(spark: SparkSession, key: tuple, build):
-    """``build()`` written once per session and key as a table in the shared
-    folder; every later use, in any query, reads it."""
-    key = (spark.sparkContext.applicationId, *key)
-    if key not in _TABLES:
-        path = scratch_path(spark, str(key[1]))
+_TABLES: dict[tuple, tuple[str, str]] = {}
+#: Tables that are as old as the session's inputs; removed when the process ends.
+INPUTS = ("documents", "labels")
+
+
+def input_state(spark: SparkSession, paths) -> str:
+    """What the files under ``paths`` are now: number, bytes and a digest of their
+    names, lengths and modification times. Only the listing is read (by the
+    source's own file system, so any store works); the contents are not."""
+    from pyspark.sql import functions as F
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "modificationTime", "length")
+    r = files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()
+    return "-".join(map(str, r))
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that this library wrote, through the file system it is on."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def shared_table(spark: SparkSession, key: tuple, build, inputs=INPUTS):
+    """``build()`` written once per session, key (name, folder of the inputs) and
+    state of the input files as a table in the shared folder; every later use, in
+    any query, reads it. When an input table has been rewritten since, the table
+    is built anew and the old one is dropped."""
+    full = (spark.sparkContext.applicationId, *key)
+    state = input_state(spark, [f"{key[1]}/{t}.parquet" for t in inputs])
+    have = _TABLES.get(full)
+    if have is None or have[0] != state:
+        path = scratch_path(spark, str(key[0]))
         build().write.mode("overwrite").parquet(path)
-        _TABLES[key] = path
-    return spark.read.parquet(_TABLES[key])
+        _TABLES[full] = state, path
+        if have is not None:
+            remove_table(spark, have[1])
+    return spark.read.parquet(_TABLES[full][1])
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the shared tables of this session (also done when the process ends
+    while the session is still open)."""
+    mine = [k for k in _TABLES if k[0] == spark.sparkContext.applicationId]
+    for k in mine:
+        remove_table(spark, _TABLES.pop(k)[1])
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    s = SparkSession.getActiveSession() if _TABLES else None
+    if s is not None and s.sparkContext._jsc is not None:
+        release(s)

@@ -14,8 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def stream_source(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def stream_source(spark: SparkSession, path: str, schema, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """A directory (or file) as a stream; a batch takes at most ``max_files`` files or
+    ``max_bytes`` of files (one file at least)."""
+    r = spark.readStream.schema(schema)
+    if max_bytes is not None:
+        r = r.option("maxBytesPerTrigger", max_bytes)
+    elif max_files is not None:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(path)
 
 
 def stream_score(src: DataFrame, score_batch: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
