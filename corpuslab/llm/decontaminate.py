@@ -2,12 +2,16 @@
 by every passage of every document with block-max WAND; hits are verified by
 the overlap with the item's question and answer.
 
-* Index: the items (the small side) in blocks of at most ``BLOCK_ITEMS``; each
-  block's index is the broadcast, so its size is bounded and more items mean
-  more passes, not a larger broadcast. Scores are shares of the item's score
-  with itself, so one ``THRESHOLD`` serves all items.
-* Passages: 2 S tokens every S tokens, S the longest item of the block; every
-  occurrence of an item lies whole in some passage.
+* Statistics: number of items, mean and greatest length and the document frequency
+  of every term are aggregates over all items, so a hit and its score do not
+  depend on the order of the items nor on how they are cut into blocks.
+* Index: the items (the small side) in blocks of at most ``BLOCK_ITEMS``; ``PASS``
+  blocks' indexes are the broadcast of one pass over the documents, so its size
+  is bounded and more items mean more passes. Scores are shares of the item's
+  score with itself, so one ``THRESHOLD`` serves all items.
+* Passages: 2 S tokens every S tokens, S the longest of all items; every
+  occurrence of an item lies whole in some passage. They are bounded ``CELLS``
+  numbers at a time, however long the document.
 * Skipping: in each chunk an item's terms are taken from the rarest there until
   the others together weigh less than ``REST``. What a passage holds of these,
   plus REST at most, bounds its score with the item; passages that reach the
@@ -32,12 +36,14 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpuslab.llm import textarrays as T
+from corpuslab.session import materialize
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.8, 5
-BLOCK_ITEMS, POSTING_BLOCK, REST = 2000, 64, 0.1
+BLOCK_ITEMS, POSTING_BLOCK, REST, PASS, CELLS = 2000, 64, 0.1, 4, 1 << 22
 
 
 def _tokens(text: str) -> np.ndarray:
@@ -67,14 +73,16 @@ def question_answer(text: str) -> tuple[str, str]:
 
 
 class Index:
-    """Inverted index of one block of items, as arrays."""
+    """Inverted index of one block of items, as arrays. ``corpus``: (items, mean
+    length, greatest length, terms in order, their document frequencies) of all
+    items; without it the block is all there is."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], corpus: tuple | None = None):
         toks = [(i, t, _tokens(t)) for i, t in items if t]
         toks = [x for x in toks if len(x[2])]
         self.ids = [x[0] for x in toks]
         self.size = len(toks)
-        self.width = max([32, *(len(x[2]) for x in toks)])
+        self.width = max([32, *(len(x[2]) for x in toks)] if corpus is None else [32, corpus[2]])
         if not toks:
             return
         self.parts = []
@@ -86,10 +94,13 @@ class Index:
         self.vocab, term = np.unique(h, return_inverse=True)
         pair, tf = np.unique(term * self.size + item, return_counts=True)
         self.term, self.item = pair // self.size, pair % self.size  # by term, then item
-        df = np.bincount(self.term, minlength=len(self.vocab))
-        idf = np.log1p((self.size - df + 0.5) / (df + 0.5))
         length = np.bincount(item, minlength=self.size)
-        w = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.item] / length.mean()))
+        if corpus is None:
+            n, mean, df = self.size, length.mean(), np.bincount(self.term, minlength=len(self.vocab))
+        else:
+            n, mean, df = corpus[0], corpus[1], corpus[4][np.searchsorted(corpus[3], self.vocab)]
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        w = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.item] / mean))
         self.w = w / np.bincount(self.item, weights=w, minlength=self.size)[self.item]
         self.first = np.searchsorted(self.term, np.arange(len(self.vocab) + 1))
 
@@ -189,12 +200,8 @@ class Index:
         pas, t = np.concatenate([here, prev[two]]), np.concatenate([t, t[two]])
         pt = np.unique(pas * len(self.vocab) + t)
         pas, t = pt // len(self.vocab), pt % len(self.vocab)
-        rep = deg[t]
-        base = np.repeat(ffirst[t] - np.concatenate([[0], np.cumsum(rep)[:-1]]), rep) + np.arange(rep.sum())
-        bound = np.bincount(np.repeat(pas, rep) * self.size + fi[base], weights=fw[base], minlength=int(pas_off[-1]) * self.size)
-        key = np.flatnonzero(bound.reshape(-1, self.size) + rest >= THRESHOLD - 1e-9)
         found: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-        for q in np.unique(key // self.size).tolist():
+        for q in self._open(pas, t, int(pas_off[-1]), deg, ffirst, fi, fw, rest):
             d = int(np.searchsorted(pas_off, q, side="right")) - 1
             a = int(tok.off[d]) + (q - int(pas_off[d])) * self.width
             b = min(a + 2 * self.width, int(tok.off[d + 1]))
@@ -210,17 +217,30 @@ class Index:
         return {k: v[:4] for k, v in found.items()}
 
 
+    def _open(self, pas, t, n_pas, deg, ffirst, fi, fw, rest):
+        """The passages that may reach the threshold with some item, in order; the
+        bounds of some passages with all items are held at once."""
+        step = max(1, CELLS // self.size)
+        for p0 in range(0, n_pas, step):
+            lo, hi = np.searchsorted(pas, [p0, p0 + step])
+            rep = deg[t[lo:hi]]
+            base = np.repeat(ffirst[t[lo:hi]] - np.concatenate([[0], np.cumsum(rep)[:-1]]), rep) + np.arange(rep.sum()) if hi > lo else np.zeros(0, np.int64)
+            bound = np.bincount(np.repeat(pas[lo:hi] - p0, rep) * self.size + fi[base], weights=fw[base], minlength=min(step, n_pas - p0) * self.size)
+            yield from (p0 + np.flatnonzero((bound.reshape(-1, self.size) + rest >= THRESHOLD - 1e-9).any(axis=1))).tolist()
+
+
 SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, first_token bigint"
 
 
-def _hits(index: Index):
+def _hits(indexes: list[Index]):
     def run(batches):
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             rows = []
             for c in T.chunks(b.column("text")):
-                for (d, item), (score, q, a, at) in sorted(index.search(c).items()):
-                    rows.append((ids[c.rows.start + d], index.ids[item], score, q, a, at))
+                for index in indexes:
+                    for (d, item), (score, q, a, at) in sorted(index.search(c).items()):
+                        rows.append((ids[c.rows.start + d], index.ids[item], score, q, a, at))
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip([x.split()[0] for x in SCHEMA.split(", ")], r)) for r in rows],
                                                  schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
@@ -229,38 +249,69 @@ def _hits(index: Index):
     return run
 
 
-def _clean(index: Index, column: str):
+def _clean(indexes: list[Index], column: str):
     def run(batches):
         for b in batches:
             keep = np.ones(b.num_rows, bool)
             for c in T.chunks(b.column(column)):
-                for d, _ in index.search(c):
-                    keep[c.rows.start + d] = False
+                for index in indexes:
+                    for d, _ in index.search(c):
+                        keep[c.rows.start + d] = False
             yield b.filter(pa.array(keep))
     return run
 
 
-def indexes(items: DataFrame, block: int = BLOCK_ITEMS):
-    """The items' indexes, block by block (items come to the driver one block
-    at a time, longest last so that a block's passages fit its items)."""
-    rows: list[tuple[int, str]] = []
-    for r in T.strip_columns(items, "item_id", "text").toLocalIterator():
-        rows.append((r[0], r[1]))
-        if len(rows) == block:
-            yield Index(rows)
-            rows = []
-    if rows:
-        yield Index(rows)
+ITEMS = "item_id bigint, text string, n_tokens bigint, terms array<bigint>"
+
+
+def _item_terms(batches):
+    for b in batches:
+        texts = b.column("text").fill_null("").to_pylist()
+        tok = [_tokens(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(texts, pa.string()), pa.array([len(x) for x in tok], pa.int64()),
+                                          pa.array([np.unique(x).view(np.int64).tolist() for x in tok], pa.list_(pa.int64()))],
+                                         names=["item_id", "text", "n_tokens", "terms"])
+
+
+def passes(items: DataFrame, block: int | None = None, at_once: int = PASS):
+    """The indexes, ``at_once`` blocks of at most ``block`` items at a time. Items come to
+    the driver one block at a time, with the document frequencies of their terms."""
+    block = block or BLOCK_ITEMS
+    rows = T.strip_columns(items, "item_id", "text").mapInArrow(_item_terms, ITEMS).filter("n_tokens > 0")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate-items")
+    n, mean, longest = rows.agg(F.count(F.lit(1)), F.avg("n_tokens"), F.max("n_tokens")).first()
+    term = rows.select("row", F.explode("terms").alias("term"))
+    df = term.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    per = term.join(df, "term").groupBy("row").agg(F.collect_list(F.struct("term", "df")).alias("df"))  # an item's distinct terms
+    per = materialize(rows.select("row", "item_id", "text").join(per, "row").orderBy("row"), "decontaminate-frequencies")
+    held, known, out = [], {}, []
+
+    def index():
+        terms = np.array(list(known), np.int64).view(np.uint64)
+        order = np.argsort(terms)
+        return Index(held, (n, mean, longest, terms[order], np.array(list(known.values()), np.int64)[order]))
+    for r in per.toLocalIterator():
+        held.append((r["item_id"], r["text"]))
+        known.update((x["term"], x["df"]) for x in r["df"])
+        if len(held) == block:
+            out.append(index())
+            held, known = [], {}
+            if len(out) == at_once:
+                yield out
+                out = []
+    if held:
+        out.append(index())
+    if out:
+        yield out
 
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per (document, item) hit."""
     d = T.strip_columns(docs, "doc_id", "text")
     out = None
-    for ix in indexes(items):
-        if ix.size:
-            part = d.mapInArrow(_hits(ix), SCHEMA)
-            out = part if out is None else out.unionByName(part)
+    for some in passes(items):
+        part = d.mapInArrow(_hits(some), SCHEMA)
+        out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
@@ -268,7 +319,6 @@ def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a hit, all columns."""
     at = docs.columns.index("text")
     out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    for ix in indexes(items):
-        if ix.size:
-            out = out.mapInArrow(_clean(ix, f"c{at}"), out.schema)
+    for some in passes(items):
+        out = out.mapInArrow(_clean(some, f"c{at}"), out.schema)
     return out.toDF(*docs.columns)

@@ -830,3 +830,31 @@ def test_sharding_of_identical_rows(spark):
         assert all(r["lo"] == 0 and r["hi"] == r["n"] - 1 and r["slots"] == r["n"] for r in got)
         mean = sum(r["bytes"] for r in got) / 16
         assert all(abs(r["bytes"] - mean) < 0.02 * mean for r in got)
+
+
+def test_decontaminate_whatever_the_blocks(spark, monkeypatch):
+    """Hits and scores are those of one index for any order and cut of the items."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    more = spark.range(300).select((F.col("id") + 10_000).alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit(w), F.col("id") % k) for w, k in
+                                   (("quark", 7), ("lemma", 11), ("glyph", 13), ("node", 300), ("arc", 5), ("ring", 300))]).alias("text"))
+    items = items.unionByName(more).cache()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(
+        more.filter("item_id % 50 = 0").select(F.col("item_id").alias("doc_id"), "text"), allowMissingColumns=True)
+
+    def hits():
+        return Counter(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in decontaminate.find(docs, items).collect())
+    want = hits()
+    assert len(want) >= 6
+    for block, order in ((7, "item_id"), (64, "text"), (100, F.col("item_id").desc())):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+        items = items.orderBy(order)
+        assert hits() == want
+
+
+def test_decontaminate_bounds_in_slices(monkeypatch):
+    items = [(i, f"alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i}") for i in range(50)]
+    text = " ".join(f"noise{k} word{k}" for k in range(3000)) + " " + items[17][1] + " " + " ".join(f"more{k}" for k in range(500))
+    c = next(T.chunks(pa.array([text])))
+    want = decontaminate.Index(items).search(c)
+    monkeypatch.setattr(decontaminate, "CELLS", 60)
+    assert decontaminate.Index(items).search(c) == want and {i for _, i in want} == {17}
