@@ -18,15 +18,16 @@ def test_a_rewritten_table_is_read_anew(spark, tmp_path):
     d = str(tmp_path)
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id")
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{d}/labels.parquet")
+    old: list[str] = []
     for n in (20, 200):
         docs.limit(n).write.mode("overwrite").parquet(f"{d}/documents.parquet")
         for key in ("tfidf", "class_separability", "nb_multinomial"):
             E.queries()[key](spark, d).count()
         assert QF.counted(spark, d, "word12", QF.SP.Words("text", 1, 2)).count() == n
-    mine = {k: v for k, v in session._TABLES.items() if k[2] == d}
-    assert mine and all(os.path.exists(p) for _, p in mine.values())
-    left = [x for x in os.listdir(session.shared_dir(spark)) if x.startswith("counted-word12-")]
-    assert len(left) == len([k for k in session._TABLES if k[1] == "counted-word12"])  # the old ones are gone
+        assert not any(os.path.exists(p) for p in old)  # tables of the state before are dropped
+        mine = {k: v for k, v in session._TABLES.items() if k[2] == d}
+        old = [p for _, p in mine.values()]
+        assert old and all(os.path.exists(p) for p in old)
     for k in mine:
         session.remove_table(spark, session._TABLES.pop(k)[1])
     assert not any(os.path.exists(p) for _, p in mine.values())
