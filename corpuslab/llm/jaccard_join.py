@@ -26,7 +26,8 @@ n_links (different texts linked to it).
 Words are runs of bytes other than 0x20 and 0x09-0x0D; a text of fewer than five
 words is one shingle; texts without words link to nothing but their equals. Null
 texts count as empty, a null doc_id as the largest id (and is returned as
-null). Empty tables give empty results.
+null). Very long texts are compared whole; other columns, whatever their names,
+are not read by the join. Empty tables give empty results.
 """
 
 from __future__ import annotations

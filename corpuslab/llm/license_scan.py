@@ -15,7 +15,8 @@ Result: one row per input row with ``n_sentences`` (known sentences found),
 ``verdict``: the strictest class among them (``noncommercial``, ``copyleft``,
 ``permissive``; ``unspecified``: a sentence of several licences alone;
 ``reserved``: all rights reserved and no licence) or ``none``. Null and empty texts: none. Very long texts are
-searched whole.
+searched whole. Repeated rows are scanned each for itself; other columns, whatever
+their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import textarrays as T
 
-# Short notices, normalised, and their rules; the SQL twin knows these only. Fixed values.
+# Short notices, normalised, and their rules. Fixed values.
 SENTENCES = {
     "apache-notice": "licensed under the apache license version 2 0",
     "apache-not-use": "you may not use this file except in compliance with the license",

@@ -15,9 +15,10 @@ language. A document that diverges too far in either is rejected.
 * Base rules (always): under 20 words, or more than 30 % of the words in
   repeated 8-word windows.
 
-Nulls: a null text counts as empty (base rule rejects it); a null language is
-a language of its own. Repeated rows are judged each for itself. An empty
-table gives an empty result.
+Nulls: a null text counts as empty (base rule rejects it); a null language
+counts as the empty one. Repeated rows are judged each for itself. Very long texts
+are judged whole. Other columns, whatever their names, are not read by the
+verdicts. An empty table gives an empty result.
 """
 
 from __future__ import annotations

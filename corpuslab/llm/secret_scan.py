@@ -17,6 +17,9 @@ Added by the method, each proven by the checksum that it carries:
 All patterns are ASCII, so the scan runs on UTF-8 bytes and turns offsets into
 code points at the end. Null texts count as empty; an empty text has no spans.
 Overlapping spans of different kinds are all reported.
+Repeated rows are scanned each for itself and very long texts whole; other columns,
+whatever their names, are not read by the scan. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
