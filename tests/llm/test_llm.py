@@ -154,6 +154,73 @@ def test_jaccard_large_group_and_recall(spark):
     assert all(got[i] <= want[i] for i in got)
 
 
+def test_jaccard_recall_on_a_table(spark):
+    """Links found against the exact ones of the SQL twin, ten times the other tests' rows."""
+    sf = SF.replace("0.001", "0.01")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = con.execute(f"SELECT doc_id, n_links, class_id FROM ({sql.OP1})").df().set_index("doc_id")
+    got = queries.QUERIES["op1_jaccard_join"](spark, sf).toPandas().set_index("doc_id").loc[want.index]
+    recall = got.n_links.sum() / want.n_links.sum()
+    print(f"op1 recall of links: {recall:.6f} of {want.n_links.sum()}")
+    assert (got.n_links <= want.n_links).all() and recall >= 0.999
+    assert (got.class_id != want.class_id).mean() <= 0.001
+
+
+def test_prefix_lengths():
+    """The last level finds a pair at the threshold as often as asked; a text that
+    is settled earlier has links which that level finds as often, with a margin."""
+    assert jaccard_join.levels() == [8, 6, 4]
+    for threshold in (0.5, 0.8, 0.95):
+        for recall in (0.9, 0.999):
+            steps = jaccard_join.levels(threshold, recall)
+            assert steps == sorted(set(steps), reverse=True) and (steps[-1] == 1 or jaccard_join.reached(steps[-1], threshold) >= recall)
+            for n in steps:
+                assert jaccard_join.reached(n, jaccard_join.settling(n, recall) - jaccard_join.MARGIN) == pytest.approx(recall)
+
+
+def test_company_in_sorted_tries():
+    r = np.random.default_rng(8)
+    rows = sorted((int(t), bytes(r.integers(0, 2, jaccard_join.DEPTH, dtype=np.uint16).tobytes())) for t in r.integers(0, 3, 60))
+    cols = [pa.array(range(60), pa.int64()), pa.array([0] * 60, pa.int32()), pa.array([t for t, _ in rows], pa.int32()), pa.array([x for _, x in rows])]
+    whole = pa.RecordBatch.from_arrays(cols, names=["d", "k", "tree", "sig"])
+
+    def shared(a, b):
+        same = [x == y for x, y in zip(*(np.frombuffer(q[1], np.uint16) for q in (a, b)))]
+        return (same + [False]).index(False) if a[0] == b[0] else 0
+    want = {i: max(shared(rows[i - 1], rows[i]), shared(rows[i], rows[i + 1])) for i in range(1, 59)}
+    want |= {0: jaccard_join.DEPTH, 59: jaccard_join.DEPTH}
+    for cut in (60, 7, 1):
+        out = jaccard_join._company(3)(whole.slice(a, cut) for a in range(0, 60, cut))
+        assert {d: n for b in out for d, n in zip(b["d"].to_pylist(), b["deep"].to_pylist())} == {i: n for i, n in want.items() if n >= 3}
+
+
+def test_pairs_are_treated_once():
+    """Over all levels and trees: a pair is treated at the first level where it
+    meets and is not of two settled texts, in one tree."""
+    r = np.random.default_rng(4)
+    n, steps = 40, jaccard_join.levels()
+    labels = np.where(r.random((n, jaccard_join.TREES, jaccard_join.DEPTH)) < 0.75, 7, r.integers(0, 1 << 16, (n, jaccard_join.TREES, jaccard_join.DEPTH))).astype(np.uint16)
+    bits = np.concatenate([np.zeros((1, n), bool), r.random((len(steps) - 1, n)) < 0.5])
+    seen = Counter()
+    for level, depth in enumerate(steps):
+        state = (bits[:level + 1] << np.arange(level + 1)[:, None]).sum(axis=0)
+        rows = sorted((t, hash(labels[i, t, :depth].tobytes()), i) for t in range(jaccard_join.TREES) for i in range(n))
+        ids = np.array([x[2] for x in rows])
+        t = pa.table({"tree": pa.array([x[0] for x in rows], pa.int32()), "prefix": [x[1] for x in rows], "low": [0] * len(rows), "high": [0] * len(rows),
+                      "block": [0] * len(rows), "label": [labels[i].tobytes() for i in ids], "state": pa.array(state[ids], pa.int32())})
+        for i, j in jaccard_join.candidate_pairs(t, steps[:level + 1]):
+            seen.update((min(a, b), max(a, b), level) for a, b in zip(ids[i].tolist(), ids[j].tolist()))
+    want = Counter()
+    for a in range(n):
+        for b in range(a + 1, n):
+            meets = [any((labels[a, t, :d] == labels[b, t, :d]).all() for t in range(jaccard_join.TREES)) for d in steps]
+            level = next((x for x in range(len(steps)) if meets[x] and not (bits[x, a] and bits[x, b])), None)
+            if level is not None:
+                want[(a, b, level)] = 1
+    assert seen == want and len({x[2] for x in want}) == len(steps)
+
+
 # --- 2 ----------------------------------------------------------------------
 
 def toks(t):
@@ -284,6 +351,52 @@ def test_toxicity_held_out():
     assert ((s >= 0) & (s <= 1)).all()
 
 
+def test_toxicity_plain_forward_pass(spark, docs, pdocs):
+    """Every document's score, one text at a time with plain loops."""
+    net = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, net).collect()}
+    for i, text in zip(pdocs.doc_id, pdocs.text):
+        ids = toxicity._ids_of([text])[0]
+        x = [sum(net.emb[b].astype(float) for b in token) for token in ids] or [np.zeros(toxicity.DIM)]
+        x += [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - 1)
+        logit = float(net.base[0]) - net.shift
+        for k, (conv, bias) in enumerate(zip(net.conv, net.bias)):
+            top = np.max([sum(x[p + j] @ conv[j] for j in range(len(conv))) + bias for p in range(max(len(ids), 1))], axis=0)
+            logit += np.maximum(top, 0) @ net.out[k * toxicity.FILTERS:(k + 1) * toxicity.FILTERS]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, logit)))), abs=1e-4)
+
+
+def test_toxicity_gradients():
+    """The step's gradients against differences of the weighted log-loss."""
+    r = np.random.default_rng(2)
+    net = toxicity.Network()
+    net.emb, net.conv, net.bias = net.emb.astype(float), [c.astype(float) for c in net.conv], [b.astype(float) + 0.05 for b in net.bias]
+    net.out, net.base = net.out.astype(float), net.base.astype(float)
+    ids, off = r.permutation(toxicity.BUCKETS)[:3 * 20].reshape(20, 3).astype(np.int32), np.array([0, 6, 7, 20])
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([2.0, 1.0, 2.0])
+    params = {"out": net.out, "base": net.base, "emb": net.emb} | {f"conv{k}": c for k, c in enumerate(net.conv)} | {f"bias{k}": b for k, b in enumerate(net.bias)}
+
+    def loss():
+        p = net.score(ids, off)
+        return (-weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()
+    spots, slopes = [], []
+    for name, param in params.items():
+        for _ in range(6):
+            at = (int(r.choice(ids.ravel())), int(r.integers(toxicity.DIM))) if name == "emb" else tuple(int(r.integers(m)) for m in param.shape)
+            old = param[at]
+            param[at] = old + 1e-5
+            up = loss()
+            param[at] = old - 1e-5
+            slopes.append((up - loss()) / 2e-5)
+            param[at] = old
+            spots.append((name, at))
+    before, mem = {k: v.copy() for k, v in params.items()}, {}
+    net.step(ids, off, y, weight, mem)
+    for (name, at), slope in zip(spots, slopes):
+        grad = (before[name][at] - params[name][at]) * math.sqrt(mem[name][at]) / toxicity.RATE
+        assert grad == pytest.approx(slope, abs=1e-5, rel=1e-3)
+
+
 def test_toxicity_hard(spark, hard, none):
     labels = spark.createDataFrame([(i, None, i % 2) for i in range(1, 16)] + [(None, 1, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
     net = toxicity.train(hard, labels)
