@@ -1,27 +1,25 @@
-"""Exact byte-level dedup with a logarithmic family of suffix arrays.
+"""Exact byte-level dedup with logarithmic families of suffix arrays.
 
 A byte is removed if it lies in a ``LENGTH``-byte (200) string that also starts
 anywhere else, in the same document or another.
 
-Suffixes are indexed sparsely: in every 200-byte string the ``SEED``-byte window
-with the smallest fingerprint (leftmost on ties) is its anchor. Equal strings
-have their anchors at the same offset, so indexing anchors alone loses no match,
-and about one byte in fifty sends a row. Since matches have one fixed length,
-suffixes are ordered by fingerprints of their first bytes: equal prefixes stand
-side by side, and sorted runs merge, which is all that the method needs.
+Candidates come first: in every 200-byte string the ``SEED``-byte window with the
+smallest fingerprint (leftmost on ties) is its anchor. Equal strings have their
+anchors at the same offset, so looking at anchors alone loses no match, and about
+one byte in fifty sends a row. What is left is dealt to tasks by seed; each task
+keeps a ``SuffixFamily`` of all suffixes of its share: a new batch gets its suffix
+array over the bytes, is merge-scanned against the existing levels for common
+prefixes of 200 bytes and becomes a level; levels of equal size merge.
 
-The suffix space is dealt to tasks by fingerprint; each task keeps a
-``Family``: a new batch of suffixes gets its suffix array, is merge-scanned
-against the existing levels for long matches, and becomes a level; levels of
-equal size merge, so a task with b batches holds about log b levels.
-
-1. Seeds: anchors whose first 100 bytes occur elsewhere survive.
+1. Seeds: anchors whose first 100 bytes occur elsewhere survive (a ``Family`` of
+   sorted fingerprints).
 2. Contexts: all strings that share an anchor make one context (up to 300
    bytes). A context that occurs elsewhere, same shape, is a match as a whole.
 3. Strings: one of each different context goes to the family of its seed, which
-   matches the single 200-byte strings (96-bit fingerprints) and so finds the
-   exact ends of partial matches. A seed with more than ``HOT`` different contexts
-   is not gathered in one task: its strings are dealt out one by one instead.
+   matches the single 200-byte strings by their bytes and so finds the exact ends
+   of partial matches. A seed with more than ``HOT`` different contexts is not
+   gathered in one task: its strings are dealt out one by one instead, by
+   fingerprints of 96 bits.
 
 Hot keys are pre-aggregated in every batch (``repeats.witnesses``). Texts equal to
 another document's are matches as a whole; only the first of them is indexed.
@@ -42,6 +40,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import repeats as R
 from corpuslab.llm import textarrays as T
+from corpuslab.llm.suffix_family import SuffixFamily
 from corpuslab.session import materialize
 
 LENGTH, SEED, HOT = 200, 100, 50_000
@@ -50,8 +49,8 @@ _TABLE2 = T.mix(T._TABLE)
 
 
 class Family:
-    """Suffix arrays in levels: sorted different keys (two fingerprints) and the
-    row that stands for each."""
+    """Fingerprints in levels: sorted different keys (two fingerprints) and the
+    row that stands for each. For candidates and the single strings of hot seeds."""
 
     def __init__(self):
         self.levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -65,7 +64,7 @@ class Family:
             self.matched = np.concatenate([self.matched, np.zeros(max(n, len(self.matched)), bool)])
         if n == 0:
             return
-        order = np.lexsort((g2, g))  # the batch's suffix array
+        order = np.lexsort((g2, g))
         a, a2 = g[order], g2[order]
         new = np.ones(n, bool)
         new[1:] = (a[1:] != a[:-1]) | (a2[1:] != a2[:-1])
@@ -232,29 +231,31 @@ SPANS = "d bigint, k int, start int, n int"
 
 def _match_strings(batches):
     """One task's share of the contexts -> runs of matched strings."""
-    family = Family()
-    d, k, start, settled, n = [], [], [], [], []
+    family, lone_strings = SuffixFamily(LENGTH), Family()
+    places, lone, d, k, start, settled, n = [], [], [], [], [], [], []
     for b in batches:
-        lone = np.asarray(b.column("context").is_null())
-        count = np.asarray(b.column("n"), dtype=np.int64)
-        g = np.asarray(b.column("key")).view(np.uint64)
-        g2 = np.asarray(b.column("key2")).view(np.uint32).astype(np.uint64) << T.U(32)
-        keys, keys2 = [], []
-        full = pa.array(b.column("context").filter(pa.array(~lone)))
-        for c in T.chunks(full.cast(pa.binary())):
-            starts = np.repeat(c.off[:-1] - np.concatenate([[0], np.cumsum(np.diff(c.off) - LENGTH + 1)[:-1]]), np.diff(c.off) - LENGTH + 1)
-            starts = starts + np.arange(len(starts))
-            keys.append(c.byte_rolling().spans(starts, starts + LENGTH))
-            keys2.append(_span2(c, starts, starts + LENGTH))
-        order = np.concatenate([np.flatnonzero(~lone), np.flatnonzero(lone)])
-        family.add(np.concatenate([*keys, g[lone]]), np.concatenate([*keys2, g2[lone]]))
+        alone = np.asarray(b.column("context").is_null())
+        g = np.asarray(b.column("key")).view(np.uint64)[alone]
+        g2 = np.asarray(b.column("key2")).view(np.uint32).astype(np.uint64)[alone] << T.U(32)
+        for c in T.chunks(b.column("context").filter(pa.array(~alone))):
+            count = np.diff(c.off) - LENGTH + 1
+            starts = np.repeat(c.off[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+            places.append(family.add(c.data, starts + np.arange(len(starts))))
+            lone.append(np.zeros(len(starts), bool))
+        places.append(lone_strings.rows + np.arange(len(g)))
+        lone.append(np.ones(len(g), bool))
+        lone_strings.add(g, g2)
+        order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
         for out, name in ((d, "d"), (k, "k"), (start, "start"), (settled, "settled")):
             out.append(np.asarray(b.column(name))[order])
-        n.append(count[order])
+        n.append(np.asarray(b.column("n"), dtype=np.int64)[order])
     if not d:
         return
     d, k, start, settled, n = (np.concatenate(x) for x in (d, k, start, settled, n))
-    hit = family.matched[:family.rows] & ~np.repeat(settled, n)
+    places, lone = np.concatenate(places), np.concatenate(lone)
+    hit = np.zeros(len(places), bool)
+    hit[lone], hit[~lone] = lone_strings.matched[places[lone]], family.matched(places[~lone])
+    hit &= ~np.repeat(settled, n)
     of = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     begin = hit.copy()

@@ -18,7 +18,7 @@ from pyspark.sql import types as S
 
 import corpus_pipeline
 from corpuslab.llm import (decontaminate, jaccard_join, license_scan, packing, quality, queries, repeats, secret_scan, sharding,
-                           source_audit, sql, substring_dedup, suffix_dedup, token_counts, toxicity, whitening)
+                           source_audit, sql, substring_dedup, suffix_dedup, suffix_family, token_counts, toxicity, whitening)
 from corpuslab.llm import textarrays as T
 
 SF = "/root/testdata/sf0.001"
@@ -336,6 +336,58 @@ def test_family_merges_geometrically():
     assert len(f.levels) == 2 and f.matched[:f.rows][-20:].all()
 
 
+def _suffix_batches(seed):
+    """Batches of strings cut from a few long ones, some with a changed byte: lists of
+    (bytes, starts of suffixes of ``depth`` bytes), and the depth."""
+    r = np.random.default_rng(seed)
+    depth = int(r.integers(8, 41))
+    pool = [r.integers(97, 97 + int(r.integers(1, 4)), 80, dtype=np.uint8) for _ in range(4)]
+    out = []
+    for _ in range(int(r.integers(1, 10))):
+        strings = []
+        for _ in range(int(r.integers(0, 6))):
+            a = int(r.integers(0, 30))
+            x = pool[r.integers(4)][a:int(r.integers(a + depth, 81))].copy()
+            x[r.integers(len(x))] ^= int(r.integers(0, 2))
+            strings.append(x)
+        off = np.cumsum([0, *map(len, strings)])
+        starts = [np.arange(o, o + len(x) - depth + 1) for o, x in zip(off, strings)]
+        out.append((np.concatenate([np.zeros(0, np.uint8), *strings]), np.concatenate([np.zeros(0, np.int64), *starts])))
+    return out, depth
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_suffix_family(seed):
+    batches, depth = _suffix_batches(seed)
+    keys = [[bytes(data[i:i + depth]) for i in starts] for data, starts in batches]
+    seen = Counter(x for k in keys for x in k)
+    f = suffix_family.SuffixFamily(depth)
+    places = [f.add(data, starts) for data, starts in batches]
+    for p, k in zip(places, keys):
+        assert f.matched(p).tolist() == [seen[x] > 1 for x in k]
+    # levels: each in byte order without equals, together every string once, generations falling
+    held = [[bytes(f.data[p:p + depth]) for p in level] for _, level in f.levels]
+    assert all(h == sorted(set(h)) for h in held) and Counter(x for h in held for x in h) == Counter(set(seen))
+    gens = [g for g, _ in f.levels]
+    assert gens == sorted(set(gens), reverse=True) and sum(2 ** g for g in gens) == sum(len(k) > 0 for k in keys)
+    # all at once: the same marks
+    one, off = suffix_family.SuffixFamily(depth), np.cumsum([0, *(len(d) for d, _ in batches)])
+    p = one.add(np.concatenate([d for d, _ in batches]), np.concatenate([s + o for (_, s), o in zip(batches, off)]))
+    assert one.matched(p).tolist() == [seen[x] > 1 for k in keys for x in k]
+
+
+def test_suffix_array_order():
+    r = np.random.default_rng(3)
+    data = np.concatenate([r.integers(97, 99, 300, dtype=np.uint8), np.full(300, 97, np.uint8), np.array([0, 255] * 60, np.uint8)])
+    for depth in (8, 9, 16, 100, 200):
+        starts = np.arange(len(data) - depth + 1)
+        order, new = suffix_family.suffix_array(data, starts, depth)
+        keys = [bytes(data[i:i + depth]) for i in starts[order]]
+        assert keys == sorted(keys) and new.tolist() == [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
+    with pytest.raises(ValueError):
+        suffix_family.SuffixFamily(7)
+
+
 # --- 4 ----------------------------------------------------------------------
 
 def test_toxicity_held_out():
