@@ -4,6 +4,8 @@ is the tree's, independent of the number of predictions."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,11 +101,13 @@ def expand_path(df: DataFrame, leaf: str, pmap: DataFrame, pmap_up: DataFrame) -
     return out.withColumn("path_len", 1 + F.col("l2").isNotNull().cast("int") + F.col("l1").isNotNull().cast("int"))
 
 
-def hierarchical_f1(pw: DataFrame, tax: DataFrame) -> DataFrame:
-    """Mean hierarchical precision / recall over rows and hF of the means. A true
-    leaf that the taxonomy lacks raises; of several parents the last counts."""
-    m3 = tax.groupBy(F.col("l3").alias("c3")).agg(F.max("l2").alias("p2"))
-    m2 = tax.groupBy(F.col("l2").alias("c2")).agg(F.max("l1").alias("p1"))
+def hierarchical_f1(pw: DataFrame, tax: DataFrame, order: Sequence[str] = ("l1", "l2", "l3")) -> DataFrame:
+    """Mean hierarchical precision / recall over rows and hF of the means. ``tax`` has
+    the paths, or the training rows that hold them. A true leaf that it lacks raises;
+    of several parents of a node that of the last row by ``order`` counts (a
+    taxonomy without row order: of the greatest path)."""
+    m3 = parent_map(tax, "l3", "l2", list(order)).select(F.col("child").alias("c3"), F.col("parent").alias("p2"))
+    m2 = parent_map(tax, "l2", "l1", list(order)).select(F.col("child").alias("c2"), F.col("parent").alias("p1"))
     x = pw.select("id", "pred_l3", "true_l3").join(m3, F.col("true_l3") == F.col("c3"), "left") \
         .withColumnRenamed("p2", "t2").drop("c3") \
         .join(m2, F.col("t2") == F.col("c2"), "left").withColumnRenamed("p1", "t1").drop("c2")

@@ -63,24 +63,17 @@ def classification_metrics(P: DataFrame, keys: Sequence[str] = ("task",), weight
 def classification_report(P: DataFrame, keys: Sequence[str] = ("task",)) -> DataFrame:
     """Per-class rows plus ``accuracy``, ``macro avg``, ``weighted avg`` (4 dp)."""
     st = class_stats(confusion(P, keys), keys)
-    per = st.select(*keys, F.col("label").cast("string").alias("class"), "precision", "recall",
-                    F.col("f1").alias("f1_score"), F.col("support").cast("double").alias("support"))
-    agg = st.groupBy(*keys).agg(
-        (F.sum("tp") / F.sum("support")).alias("acc"), F.avg("precision").alias("mp"),
-        F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"),
-        F.sum("support").cast("double").alias("tot"))
-    summary = agg.select(*keys, F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("class"), F.col("acc").alias("precision"), F.col("acc").alias("recall"),
-                 F.col("acc").alias("f1_score"), F.col("acc").alias("support")),
-        F.struct(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                 F.col("mf").alias("f1_score"), F.col("tot").alias("support")),
-        F.struct(F.lit("weighted avg").alias("class"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
-                 F.col("wf").alias("f1_score"), F.col("tot").alias("support")))).alias("r")) \
-        .select(*keys, "r.*")
-    out = per.unionByName(summary)
+    weighted = [F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")) for c in ("precision", "recall", "f1")]
+    # classes and totals in one pass: of a single class the averages are its values
+    g = st.groupingSets([[*keys, "label"], list(keys)], *keys, "label").agg(
+        F.grouping("label").alias("_all"), F.sum("support").cast("double").alias("n"), F.array(F.try_divide(F.sum("tp"), F.sum("support"))).alias("acc"),
+        F.array(*[F.avg(c) for c in ("precision", "recall", "f1")]).alias("macro"), F.array(*weighted).alias("wtd"))
+
+    def row(name, values, at=(0, 1, 2), support=F.col("n")):
+        return F.struct(name.alias("class"), *[F.col(values)[i].alias(c) for i, c in zip(at, ("precision", "recall", "f1_score"))], support.alias("support"))
+    totals = F.array(row(F.lit("accuracy"), "acc", (0, 0, 0), F.col("acc")[0]), row(F.lit("macro avg"), "macro"), row(F.lit("weighted avg"), "wtd"))
+    one = F.array(row(F.col("label").cast("string"), "macro"))
+    out = g.select(*keys, F.explode(F.when(F.col("_all") == 1, totals).otherwise(one)).alias("r")).select(*keys, "r.*")
     return out.select(*keys, "class", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1_score", "support")])
 
 

@@ -57,11 +57,11 @@ def class_counts(df: DataFrame, tasks: Sequence[str]) -> DataFrame:
 
 def class_balance(df: DataFrame, col: str) -> DataFrame:
     """count, share % (1 dp), imbalance ratio max/count (2 dp) per class.
-    Totals come from scalar subqueries over the (small) grouped result."""
+    Totals come from a window over the grouped result, one row a class."""
     g = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("label")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    total = g.select(F.sum("n")).scalar()
-    top = g.select(F.max("n")).scalar()
+    every = Window.partitionBy(F.lit(0))
+    total, top = F.sum("n").over(every), F.max("n").over(every)
     return g.select("label", "n", F.round(F.col("n") * 100.0 / total, 1).alias("share_pct"),
                     F.round(top / F.col("n"), 2).alias("imbalance_ratio"))
 

@@ -60,6 +60,10 @@ def mcnemar(pa: DataFrame, pb: DataFrame, keys: Sequence[str] = ("id",), alpha:
     return t.withColumn("p_value", F.round(p, 6)).withColumn("significant", F.col("p_value") < alpha)
 
 
+#: Cells drawn at once.
+DRAWN = 500
+
+
 def replicate_cells(cells: DataFrame, keys: Sequence[str], reps: int, seed: int) -> DataFrame:
     """Poisson bootstrap on counts: each (cell, replicate) draws Poisson(n), the
     sum of n Poisson(1) row weights, from a generator seeded by (seed, cell); the
@@ -67,14 +71,17 @@ def replicate_cells(cells: DataFrame, keys: Sequence[str], reps: int, seed: int)
     Rows: keys, rep, w."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*keys).schema) + ", rep int, w bigint"
 
+    def weights(key, n):
+        digest = hashlib.md5(repr((seed, [str(x) for x in key])).encode()).digest()
+        return np.random.Generator(np.random.Philox(int.from_bytes(digest, "little"))).poisson(n, reps)
+
     def draw(batches):
-        for b in batches:
-            for row in b.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                digest = hashlib.md5(repr((seed, [str(x) for x in key])).encode()).digest()
-                w = np.random.Generator(np.random.Philox(int.from_bytes(digest, "little"))).poisson(row.n, reps)
-                hit = np.flatnonzero(w)
-                yield pd.DataFrame({**dict(zip(keys, key)), "rep": (hit + 1).astype("int32"), "w": w[hit].astype("int64")}, columns=[*keys, "rep", "w"])
+        for whole in batches:
+            for at in range(0, len(whole), DRAWN):  # a matrix of cells x replicates at a time
+                b = whole.iloc[at:at + DRAWN]
+                w = np.stack([weights(key, n) for *key, n in zip(*[b[c] for c in [*keys, "n"]])])
+                cell, rep = np.nonzero(w)
+                yield pd.DataFrame({**{k: b[k].to_numpy()[cell] for k in keys}, "rep": (rep + 1).astype("int32"), "w": w[cell, rep].astype("int64")})
     return cells.select(*keys, "n").mapInPandas(draw, schema)
 
 

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslab.operators import hierarchy as H
+from corpuslab.operators import metrics as M
 from corpuslab.operators import ranking as R
 from corpuslab.operators import stats as S
 from corpuslab.plans import q_stream as QS
@@ -136,3 +138,32 @@ def test_exact_quantiles(spark):
     for k, v in data.items():
         assert got[k] == pytest.approx(np.quantile(v, [0.1, 0.5, 0.975]).tolist())
     assert PR.exact_quantiles(df, [], "x", [0.5]).first()["q"][0] == pytest.approx(np.median(np.concatenate(list(data.values()))))
+
+
+def test_hierarchical_last_parent_counts(spark):
+    # leaf 7 stands under 9, then under 3: the last row counts, not the greatest parent
+    train = spark.createDataFrame([(1, 0, 9, 7), (2, 1, 3, 7), (3, 1, 3, 8)], "seq int, l1 int, l2 int, l3 int")
+    pw = spark.createDataFrame([(1, 7, 8), (2, 8, 8)], "id int, pred_l3 int, true_l3 int")
+    got = H.hierarchical_f1(pw, train, order=["seq"]).collect()[0]
+    assert (got["hP"], got["hR"]) == (round((2 / 3 + 1) / 2, 6),) * 2
+    turned = train.withColumn("seq", -F.col("seq"))  # now 9 is the last parent of 7
+    assert H.hierarchical_f1(pw, turned, order=["seq"]).collect()[0]["hP"] == 0.5
+
+
+def test_report_rows(spark):
+    # class 3 is only predicted, class 2 never; a null label is a class of its own
+    rows = [("a", 1, 1), ("a", 1, 3), ("a", 2, 1), ("b", 5, 5), ("b", None, None)]
+    p = spark.createDataFrame(rows, "task string, true_id int, pred_id int")
+    got = {(r["task"], r["class"]): (r["precision"], r["recall"], r["f1_score"], r["support"]) for r in M.classification_report(p).collect()}
+    assert got["a", "1"] == (0.5, 0.5, 0.5, 2.0) and got["a", "3"] == (0.0, 0.0, 0.0, 0.0) and got["a", "2"] == (0.0, 0.0, 0.0, 1.0)
+    assert got["a", "accuracy"] == (0.3333,) * 4 and got["a", "macro avg"] == (0.1667, 0.1667, 0.1667, 3.0)
+    assert got["a", "weighted avg"] == (0.3333, 0.3333, 0.3333, 3.0) and got["b", "macro avg"][3] == 2.0
+    assert len(got) == 3 + 2 + 2 * 3 and ("b", None) in got
+
+
+def test_bootstrap_draws_do_not_depend_on_batches(spark, monkeypatch):
+    cells = spark.createDataFrame([(i, f"p{i % 3}", 1 + i % 5) for i in range(40)], "a int, b string, n long").coalesce(1)
+    want = sorted(S.replicate_cells(cells, ["a", "b"], 20, 3).collect())
+    monkeypatch.setattr(S, "DRAWN", 7)
+    got = S.replicate_cells(cells.repartition(3), ["a", "b"], 20, 3).collect()
+    assert sorted(got) == want and all(r["w"] > 0 and 1 <= r["rep"] <= 20 for r in want)
