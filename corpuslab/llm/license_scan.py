@@ -5,7 +5,9 @@ blank, with line and sentence ends marked). A known sentence counts wherever it
 stands from one line or sentence end to another; line ends inside it are blanks,
 sentence ends and blank lines are not. The identifiers found, in text order, are matched against the licence rules: a rule
 is an ordered run of identifiers; longer rules come first, and an identifier
-used by a longer rule is not used again by a shorter one.
+used by a longer rule is not used again by a shorter one. A sentence that names licences (SPDX
+expressions with OR, AND and WITH; "License: MIT"; "dual licensed under the MIT and GPL licenses") gives
+the identifier of each; a notice whose subject is denied gives none. All licences of a choice count.
 
 Only documents with a keyword (``WORDS``) are normalised. No text and no
 sentence is left out for its length, blanks, rules or comment marks.
@@ -138,11 +140,55 @@ TEXTS = [
     ("bysa-work", _UNDER + _CC.format(n="share ?alike ", c="sa ")), ("byncsa-work", _UNDER + _CC.format(n="non ?commercial share ?alike ", c="nc sa ")),
     ("byncnd-work", _UNDER + _CC.format(n="non ?commercial no ?deriv(?:ative|ativework)s ", c="nc nd ")),
     ("reserved", "(?:copyright <<0,16>>)?all rights reserved"),
-    *[(f"{i}-spdx", f"spdx license identifier {p}") for i, p in {
-        "apache": "apache 2 0", "mit": "mit", "gpl3": "gpl 3 0(?: only| or later)?", "gpl2": "gpl 2 0(?: only| or later)?", "agpl3": "agpl 3 0(?: only| or later)?",
-        "lgpl3": "lgpl 3 0(?: only| or later)?", "lgpl21": "lgpl 2 [01](?: only| or later)?", "bsd2": "bsd 2 clause", "bsd3": "bsd 3 clause", "mpl2": "mpl 2 0",
-        "isc": "isc", "by": "cc by 4 0", "bync": "cc by nc 4 0", "bysa": "cc by sa 4 0", "byncsa": "cc by nc sa 4 0", "byncnd": "cc by nc nd 4 0"}.items()],
+    ("unlicense-text", "this is free and unencumbered software released into the public domain"),
 ]
+# Names of licences in SPDX expressions and short notices, normalised: identifier (with -spdx): name, class, pattern. CC licences
+# follow by rule from their kinds and versions.
+_V, _LATER = "(?: version| ?v)? ?", "(?: only| or later)?"
+NAMES = {
+    "apache": ("Apache-2.0", "permissive", f"apache{_V}2 0|apache2|apache 2"),
+    "mit": ("MIT", "permissive", "mit|expat|mit x11"),
+    "mit0": ("MIT-0", "permissive", "mit 0"),
+    "isc": ("ISC", "permissive", "isc"),
+    "zlib": ("Zlib", "permissive", "zlib"),
+    "bsd0": ("0BSD", "permissive", "0bsd"),
+    "bsd2": ("BSD-2-Clause", "permissive", "bsd 2 clause|2 clause bsd"),
+    "bsd3": ("BSD-3-Clause", "permissive", "bsd 3 clause|3 clause bsd"),
+    "boost": ("BSL-1.0", "permissive", f"(?:bsl|boost|boost software license){_V}1 0"),
+    "unlicense": ("Unlicense", "permissive", "unlicense"),
+    "cc0": ("CC0-1.0", "permissive", "(?:cc0|creative commons zero|cc zero)(?: v?1 0)?(?: universal)?"),
+    "ofl": ("OFL-1.1", "permissive", f"(?:sil )?(?:ofl|open font license){_V}1 1"),
+    "epl2": ("EPL-2.0", "copyleft", f"(?:epl|eclipse public license){_V}2 0"),
+    "mpl2": ("MPL-2.0", "copyleft", f"(?:mpl|mozilla public license){_V}2 0"),
+    "gpl3": ("GPL-3.0", "copyleft", f"(?:gnu )?gpl{_V}3(?: 0)?{_LATER}"),
+    "gpl2": ("GPL-2.0", "copyleft", f"(?:gnu )?gpl{_V}2(?: 0)?{_LATER}"),
+    "agpl3": ("AGPL-3.0", "copyleft", f"(?:gnu )?agpl{_V}3(?: 0)?{_LATER}"),
+    "lgpl3": ("LGPL-3.0", "copyleft", f"(?:gnu )?lgpl{_V}3(?: 0)?{_LATER}"),
+    "lgpl21": ("LGPL-2.1", "copyleft", f"(?:gnu )?lgpl{_V}2(?: [01])?{_LATER}"),
+    "gpl": ("GPL", "copyleft", "(?:gnu )?gpl"),
+    "agpl": ("AGPL", "copyleft", "(?:gnu )?agpl"),
+    "lgpl": ("LGPL", "copyleft", "(?:gnu )?lgpl"),
+    "bsd": ("BSD", "permissive", "bsd"),
+}
+_KINDS = {"by": ("BY", "permissive", "", ""), "bync": ("BY-NC", "noncommercial", "nc ", "non ?commercial "),
+          "bysa": ("BY-SA", "copyleft", "sa ", "share ?alike "), "bynd": ("BY-ND", "copyleft", "nd ", "no ?deriv(?:ative|ativework)?s "),
+          "byncsa": ("BY-NC-SA", "noncommercial", "nc sa ", "non ?commercial share ?alike "),
+          "byncnd": ("BY-NC-ND", "noncommercial", "nc nd ", "non ?commercial no ?deriv(?:ative|ativework)?s ")}
+_PLACE = "(?: international| unported| generic)?"
+NAMES |= {i + ("" if v == "4.0" else v.replace(".", "")):
+          (f"CC-{name}-{v}", kind, f"cc by {short}{v.replace('.', ' ')}{_PLACE}|creative commons attribution {full}{v.replace('.', ' ')}{_PLACE}")
+          for i, (name, kind, short, full) in _KINDS.items() for v in ("4.0", "3.0", "2.5", "2.0", "1.0")}
+_NAME = "(?:" + "|".join(sorted((p for _, _, p in NAMES.values()), key=len, reverse=True)) + ")"
+_NAMED = f"(?:{_NAME}|apache license{_V}2 0)(?: license)?"
+# Sentences that name licences; each name in them gives its identifier. An SPDX expression goes to the line's end, unknown names included.
+LISTS = ["spdx license identifier <0,15>[a-z0-9]+", f"{_UNDER}(?:either )?(?:of )?(?:the )?{_NAMED}(?:(?: and| or| and or)(?: the)? {_NAMED})+(?: licenses)?", f"{_UNDER}{_NAME}",
+         f"(?:the )?license (?:is )?{_NAME}", f"{_NAME} licensed"]
+# For both engines, on words with one blank between: what stands before, behind and between the names.
+LIST_HEAD, LIST_TAIL = "^(?:spdx licen[cs]e identifier|.*? under|(?:the )?licen[cs]e) (?:the terms of )?(?:either )?(?:of )?(?:an? |the |is )?", " licen[cs](?:e|es|ed)$"
+LIST_SPLIT = "(?: licen[cs]e)? (?:and or|or|and|with) (?:the )?"
+# A notice whose subject is denied ("none of this is licensed under") is none; [^a-z0-9]+ stands for any gap.
+NEGATED = "^(?:[a-z0-9]+[^a-z0-9]+){0,8}?(?:no|none|not|nothing|neither|never|nor|nobody)[^a-z0-9]+(?:[a-z0-9]+[^a-z0-9]+){0,8}?(?:is|are)[^a-z0-9]+" \
+          "(?:dual[^a-z0-9]+)?(?:licen[cs]ed|released|distributed|published|available|made)[^a-z0-9]"
 # Sentences long enough to count inside a line too (unwrapped texts, after a copyright line without a point).
 ANYWHERE = {"apache-header", "apache-asis", "apache-see", "mit-grant", "mit-keep", "mit-warranty", "gpl3-free", "gpl2-free", "agpl3-free", "lgpl3-free",
             "lgpl21-free", "gpl-free", "gpl-warranty", "gpl-copy", "agpl-copy", "lgpl-copy", "bsd-redistribute", "bsd-source", "bsd-binary", "bsd-advert",
@@ -172,6 +218,10 @@ SINGLE_RULES = [
     *[(name, kind, [f"{i}-{part}"]) for name, kind, i in (("CC-BY-SA-4.0", "copyleft", "bysa"), ("CC-BY-NC-SA-4.0", "noncommercial", "byncsa"),
                                                          ("CC-BY-NC-ND-4.0", "noncommercial", "byncnd")) for part in ("work", "spdx")],
 ]
+_ruled = {i for _, _, run in SINGLE_RULES for i in run}
+_bare = ("GPL", "AGPL", "LGPL", "BSD")
+SINGLE_RULES += [(name, kind, [f"{i}-spdx"]) for i, (name, kind, _) in NAMES.items() if name not in _bare and f"{i}-spdx" not in _ruled]
+SINGLE_RULES += [("Unlicense", "permissive", ["unlicense-text"])]
 ALL_RULES = [*TEXT_RULES, *RULES, *SINGLE_RULES]
 # Sentences that stand alone or apart from their run, after all other rules. UNSPECIFIED: some licence, but the sentence stands in
 # several of different classes (Apache and MPL headers, MIT and Unlicense warranties).
@@ -182,13 +232,14 @@ FALLBACK_RULES = [
     ("GPL", "copyleft", ["gpl-free"]), ("GPL", "copyleft", ["gpl-warranty"]), ("GPL", "copyleft", ["gpl-copy"]),
     *[("BSD", "permissive", [f"bsd-{x}"]) for x in ("redistribute", "source", "binary", "advert", "endorse", "warranty")],
     *[(UNSPECIFIED, "unspecified", [x]) for x in ("apache-not-use", "apache-obtain", "apache-asis", "apache-see", "mit-warranty", "mit-keep")],
+    *[(name, kind, [f"{i}-spdx"]) for i, (name, kind, _) in NAMES.items() if name in _bare],
     (RESERVED, "reserved", ["reserved"]),
 ]
 # A name without a version gives way to one of the same kind with a version; the last two give way to any licence.
 GIVES_WAY = {"AGPL": "AGPL", "LGPL": "LGPL", "GPL": ".*GPL", "BSD": "BSD", UNSPECIFIED: ".", RESERVED: "."}
 CLASSES = (*STRICTEST, "unspecified", "reserved")
 # One of these stands in every known sentence, also where it is wrapped.
-WORDS = r"licen[cs]e|permission|warrant|redistribut|advertis|cc[^a-z0-9]+by|creative[^a-z0-9]+commons|rights[^a-z0-9]+reserved|as[^a-z0-9]+is|by[^a-z0-9]+nc"
+WORDS = r"licen[cs]e|permission|warrant|redistribut|advertis|cc[^a-z0-9]+by|creative[^a-z0-9]+commons|rights[^a-z0-9]+reserved|as[^a-z0-9]+is|by[^a-z0-9]+nc|unencumbered|(?:released|distributed|published|available)[^a-z0-9]+under"
 
 
 # A sentence may run over lines (a blank in it matches one line end) and begins and ends at a sentence or line end (see ANYWHERE).
@@ -212,6 +263,20 @@ def marked(text: Column) -> Column:
     return t
 
 
+def name_pattern(p: str) -> str:
+    """A name as it stands between the marks of ``LIST_SPLIT``."""
+    return "^(?:" + p.replace("license", "licen[cs]e").replace(" or later", " later") + ")(?: licen[cs]e)?$"
+
+
+def _named(s: Column) -> Column:
+    """The identifiers of the licences that a sentence of ``LISTS`` names; exceptions and unknown names have none."""
+    words = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", " "), LIST_HEAD, ""), LIST_TAIL, "")
+    parts = F.split(F.regexp_replace(words, " or later", " later"), LIST_SPLIT)
+    listed = [*((i, p) for i, (_, _, p) in NAMES.items()), ("apache", f"apache license{_V}2 0")]
+    names = F.transform(parts, lambda x: F.coalesce(*[F.when(x.rlike(name_pattern(p)), F.lit(f"{i}-spdx")) for i, p in listed]))
+    return F.filter(names, lambda x: x.isNotNull())
+
+
 def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
     known = [*SENTENCES.items(), *TEXTS]
@@ -220,9 +285,10 @@ def identifiers(text: Column) -> Column:
     under = [p[len(_UNDER):] for i, p in TEXTS if p.startswith(_UNDER)]
     short = [p for i, p in known if p not in long and not p.startswith(_UNDER)]
     long, under, short = ("|".join(map(_pattern, sorted(x, key=len, reverse=True))) for x in (long, under, short))
-    any_of = rf"(?<=[ \n\x01])(?:{long})(?=[ \n\x01])|(?<={_EDGE})(?:{_pattern(_UNDER)}(?:{under})|{short})(?={_EDGE})"
-    return F.transform(F.regexp_extract_all(marked(text), F.lit(any_of), F.lit(0)),
-                       lambda s: F.coalesce(*[F.when(s.rlike(f"^(?:{_pattern(p)})$"), F.lit(i)) for i, p in known]))
+    lists = "|".join(map(_pattern, LISTS))
+    any_of = rf"(?<=[ \n\x01])(?:{long})(?=[ \n\x01])|(?<={_EDGE})(?:{lists}|{_pattern(_UNDER)}(?:{under})|{short})(?={_EDGE})"
+    found = F.filter(F.regexp_extract_all(marked(text), F.lit(any_of), F.lit(0)), lambda s: ~s.rlike(NEGATED))
+    return F.flatten(F.transform(found, lambda s: F.coalesce(*[F.when(s.rlike(f"^(?:{_pattern(p)})$"), F.array(F.lit(i))) for i, p in known], _named(s))))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -104,8 +104,15 @@ def _op10() -> str:
     short = sorted((p for _, p in known if p not in long), key=len, reverse=True)
     halts = [p for p in short if _RUNS_ON in p]
     long, rest, halts = ("|".join(map(_licence_pattern, x)) for x in (sorted(long, key=len, reverse=True), [p for p in short if p not in halts], halts))
-    any_of = f"{_ANY}(?:{long}){_ANY}|{_EDGE}(?:{halts})[\\n\\x01]|{_EDGE}(?:{rest}){_EDGE}"
-    names = " ".join(f"WHEN regexp_full_match(x, {_quoted(_licence_pattern(p))}) THEN '{i}'" for i, p in known)
+    lists = "|".join(map(_licence_pattern, L.LISTS))
+    any_of = f"{_ANY}(?:{long}){_ANY}|{_EDGE}(?:{lists}){_EDGE}|{_EDGE}(?:{halts})[\\n\\x01]|{_EDGE}(?:{rest}){_EDGE}"
+    names = " ".join(f"WHEN regexp_full_match(x, {_quoted(_licence_pattern(p))}) THEN ['{i}']" for i, p in known)
+    listed = [*((i, p) for i, (_, _, p) in L.NAMES.items()), ("apache", f"apache license{L._V}2 0")]
+    one = " ".join(f"WHEN regexp_matches(z, {_quoted(L.name_pattern(p))}) THEN '{i}-spdx'" for i, p in listed)
+    words = "x"
+    for find, put, how in (("[^a-z0-9]+", " ", "g"), (L.LIST_HEAD, "", ""), (L.LIST_TAIL, "", ""), (" or later", " later", "g")):
+        words = f"regexp_replace({words}, {_quoted(find)}, '{put}', '{how}')"
+    many = f"[y for y in [CASE {one} END for z in string_split_regex({words}, {_quoted(L.LIST_SPLIT)})] if y IS NOT NULL]"
     text = "lower(chr(10) || text || chr(10))"
     for find, put in ((r"\r\n|[\r\f\x0b]", "chr(10)"), (r"(?:https?://|www\.)[^ \t\n\x0b\f\r]*", "chr(10)"), (r"[^a-z0-9.!?:;\n]+", "' '"), (r" ?\n ?", "chr(10)"),
                       (r"\n\n+", "chr(1) || chr(1)"), (r"[.!?][ \n\x01]", "chr(1)"), (r"[:;][ \n]", "chr(10)"), (r"[.!?:;]+", "' '"), (r" +", "' '"),
@@ -133,7 +140,7 @@ def _op10() -> str:
 WITH m AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), {_quoted('(?i)' + L.WORDS)}) THEN {text} ELSE '' END AS t FROM documents),
 f AS (SELECT doc_id, [x[2:-2] for x in regexp_extract_all(t, {_quoted(any_of)})] AS found FROM m),
 s0 AS (SELECT doc_id, ids, array_to_string(['|' || x || '|' for x in ids], '') AS rest0 FROM (
-  SELECT doc_id, [CASE {names} END for x in found] AS ids FROM f)),
+  SELECT doc_id, flatten([CASE {names} ELSE {many} END for x in found if NOT regexp_matches(x, {_quoted(L.NEGATED)})]) AS ids FROM f)),
 {", ".join(steps)},
 u AS (SELECT *, {singles} FROM s{len(runs)}),
 g AS (SELECT *, {given} FROM u),

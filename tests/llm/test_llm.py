@@ -715,6 +715,27 @@ def test_license_texts(spark):
     assert [got[i] for i in range(len(want))] == want
 
 
+def test_license_names(spark):
+    data = [("License: MIT", "MIT"), ("MIT Licensed", "MIT"), ("Licensed under MIT", "MIT"), ("SPDX-License-Identifier: Apache-2.0 OR MIT", "Apache-2.0,MIT"),
+            ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", "GPL-2.0"), ("Licensed under CC BY-NC-SA 3.0.", "CC-BY-NC-SA-3.0"),
+            ("This work is licensed under CC BY 3.0.", "CC-BY-3.0"), ("Released under CC0.", "CC0-1.0"), ("Released under the Unlicense.", "Unlicense"),
+            ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("Licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"),
+            ("Available under the Eclipse Public License 2.0.", "EPL-2.0"), ("Dual licensed under the MIT and GPL licenses.", "MIT,GPL"),
+            ("# SPDX-License-Identifier: (GPL-2.0-or-later OR BSD-3-Clause) AND Unknown-1.0", "GPL-2.0,BSD-3-Clause"),
+            ("Licensed under either the Apache License, Version 2.0 or the MIT license.", "Apache-2.0,MIT"), ("Licensed under the Apache License 2.0 or the MIT license.", "Apache-2.0,MIT"),
+            ("SPDX-License-Identifier: MIT-0", "MIT-0"), ("SPDX-License-Identifier: GPL-3.0-or-later\nOther text", "GPL-3.0"), ("Licence: GPLv3", "GPL-3.0"),
+            ("None of this is licensed under the MIT License.", ""), ("Nothing here is released under CC0.", ""), ("It is not licensed under MIT.", ""),
+            ("This is not MIT licensed", ""), ("The committee met under the gpl 3 tree", ""), ("License:\n", ""), ("SPDX-License-Identifier:", "")]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string")
+    got = sorted(tuple(norm(x) for x in r) for r in license_scan.scan(frame).collect())
+    by_name = {t: sorted(x.split(",")) for (t, _), x in zip(data, [r[3] for r in got])}
+    assert by_name == {t: sorted(x.split(",")) for t, x in data}
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    cols = ["doc_id", "n_sentences", "sentence_ids", "licenses", "verdict"]
+    assert sorted(tuple(norm(x) for x in r) for r in con.sql(f"SELECT {','.join(cols)} FROM ({sql.OP10})").fetchall()) == got
+
+
 def test_license_sentences_alone(spark):
     """Identifying sentences alone or apart, and reserved notices."""
     free = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."
@@ -731,7 +752,7 @@ def test_license_sentences_alone(spark):
             (APACHE.replace("You may obtain", "All rights reserved. You may obtain"), "Apache-2.0", "permissive"), ("Nothing is licensed here.", "", "none")]
     got = license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(data)], "doc_id long, text string")).collect()
     assert [(r["licenses"], r["verdict"]) for r in sorted(got)] == [x[1:] for x in data]
-    known = {i for i in license_scan.SENTENCES} | {i for i, _ in license_scan.TEXTS}
+    known = {i for i in license_scan.SENTENCES} | {i for i, _ in license_scan.TEXTS} | {f"{i}-spdx" for i in license_scan.NAMES}
     assert known == {i for _, _, run in license_scan.ALL_RULES + license_scan.FALLBACK_RULES if len(run) == 1 for i in run}
 
 
