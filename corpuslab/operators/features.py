@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators import sparse as SP
+from corpuslab.session import materialize
 
 
 def term_counts(counted: DataFrame, doc: str = "doc") -> DataFrame:
@@ -14,9 +15,9 @@ def term_counts(counted: DataFrame, doc: str = "doc") -> DataFrame:
     return counted.select(F.col(doc).alias("doc"), F.explode(F.arrays_zip("terms", "tf")).alias("z")).select("doc", F.col("z.terms").alias("term"), F.col("z.tf").alias("tf"))
 
 
-def centroids(rows: DataFrame, label: str) -> DataFrame:
+def centroids(rows: DataFrame, label: str, scale: SP.Scale | None = None) -> DataFrame:
     """(label, idx, value): mean weight by class and term, from one pass."""
-    sums = SP.class_sums(rows, label)
+    sums = materialize(SP.class_sums(rows, label, scale), "class-sums")  # classes x vocabulary
     n = sums.filter("idx = -1").select("label", F.col("total").alias("n"))
     return sums.filter("idx >= 0").join(n, "label").select("label", "idx", (F.col("total") / F.col("n")).alias("value"))
 

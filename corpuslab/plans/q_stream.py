@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.functions import text as X
-from corpuslab.operators import sparse as SP
 from corpuslab.operators import training as TR
 from corpuslab.plans import q_train as QT
 from corpuslab.plans import sqlviews as V
@@ -45,12 +44,12 @@ def incoming(s, d):
 
 def score_stream(s, d, source, sink, checkpoint):
     """Naive Bayes labels of a stream of tickets (title, description), written batch by batch."""
-    v, _ = QT.corpus_vectors(s, d)
+    v = QT.corpus_vectorizer(s, d)
     model = QT.nb_model(s, d, "category_level_1")
 
     def score(batch):
         b = batch.select(F.col("ticket_id").alias("doc"), X.normalize_text(X.compose_text(F.col("title"), F.col("description"))).alias("text"))
-        return TR.predict_naive_bayes(v.rows(SP.counted(b, QT.WORDS)), model, ["doc"], T.StringType())
+        return TR.predict_naive_bayes(v.known(b, QT.WORDS, ["doc"]), model, ["doc"], T.StringType(), scale=v.scale)
     J.stream_score(source, score, sink, checkpoint).awaitTermination()
     return s.read.parquet(sink).select("doc", "pred")
 
