@@ -418,6 +418,23 @@ def test_toxicity_plain_forward_pass(spark, docs, pdocs):
         assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, logit)))), abs=1e-4)
 
 
+def test_toxicity_learns_from_all_shards(spark):
+    """Forty bad words of which no hundred rows show all: every one is learned when the rows go over shards."""
+    r, rows = np.random.default_rng(3), []
+    for i in range(1500):
+        words = [f"plain{k}" for k in r.integers(0, 60, 12)]
+        if i % 3 == 0:
+            words[int(r.integers(12))] = f"{'abcdefghij'[i % 10]}{'klmn'[i // 10 % 4]}{'vile'}"
+        rows.append((i, " ".join(words), "en" if i % 2 else None, int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    net = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"), max_rows=100)
+    got = {x["doc_id"]: x for x in toxicity.classify(df.select("doc_id", "text", "lang"), net).collect()}
+    held = [x for x in rows if got[x[0]]["held_out"]]
+    assert np.mean([got[x[0]]["predicted"] == x[3] for x in held if x[3]]) > 0.95
+    assert np.mean([got[x[0]]["predicted"] == x[3] for x in held if not x[3]]) > 0.95
+    assert set(net.thresholds) == {"", "en"}
+
+
 def test_toxicity_gradients():
     """The step's gradients against differences of the weighted log-loss."""
     r = np.random.default_rng(2)
