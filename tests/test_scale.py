@@ -9,9 +9,12 @@ import __spark_entry__ as E
 from corpuslab import session
 from corpuslab.operators import linear as L
 from corpuslab.operators import neardup as ND
+from corpuslab.operators import profile as PR
+from corpuslab.operators import relate as RL
 from corpuslab.operators import sparse as SP
 from corpuslab.plans import q_features as QF
 from corpuslab.plans import q_train as QT
+from corpuslab.sources import io as IO
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +86,34 @@ def test_passes_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert passes == 8 and files() <= before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_not_dealt_out_by_label(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2] if i % 3 else None) for i in range(30)], "id long, label string")
+    got = RL.encode(df, RL.build_dimension(df, ["label"]), ["label"])
+    assert "BroadcastHashJoin" in _plan(got) and "hashpartitioning(label" not in _plan(got)
+    assert {(r["label"], r["label_label"]) for r in got.collect()} == {("a", 0), ("b", 1), (None, None)}
+
+
+def test_histogram_reads_the_rows_once(spark):
+    df = spark.range(100).select((F.col("id") % 2 == 0).alias("g"), (F.col("id") % 7).alias("x"))
+    got = PR.histogram(df, "x", 3, by="g")
+    assert "Range (" not in _plan(got) and "SortMergeJoin" not in _plan(got.select("mean"))
+    want = {(g, b): sum(1 for i in range(100) if (i % 2 == 0) == g and min(i % 7 // 2, 2) == b) for g in (True, False) for b in range(3)}
+    assert {(r["g"], r["bin"]): r["n"] for r in got.collect()} == want
+    assert all(r["mean"] == round(sum(i % 7 for i in range(100) if (i % 2 == 0) == r["g"]) / 50, 6) for r in got.collect())
+
+
+def test_predictions_travel_by_id(spark, tmp_path):
+    rows = {m: [(f"i{k}" if k else None, t, k, k + len(m)) for k in range(6) for t in ("l1", "l2", None)] for m in ("a", "bb")}
+    rows["bb"].append(("i3", "l2", 3, 9))  # a key that comes twice
+    for m, x in rows.items():
+        IO.save_predictions(spark.createDataFrame(x, "id string, task string, true_id long, pred_id long"), m, str(tmp_path / "p"))
+    got = IO.load_predictions(spark, str(tmp_path / "p"), ["a", "bb"])
+    assert "hashpartitioning(id" in _plan(got) and "task" not in "".join(x.split("\n")[0] for x in _plan(got).split("hashpartitioning")[1:])
+    want = sorted((i, t, c, p, q) for i, t, c, p in rows["a"] for j, u, _, q in rows["bb"] if i and t and (i, t) == (j, u))
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 11
