@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslab.session import splits
+
 TICKET_SCHEMA = T.StructType([
     T.StructField("ticket_id", T.LongType()), T.StructField("title", T.StringType()),
     T.StructField("description", T.StringType()), T.StructField("category_level_1", T.StringType()),
@@ -112,14 +114,29 @@ def save_predictions(P: DataFrame, model: str, path: str) -> None:
     P.withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(path)
 
 
+#: Shuffle partitions of a load for each split of the store.
+PARTS = 4
+
+
 def load_predictions(spark: SparkSession, path: str, models: Sequence[str]) -> DataFrame:
     """Two or more models lined up by (id, task) — a keyed join, never by
-    position. Partition pruning reads only the requested models."""
+    position. Partition pruning reads only the requested models.
+
+    Rows are dealt out by id alone: an id's tasks then travel side by side, so its text
+    is compressed away in the shuffle, and the number of partitions follows the store,
+    so that they are sorted in memory. The few tasks of an id are matched as they meet;
+    as an equality Spark would take the task for a key and shuffle by both."""
     st = spark.read.parquet(path)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS * splits(st))
     out = None
     for m in models:
-        p = st.filter(F.col("model") == m).select("id", "task", "true_id", F.col("pred_id").alias(f"pred_{m}"))
-        out = p if out is None else out.join(p.drop("true_id"), ["id", "task"])
+        p = st.filter(F.col("model") == m).select("id", "task", "true_id", F.col("pred_id").alias(f"pred_{m}")).repartition(n, "id")
+        if out is None:
+            out = p
+        else:
+            p = p.select("id", F.col("task").alias("_task"), f"pred_{m}")
+            same = (F.col("task") <= F.col("_task")) & (F.col("task") >= F.col("_task"))
+            out = out.join(p, "id").filter(same).drop("_task")
     return out
 
 
