@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslab.operators.profile import long_labels
+from corpuslab.session import materialize
 
 
 def errors(P: DataFrame) -> DataFrame:
@@ -42,7 +43,10 @@ def build_dimension(df: DataFrame, tasks: Sequence[str]) -> DataFrame:
 def encode(df: DataFrame, dim: DataFrame, tasks: Sequence[str], prefix: str = "label_",
            on_unknown: str = "error") -> DataFrame:
     """label → id per task; a non-null label missing from the dimension raises
-    (``on_unknown="error"``) or becomes null (``"null"``)."""
+    (``on_unknown="error"``) or becomes null (``"null"``). The dimension is stored first,
+    so its size decides how it is joined: dealt out by label, whole classes (and all
+    rows without a label) would meet in one task."""
+    dim = materialize(dim.filter(F.col("task").isin(list(tasks))), "dimension")
     out = df
     for t in tasks:
         d = dim.filter(F.col("task") == t).select(F.col("label").alias(f"_l_{t}"), F.col("label_id").alias(f"{prefix}{t}"))
