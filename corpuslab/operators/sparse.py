@@ -33,6 +33,8 @@ from corpuslab.functions import text as X
 
 #: Words handled at once; a longer document is a slice of its own.
 SLICE = 50_000
+#: The same where terms are looked up: each lookup reads the whole vocabulary first.
+PLACED = 200_000
 #: Terms that a task adds up before it sends them on (Spark adds up further before the
 #: shuffle), and rows of a batch that it sends.
 TALLY, SENT = 250_000, 50_000
@@ -266,7 +268,7 @@ class Vectorizer:
             scale = v.scale
             for b in batches:
                 tok, ids = b.column("_tok"), b.column(doc)
-                for lo, hi in slices(_lengths(tok)):
+                for lo, hi in slices(_lengths(tok), PLACED):
                     own, idx, tf = v.place(*_distinct(spec, tok.slice(lo, hi - lo)))
                     w = scale.weights(own, idx, tf, hi - lo)
                     out = pa.table({doc: ids.slice(lo, hi - lo).take(pa.array(own)), "term": v.terms.take(pa.array(idx)), "idx": idx.astype(np.int32), "weight": w})
@@ -327,7 +329,7 @@ class Union:
         def run(batches):
             for b in batches:
                 toks = {p: b.column(f"_tok{p}") for p in specs}
-                for lo, hi in slices(sum(map(_lengths, toks.values()))):
+                for lo, hi in slices(sum(map(_lengths, toks.values())), PLACED):
                     got, base = [], 0
                     for p, v in here.value.items():
                         row, idx, tf = v.place(*_distinct(specs[p], toks[p].slice(lo, hi - lo)))

@@ -3,10 +3,12 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from corpuslab import session
+from corpuslab.functions import text as X
 from corpuslab.operators import linear as L
 from corpuslab.operators import neardup as ND
 from corpuslab.operators import profile as PR
@@ -117,3 +119,25 @@ def test_predictions_travel_by_id(spark, tmp_path):
     assert "hashpartitioning(id" in _plan(got) and "task" not in "".join(x.split("\n")[0] for x in _plan(got).split("hashpartitioning")[1:])
     want = sorted((i, t, c, p, q) for i, t, c, p in rows["a"] for j, u, _, q in rows["bb"] if i and t and (i, t) == (j, u))
     assert sorted(map(tuple, got.collect())) == want and len(want) == 11
+
+
+def test_a_task_holds_few_terms_whatever_the_texts():
+    made = []
+
+    def batches():
+        for k in range(8):
+            words = [[f"w{k}x{i}x{j}" for j in range(1000)] for i in range(100)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string()))], names=["_tok"])
+            made.append(k)
+    got = SP._tally(SP.Words("text", 1, 2), SP.TALLY)(batches())
+    next(got)
+    assert len(made) <= 2  # terms go on before all texts are read
+
+
+def test_normaliser_steps_are_skipped_only_where_they_change_nothing(spark):
+    texts = ["á B \u0085 c", "أًة  X y", "  z\x1c\x1d w", "É A\t\r\n b ", "“Q” 　 r", "", None]
+    c = X.null_guard(F.col("t"))
+    plain = F.trim(F.regexp_replace(X.lower_latin(X.alef(X.strip_diacritics(X.nfc(c)))), X.WHITESPACE_RUN, " "))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(X.normalize_text(F.col("t")).alias("a"), plain.alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and got[0]["a"] == "á b c"
