@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm import textarrays as T
-from corpuslab.session import materialize, own_shuffles
+from corpuslab.session import key_filter, materialize, own_shuffles
 
 MAX_ROWS, MAX_BYTES = 6_000, 24_000_000
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 16, 16, 16, (1, 2, 3), (5, 7)
@@ -207,18 +207,30 @@ def fold(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Network:
+def known_labels(labels: DataFrame) -> tuple[DataFrame, int]:
+    """(a label for each id to learn from; the number of labelled ids). They are stored, so
+    that under ``key_filter`` only texts that have one are shuffled."""
     lab = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lab = lab.filter(fold(F.col("doc_id")) != 0)
+    lab = materialize(lab, "toxicity-labels")
+    return lab.filter(fold(F.col("doc_id")) != 0), lab.count()
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Network:
+    spark = docs.sparkSession
+    lab, known = known_labels(labels)
     d = T.strip_columns(docs, "doc_id", "lang", "text")
-    size = d.select("doc_id", F.octet_length("text").alias("size")).join(lab, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
-    t = d.join(lab, "doc_id").select("doc_id", "text", "lang", F.col("toxic").cast("int").alias("toxic"), (fold(F.col("doc_id")) == 1).alias("held"))
-    shards = max(1, -(-size["n"] // max_rows), -(-(size["bytes"] or 0) // max_bytes))
+    with own_shuffles(spark), key_filter(spark, known):
+        size = d.select("doc_id", F.octet_length("text").alias("size")).join(lab, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
+        t = d.join(lab, "doc_id").select("doc_id", "text", "lang", F.col("toxic").cast("int").alias("toxic"), (fold(F.col("doc_id")) == 1).alias("held"))
+        shards = max(1, -(-size["n"] // max_rows), -(-(size["bytes"] or 0) // max_bytes))
+        if shards > 1:
+            shard = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(shards)).cast("int")
+            rows = materialize(t.withColumn("shard", shard), "toxicity-rows")
+        else:
+            rows = t.orderBy("doc_id", "text").toArrow()
     if shards > 1:
-        shard = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(shards)).cast("int")
-        return fit_shards(materialize(t.withColumn("shard", shard), "toxicity-rows"), shards)
-    t = t.orderBy("doc_id", "text").toArrow()
-    return fit(*(t.column(n).to_pylist() for n in ("text", "toxic", "lang", "held")))
+        return fit_shards(rows, shards)
+    return fit(*(rows.column(n).to_pylist() for n in ("text", "toxic", "lang", "held")))
 
 
 def _parameters(net: Network) -> dict[str, np.ndarray]:

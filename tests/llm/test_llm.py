@@ -2,6 +2,7 @@
 tables, invariants, and hard cases (nulls, empty, long, ties, repeated rows,
 empty tables, clashing column names)."""
 
+import contextlib
 import hashlib
 import math
 import re
@@ -20,6 +21,7 @@ import corpus_pipeline
 from corpuslab.llm import (decontaminate, jaccard_join, license_scan, packing, quality, queries, repeats, secret_scan, sharding,
                            source_audit, sql, substring_dedup, suffix_dedup, suffix_family, token_counts, toxicity, whitening)
 from corpuslab.llm import textarrays as T
+from corpuslab.session import key_filter
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -435,6 +437,46 @@ def test_toxicity_learns_from_all_shards(spark):
     assert set(net.thresholds) == {"", "en"}
 
 
+def _shuffled(plan):
+    """Rows that each exchange of an executed plan has written."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+        return _shuffled(plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan())
+    mine = [plan.metrics().apply("shuffleRecordsWritten").value()] if kind == "ShuffleExchangeExec" else []
+    return mine + [n for i in range(plan.children().size()) for n in _shuffled(plan.children().apply(i))]
+
+
+def test_toxicity_shuffles_labelled_texts_only(spark, tmp_path, monkeypatch):
+    """Once labels outgrow a broadcast, a text without a label is not shuffled, and the network stays the same."""
+    fit_shards = toxicity.fit_shards
+    monkeypatch.setattr(toxicity, "fit_shards", lambda rows, shards: fit_shards(rows, shards, epochs=1))
+    rows = [(i, f"plain{i % 7} " * 20 + "vile" * (i % 10 == 0), "en", int(i % 10 == 0)) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    labels = docs.filter("doc_id % 30 < 2").select("doc_id", "toxic")
+    want = toxicity.train(docs.drop("toxic"), labels, max_rows=60)
+    names = [f"spark.sql.optimizer.runtime.bloomFilter.{x}" for x in ("applicationSideScanSizeThreshold", "creationSideThreshold", "expectedNumItems", "numBits")]
+    before, limit = [spark.conf.get(x) for x in names], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = toxicity.train(docs.drop("toxic"), labels, max_rows=60)
+        assert [spark.conf.get(x) for x in names] == before
+        lab, n = toxicity.known_labels(labels)
+        assert n == 200
+        most = []
+        for items in (n, None):
+            with key_filter(spark, items) if items else contextlib.nullcontext():
+                joined = docs.select("doc_id", "text").join(lab, "doc_id")
+                assert len(joined._jdf.collect()) == lab.count()
+                most.append(max(_shuffled(joined._jdf.queryExecution().executedPlan())))
+        assert most[0] <= 1.1 * n < 2000 < most[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    for a, b in zip(toxicity._parameters(got).values(), toxicity._parameters(want).values()):
+        np.testing.assert_array_equal(a, b)
+    assert (got.shift, got.thresholds) == (want.shift, want.thresholds)
+
+
 def test_toxicity_gradients():
     """The step's gradients against differences of the weighted log-loss."""
     r = np.random.default_rng(2)
