@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuslab import session
 from corpuslab.functions import text as X
 from corpuslab.operators import linear as L
+from corpuslab.operators import neardup as ND
 from corpuslab.operators import sparse as SP
 
 
@@ -81,3 +82,36 @@ def test_words_are_split_alike_in_any_script(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r["w"] for r in df.select(X.ws_words(F.col("t")).alias("w")).collect()]
     assert got == [None if t is None else t.split() for t in texts]
+
+
+def test_buckets_are_runs_of_rows_and_not_groups(spark, monkeypatch):
+    """Bucket rows reach the proposals as they lie in the batches: a key may go on in the next one."""
+    r = np.random.default_rng(6)
+    n, width = 400, 64
+    key, side = np.sort(r.integers(0, 60, n)), r.random(n) < 0.5
+    bits = r.integers(0, 2, (n, width)).astype(np.uint8)
+    near = np.packbits(np.where(r.random((n, width)) < 0.1, 1 - bits[key], bits[key]).astype(np.uint8), axis=1)
+    h = pa.StructArray.from_arrays([pa.array(np.arange(n)), pa.array(np.arange(n))], names=["a", "b"])
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), h, pa.array([x.tobytes() for x in near], pa.binary())], names=["key", "side", "h", "bits"])
+    most, probes = 20, 3
+    want = set()
+    for k in set(key.tolist()):
+        t, m = np.flatnonzero((key == k) & side), np.flatnonzero((key == k) & ~side)
+        for i in t:
+            far = np.bitwise_count(near[i] ^ near[m]).sum(axis=1)
+            want |= {(int(i), int(m[j])) for j in np.argsort(far, kind="stable")[:probes] if far[j] <= most}
+    for size in (1, 7, 1000):
+        batches = [whole.slice(a, size) for a in range(0, n, size)]
+        got = [(x["t"]["a"], x["r"]["a"]) for b in ND._propose(most, probes)(iter(batches)) for x in b.to_pylist()]
+        assert sorted(got) == sorted(want) and len(want) > 20
+
+
+def test_pairs_carry_bytes(spark):
+    df = spark.createDataFrame([(1, [3, 9, 2], [1, 2, 3]), (2, [], []), (3, [7], [70_000])], "k long, idx array<int>, tf array<int>")
+    rows = df.select(F.struct(F.col("k").alias("a"), F.col("k").alias("b")).alias("h"), "idx", "tf").coalesce(1)
+    flat = rows.mapInArrow(ND._flat("tf"), "h struct<a:bigint,b:bigint>, idx binary, tf binary").toArrow().combine_chunks()
+    for part in (flat, flat.slice(1)):
+        for c in ("idx", "tf"):
+            x = part.column(c)
+            x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+            assert ND._list(x, np.int32).to_pylist() == [r[c] for r in df.collect()][flat.num_rows - part.num_rows:]
